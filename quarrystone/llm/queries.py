@@ -7,7 +7,12 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, minhash, secret_scan
+from . import bpe, langid, minhash, secret_scan, url_filter
+
+
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict on every page's URL by rules and a list of single URLs."""
+    return url_filter.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"), url_filter.production_rules(spark), url_filter.listed_urls(spark))
 
 
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,5 +36,5 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_minhash_near_dedup, op5_secret_scan, op8_language_id, op10_byte_bpe)}
-ORACLE: dict[str, str] = {"op5_secret_scan": secret_scan.oracle()}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filter, op2_minhash_near_dedup, op5_secret_scan, op8_language_id, op10_byte_bpe)}
+ORACLE: dict[str, str] = {"op1_url_filter": url_filter.oracle(), "op5_secret_scan": secret_scan.oracle()}
