@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, minhash, secret_scan, url_filter
+from . import bpe, embed_dedup, langid, minhash, secret_scan, topk, url_filter, warc
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,11 +20,27 @@ def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), 85, 100)
 
 
+def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicates of all vectors: equal labels and a cosine of 0.93 or more."""
+    return embed_dedup.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), 0.93)
+
+
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page archived in dictionary-compressed WARC files and read back."""
+    read = warc.archive_and_read(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in every document: the base kinds and those that the method adds."""
     return secret_scan.digest(secret_scan.scan(spark.read.parquet(f"{sf_dir}/documents.parquet")))
 
 
+def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best of all other vectors for every hundredth one."""
+    return topk.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), 10, 100)
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document, learnt from those that are not held out."""
     return langid.identify(spark.read.parquet(f"{sf_dir}/documents.parquet"))
@@ -36,5 +52,5 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filter, op2_minhash_near_dedup, op5_secret_scan, op8_language_id, op10_byte_bpe)}
-ORACLE: dict[str, str] = {"op1_url_filter": url_filter.oracle(), "op5_secret_scan": secret_scan.oracle()}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filter, op2_minhash_near_dedup, op3_embedding_near_dedup, op4_warc, op5_secret_scan, op6_exact_top_k, op8_language_id, op10_byte_bpe)}
+ORACLE: dict[str, str] = {"op1_url_filter": url_filter.oracle(), "op4_warc": warc.oracle(), "op5_secret_scan": secret_scan.oracle(), "op6_exact_top_k": topk.oracle()}
