@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quarrystone.llm import minhash
+from quarrystone.llm import bpe, langid, minhash, mixing, secret_scan
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is not recognised go: no letters, or a score below 0.3."""
+    return langid.drop_unidentified(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -12,9 +18,25 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return minhash.drop_near_duplicates(docs)
 
 
-STAGES = [("minhash_near_dedup", near_dedup)]
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are replaced by their kinds; every document stays."""
+    return secret_scan.redact(docs)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A sample with the target shares of sources, languages and topics stays."""
+    topics = mixing.topics_of_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return mixing.mix_documents(docs, topics).where("sampled").select("row.*")
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document, with digests of the ids and of the decoded bytes."""
+    return bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=True)
+
+
+STAGES = [("language_id", language_id), ("minhash_near_dedup", near_dedup), ("secret_scan", secrets), ("mixing", mixing_stage), ("byte_bpe", encode)]
 
-#: SQL cannot express the stages (signatures, a fitted classifier, merges of a tokenizer).
+#: SQL cannot express the stages (a fitted classifier, signatures, raking, merges of a tokenizer).
 ORACLE_SQL = None
 
 

@@ -144,7 +144,7 @@ def _decode(lines: str, pattern: str):
     return run
 
 
-def _digests(lines: str, pattern: str):
+def _digests(lines: str, pattern: str, with_ids: bool):
     encode, decode = _encode(lines, pattern, False), _decode(lines, pattern)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,7 +154,10 @@ def _digests(lines: str, pattern: str):
                 flat = coded.column(1).values.to_numpy().astype("<u4")
                 of_ids = [hashlib.sha256(flat[a:b].tobytes()).hexdigest() for a, b in zip(at[:-1], at[1:])]
                 of_bytes = [hashlib.sha256(x).hexdigest() for x in back.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([coded.column(0), pa.array(np.diff(at), pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_bytes, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                columns = [coded.column(0), pa.array(np.diff(at), pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_bytes, pa.string()), coded.column(1)]
+                names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"]
+                n = len(names) - (not with_ids)
+                yield pa.RecordBatch.from_arrays(columns[:n], names[:n])
 
     return run
 
@@ -191,9 +194,9 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     return raw.withColumn("text", F.expr("make_valid_utf8(cast(decoded as string))"))
 
 
-def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """Encodes and decodes every text: doc_id, n_tokens, and SHA-256 of the ids and of the decoded bytes.
+def round_trip(docs: DataFrame, path: str, pattern: str, with_ids: bool = False) -> DataFrame:
+    """Encodes and decodes every text: doc_id, n_tokens, SHA-256 of the ids and of the decoded bytes, and the ids if asked for.
 
     Cases are handled as in ``encode``; ids are hashed as little-endian unsigned 32-bit integers.
     """
-    return _narrow(docs).mapInArrow(_digests(_rank_file(path), pattern), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return _narrow(docs).mapInArrow(_digests(_rank_file(path), pattern, with_ids), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, embed_dedup, langid, minhash, secret_scan, topk, url_filter, warc
+from . import bpe, embed_dedup, langid, licenses, minhash, mixing, secret_scan, topk, url_filter, warc
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,16 +41,28 @@ def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), 10, 100)
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The licence notices of every document."""
+    return licenses.licenses(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document, learnt from those that are not held out."""
     return langid.identify(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weights and a draw for every document, by source, language and the label of its vector."""
+    topics = mixing.topics_of_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    mixed = mixing.mix_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), topics)
+    return mixed.select("row.doc_id", "row.source", "row.lang", "topic", "tokens", "weight", "probability", "sampled")
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded and decoded by a public byte-level vocabulary."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filter, op2_minhash_near_dedup, op3_embedding_near_dedup, op4_warc, op5_secret_scan, op6_exact_top_k, op8_language_id, op10_byte_bpe)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filter, op2_minhash_near_dedup, op3_embedding_near_dedup, op4_warc, op5_secret_scan, op6_exact_top_k, op7_license_scan, op8_language_id, op9_mixing, op10_byte_bpe)}
 ORACLE: dict[str, str] = {"op1_url_filter": url_filter.oracle(), "op4_warc": warc.oracle(), "op5_secret_scan": secret_scan.oracle(), "op6_exact_top_k": topk.oracle()}
