@@ -4,7 +4,592 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from ..functions import text as T, vectors as V
+from ..operators import answers, dedup, gate, ingest, keyword, limits, ranking, vector
+from ..sources import files
+from ..sources.tables import papers, questions, table
+from ..streaming import windows
+from . import retrieval, sql as S
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
+
+
+def query(oracle: str | None = None) -> Callable[[Query], Query]:
+    """Registers a query under its name, with its SQL if there is one."""
+
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLE[f.__name__] = oracle
+        return f
+
+    return add
+
+
+# ---------------------------------------------------------------- projection and text
+
+
+@query(f"""with {S.PAPERS} select ix, paper_id, coalesce(title, '') as title, coalesce(title, '') || ': ' || coalesce(abstract, '') as corpus_text,
+coalesce(citation_count, 0) as citation_count, influential_citation_count, coalesce(pdf_url, '') as pdf_url, coalesce(len(embedding), 0) as dims,
+case when year is null then 0 else 1 end + case when pdf_url is null then 0 else 1 end as n_metadata from papers left join embeddings on vec_id = ix""")
+def normalize_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Search hits brought into shape: defaults, nested fields, text for the corpus."""
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("ix"), F.struct(F.col("embedding").alias("specter_v2")).alias("nested"))
+    raw = papers(spark, sf_dir).join(e, "ix", "left").withColumn("open_access_pdf", F.struct(F.col("pdf_url").alias("url")))
+    return retrieval.normalise(raw).select("ix", "paper_id", "title", T.full_text("title", "abstract").alias("corpus_text"), "citation_count", "influential_citation_count", F.coalesce("pdf_url", F.lit("")).alias("pdf_url"), F.size("embedding").alias("dims"), F.size(F.map_filter("metadata", lambda _, v: v.isNotNull())).alias("n_metadata"))
+
+
+@query(f"with {S.PAPERS} select ix, substr(trim(lower(title)), 1, 50) as title_key from papers")
+def title_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What titles are compared by."""
+    return papers(spark, sf_dir).select("ix", T.title_key("title").alias("title_key"))
+
+
+@query("""select doc_id, substr(text, 1, 2000) as clipped, case when len(regexp_extract_all(text, '\\S+')) > 128 then array_to_string(regexp_extract_all(text, '\\S+')[1:128], ' ') else text end as embed_text,
+case when length(text) > 200 then substr(text, 1, 200) || '...' else text end as snippet from documents""")
+def truncate_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Limits in characters and tokens, and snippets."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 2000).alias("clipped"), T.first_tokens("text", 128).alias("embed_text"), T.snippet("text", 200).alias("snippet"))
+
+
+@query("select page_id, length(url) as n_url, len(html) > 0 as has_html from pages")
+def page_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages with the presence of their parts."""
+    return table(spark, sf_dir, "pages").select("page_id", F.length("url").alias("n_url"), F.coalesce(F.length("html") > 0, F.lit(False)).alias("has_html"))
+
+
+@query()
+def html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text of each page and whether it is long enough."""
+    rows = table(spark, sf_dir, "pages").select("page_id", T.html_text("html").alias("text"))
+    return rows.withColumn("status", F.when(T.is_blank("text"), "empty").when(F.length("text") < 500, "too_short").otherwise("ok"))
+
+
+# ---------------------------------------------------------------- filters and validation
+
+
+@query("""select vec_id, coalesce(len(embedding) in (64, 384, 768) and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0, false) as valid,
+round(sqrt(list_sum(list_transform(embedding, lambda x: cast(x as double) * x))), 6) as length from embeddings""")
+def valid_vector_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors of an accepted length with finite components, and their norms."""
+    return table(spark, sf_dir, "embeddings").select("vec_id", V.is_valid("embedding", (64, 384, 768)).alias("valid"), F.round(V.norm("embedding"), 6).alias("length"))
+
+
+@query(f"with {S.QUESTIONS} select query_id, trim(query) as query from questions where length(trim(query)) >= 40")
+def accepted_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Queries that are long enough."""
+    return answers.accepted_queries(questions(spark, sf_dir), 40)
+
+
+def _arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three overlapping searches per language over the papers, in arrival order."""
+    p = papers(spark, sf_dir).select("lang", "paper_id", "title", "pdf_url", "ix", "year")
+    parts = (p.where("year < 2010"), p.where("year >= 2005"), p.where("year is null or year > 2015"))
+    return dedup.union_variants([x.withColumn("hit_ix", F.col("ix")) for x in parts])
+
+
+_ARRIVALS = f"""{S.PAPERS},
+arrivals as (select 0 as variant_ix, ix as hit_ix, * from papers where year < 2010 union all select 1, ix, * from papers where year >= 2005
+  union all select 2, ix, * from papers where year is null or year > 2015)"""
+_USABLE = "usable as (select * from arrivals where paper_id <> '' and title <> '' and pdf_url <> '')"
+_ONCE = "once as (select * from (select *, row_number() over (partition by lang, paper_id order by variant_ix, hit_ix) as k from usable) where k = 1)"
+_TITLED = "titled as (select * from (select * exclude (k), row_number() over (partition by lang, substr(trim(lower(title)), 1, 50) order by variant_ix, hit_ix) as k from once) where k = 1)"
+
+
+@query(f"with {_ARRIVALS}, {_USABLE}, {_ONCE} select lang, paper_id, variant_ix, hit_ix from once")
+def dedup_first_seen_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Usable hits, the first of each id."""
+    return dedup.first_seen(dedup.usable_hits(_arrivals(spark, sf_dir)), "paper_id", ["lang"]).select("lang", "paper_id", "variant_ix", "hit_ix")
+
+
+@query(f"with {_ARRIVALS}, {_USABLE}, {_ONCE}, {_TITLED} select lang, paper_id, variant_ix, hit_ix from titled")
+def dedup_first_seen_title(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Usable hits, the first of each id and then of each title."""
+    return dedup.dedup_hits(_arrivals(spark, sf_dir), ["lang"]).select("lang", "paper_id", "variant_ix", "hit_ix")
+
+
+@query(f"with {_ARRIVALS}, {_USABLE}, {_ONCE}, {_TITLED} select lang, paper_id from titled")
+def dedup_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The greedy pass; here ids determine titles, so it equals the two window passes."""
+    return dedup.dedup_hits_strict(_arrivals(spark, sf_dir), "lang").select("lang", "paper_id")
+
+
+@query(f"with {_ARRIVALS} select variant_ix, count(*) as n_hits, count(distinct paper_id) as n_papers, count(*) filter (where pdf_url is not null) as n_with_pdf from arrivals group by variant_ix")
+def variant_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The union of the searches, by search."""
+    return _arrivals(spark, sf_dir).groupBy("variant_ix").agg(F.count("*").alias("n_hits"), F.countDistinct("paper_id").alias("n_papers"), F.count("pdf_url").alias("n_with_pdf"))
+
+
+@query(f"with {_ARRIVALS} select paper_id, ix from papers where paper_id not in (select paper_id from arrivals where variant_ix = 0)")
+def unseen_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Papers that the first search did not find."""
+    return dedup.without(papers(spark, sf_dir), _arrivals(spark, sf_dir).where("variant_ix = 0").select("paper_id"), ["paper_id"]).select("paper_id", "ix")
+
+
+# ---------------------------------------------------------------- quality gate
+
+_METRICS = """m as (select source as venue, count(*) as paper_count,
+  avg(case when embedding is not null and len(embedding) = 64 then 1.0::double else 0.0::double end) as embedding_coverage,
+  avg(case when length(regexp_replace(text, '\\s', '', 'g')) > 0 and length(text) >= 900 then 1.0::double else 0.0::double end) as abstract_coverage
+  from documents left join embeddings on vec_id = doc_id group by source)"""
+
+
+def _measured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("ix"), "embedding")
+    rows = papers(spark, sf_dir).withColumn("abstract", F.when(F.length("abstract") >= 900, F.col("abstract")))
+    return gate.metrics(rows.join(e, "ix", "left"), ["venue"], (64,))
+
+
+@query(f"with {_METRICS} select venue, paper_count, round(embedding_coverage, 6) as embedding_coverage, round(abstract_coverage, 6) as abstract_coverage from m")
+def quality_metrics_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Coverage of abstracts (long ones) and vectors by venue."""
+    return _measured(spark, sf_dir).select("venue", "paper_count", *(F.round(c, 6).alias(c) for c in ("embedding_coverage", "abstract_coverage")))
+
+
+@query(f"""with {_METRICS} select venue, paper_count >= 25 and abstract_coverage >= 0.6 as passed,
+case when paper_count >= 25 and abstract_coverage >= 0.6 then 'Quality gate passed' else
+concat_ws('; ', case when paper_count < 25 then 'paper count ' || paper_count || ' < 25' end, case when abstract_coverage < 0.6 then printf('abstract coverage %.2f%% < 60%%', abstract_coverage * 100) end) end as reason from m""")
+def quality_gate_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The gate's verdict and reasons by venue."""
+    return gate.verdict(_measured(spark, sf_dir)).select("venue", "passed", "reason")
+
+
+@query(f"""with {_METRICS}, {S.PAPERS} select venue, ix from papers join m using (venue) where case when paper_count >= 25 and abstract_coverage >= 0.6 then year < 2010 else year >= 2010 end""")
+def refinement_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Venues that failed the gate get a second search's hits instead."""
+    p = papers(spark, sf_dir).select("venue", "ix", "year")
+    passed = gate.verdict(_measured(spark, sf_dir))
+    return gate.refine(p.where("year < 2010"), p.where("year >= 2010"), passed, "venue").select("venue", "ix")
+
+
+# ---------------------------------------------------------------- keyword scoring
+
+
+@query(f"select doc_id as doc, len({S.tok('text')}) as dl, len(list_distinct({S.tok('text')})) as n_terms from documents")
+def doc_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens and distinct tokens by document."""
+    t = T.tokens("text")
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), F.size(t).cast("long").alias("dl"), F.size(F.array_distinct(t)).cast("long").alias("n_terms"))
+
+
+@query(f"select term, count(*) as n_docs, sum(tf) as n from (select doc_id, w as term, count(*) as tf from (select doc_id, unnest({S.tok('text')}) as w from documents) group by all) group by term")
+def term_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Postings, summed by term."""
+    posted = keyword.postings(table(spark, sf_dir, "documents"), T.tokens("text"), "doc_id")
+    return posted.groupBy("term").agg(F.count("*").alias("n_docs"), F.sum("tf").alias("n"))
+
+
+@query(f"with {S.QUESTIONS}, {S.OKAPI} select w as term, round(idf, 6) as idf from oidf")
+def term_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Inverse document frequencies of all terms."""
+    docs = table(spark, sf_dir, "documents")
+    frequencies = keyword.document_frequencies(keyword.postings(docs, T.tokens("text"), "doc_id"))
+    return keyword.okapi_idf(frequencies, docs.count()).select("term", F.round("idf", 6).alias("idf"))
+
+
+@query(f"with {S.QUESTIONS}, {S.okapi(20)} select query_id, doc, round(score, 6) as score, rank from okapi")
+def bm25_okapi_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best documents of every query over the whole corpus."""
+    top = keyword.okapi_topk(table(spark, sf_dir, "documents"), questions(spark, sf_dir), 20, "doc_id")
+    return top.select("query_id", "doc", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each query's hits: the papers of one venue, with their vectors where they have one."""
+    q = questions(spark, sf_dir).select("query_id", F.concat(F.lit("src"), (F.col("query_id") % 20).cast("string")).alias("venue"))
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("ix"), "embedding")
+    return q.join(papers(spark, sf_dir), "venue").join(e, "ix", "left")
+
+
+@query(f"with {S.BASE}, {S.LUCENE} select query_id, ix, round(score, 6) as score, bm25_rank from lucene")
+def bm25_lucene_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keyword score and dense rank of each hit of each query."""
+    scored = keyword.lucene_of_hits(_hits(spark, sf_dir), questions(spark, sf_dir))
+    return scored.select("query_id", "ix", F.round("score", 6).alias("score"), ranking.dense("score").cast("long").alias("bm25_rank"))
+
+
+@query(f"with {S.BASE}, {S.TFIDF} select query_id, ix, round(score, 6) as score, tfidf_rank from tfidf")
+def tfidf_cosine_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Title similarity and dense rank of each hit."""
+    scored = keyword.tfidf_of_hits(_hits(spark, sf_dir), questions(spark, sf_dir))
+    return scored.select("query_id", "ix", F.round("score", 6).alias("score"), ranking.dense("score").cast("long").alias("tfidf_rank"))
+
+
+@query(f"with {S.BASE}, {S.LUCENE}, {S.CENTROID} select query_id, ix, round(score, 6) as score, centroid_rank from centroid")
+def centroid_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Similarity to the centre of the best keyword hits."""
+    hits = _hits(spark, sf_dir)
+    ranked = keyword.lucene_of_hits(hits, questions(spark, sf_dir)).withColumn("rank", ranking.dense("score"))
+    scored = vector.centroid_scores(hits, ranked)
+    return scored.select("query_id", "ix", F.round("score", 6).alias("score"), ranking.dense("score").cast("long").alias("centroid_rank"))
+
+
+@query()
+def lsa_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Latent-semantic similarity and dense rank of each hit."""
+    scored = retrieval.lsa_of_hits(_hits(spark, sf_dir), questions(spark, sf_dir))
+    return scored.select("query_id", "ix", F.round("score", 6).alias("score"), ranking.dense("score").cast("long").alias("lsa_rank"))
+
+
+# ---------------------------------------------------------------- vectors and fusion
+
+
+def _query_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings")
+    return questions(spark, sf_dir).join(e, F.col("query_id") == F.col("vec_id")).select("query_id", "embedding")
+
+
+def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc"), "embedding")
+
+
+@query(f"with {S.QUESTIONS}, {S.knn(20)} select query_id, doc, round(score, 6) as score, rank from knn")
+def knn_cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors of every query."""
+    return vector.knn(_query_vectors(spark, sf_dir), _vectors(spark, sf_dir), 20).select("query_id", "doc", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+_FUSED = f"""{S.QUESTIONS}, {S.okapi(20)}, {S.knn(20)},
+fused as (select coalesce(a.query_id, b.query_id) as query_id, coalesce(a.doc, b.doc) as doc, a.rank as rank_a, b.rank as rank_b,
+  coalesce(1.0::double / (60 + a.rank), 0) + coalesce(1.0::double / (60 + b.rank), 0) as score from knn a full join okapi b on a.query_id = b.query_id and a.doc = b.doc),
+placed as (select *, row_number() over (partition by query_id order by score desc, rank_a nulls last, rank_b nulls last) as rank from fused)"""
+
+
+def _fused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    near = vector.knn(_query_vectors(spark, sf_dir), _vectors(spark, sf_dir), 20)
+    keys = keyword.okapi_topk(table(spark, sf_dir, "documents"), questions(spark, sf_dir), 20, "doc_id")
+    return ranking.fuse(near, keys, 10)
+
+
+@query(f"with {_FUSED} select query_id, doc, rank_a as vector_rank, rank_b as bm25_rank, round(score, 9) as rrf_score, rank from placed where rank <= 10")
+def rrf_two_way(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vector and keyword lists fused by reciprocal rank."""
+    return _fused(spark, sf_dir).select("query_id", "doc", F.col("rank_a").cast("long").alias("vector_rank"), F.col("rank_b").cast("long").alias("bm25_rank"), F.round("score", 9).alias("rrf_score"), F.col("rank").cast("long").alias("rank"))
+
+
+@query(f"""with {_FUSED},
+grouped as (select query_id, doc, score, rank, source, row_number() over (partition by query_id, source order by rank) as k from placed join documents on doc_id = doc where rank <= 10)
+select query_id, doc, source, final_rank from (select *, row_number() over (partition by query_id order by k > 3, rank) as final_rank from grouped) where final_rank <= 6""")
+def hybrid_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hybrid retrieval with at most three documents of a source among the six first."""
+    sources = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "source")
+    return ranking.diverse(_fused(spark, sf_dir).join(sources, "doc"), 6, 3, "source").select("query_id", "doc", "source", F.col("final_rank").cast("long").alias("final_rank"))
+
+
+# ---------------------------------------------------------------- composite ranking
+
+
+@query(f"with {S.BASE}, {S.PRIORS} select query_id, ix, round(authority, 6) as authority, authority_rank from priors")
+def authority_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Authority and its dense rank."""
+    return ranking.authority(_hits(spark, sf_dir)).select("query_id", "ix", F.round("authority", 6).alias("authority"), ranking.dense("authority").cast("long").alias("authority_rank"))
+
+
+@query(f"with {S.BASE}, {S.PRIORS} select query_id, ix, round(recency, 6) as recency, recency_rank from priors")
+def recency_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recency and its dense rank."""
+    return ranking.recency(_hits(spark, sf_dir)).select("query_id", "ix", F.round("recency", 6).alias("recency"), ranking.dense("recency").cast("long").alias("recency_rank"))
+
+
+@query(f"with {S.SIGNALS}, {S.RELEVANCE} select query_id, ix, bm25_rank, tfidf_rank, centroid_rank, round(rrf_score, 9) as rrf_score, rrf_rank from rel")
+def rrf_multi_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All signals of each hit fused into one relevance rank."""
+    rows = ranking.relevance(ranking.signals(_hits(spark, sf_dir), questions(spark, sf_dir)))
+    return rows.select("query_id", "ix", *(F.col(c).cast("long").alias(c) for c in ("bm25_rank", "tfidf_rank", "centroid_rank")), F.round("rrf_score", 9).alias("rrf_score"), F.col("rrf_rank").cast("long").alias("rrf_rank"))
+
+
+@query(f"with {S.SIGNALS}, {S.RELEVANCE}, {S.SPREADS} select query_id, ix, round(relevance_score, 6) as relevance_score, round(authority_score, 6) as authority_score, round(recency_score, 6) as recency_score from spreads")
+def minmax_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three ranks on a scale from 0 to 1."""
+    rows = ranking.relevance(ranking.signals(_hits(spark, sf_dir), questions(spark, sf_dir)))
+    names = {"relevance_score": "rrf_rank", "authority_score": "authority_rank", "recency_score": "recency_rank"}
+    return rows.select("query_id", "ix", *(F.round(ranking.spread(r), 6).alias(n) for n, r in names.items()))
+
+
+@query(f"with {S.SIGNALS}, {S.RELEVANCE}, {S.SPREADS}, {S.composite()}")
+def composite_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The full ranker with general weights."""
+    return ranking.rank_papers(_hits(spark, sf_dir), questions(spark, sf_dir)).select("query_id", "ix", F.round("final_score", 6).alias("final_score"), F.col("final_rank").cast("long").alias("final_rank"))
+
+
+_INTENTS = ", ".join(f"case query_id % 3 when 0 then {w[0]}::double when 1 then {w[1]}::double else {w[2]}::double end as {n}" for n, w in (("wr", (0.6, 0.5, 0.4)), ("wa", (0.35, 0.0, 0.6)), ("wc", (0.05, 0.5, 0.0))))
+
+
+@query(f"with {S.SIGNALS}, {S.RELEVANCE}, {S.SPREADS}, {S.composite(_INTENTS, 20)}")
+def composite_rank_by_intent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The full ranker with weights by the query's intent."""
+    intent = F.element_at(F.array(F.lit("general"), F.lit("news"), F.lit("foundational")), (F.col("query_id") % 3 + 1).cast("int"))
+    rows = ranking.relevance(ranking.signals(_hits(spark, sf_dir), questions(spark, sf_dir)))
+    return ranking.composite(rows.withColumn("intent", intent), 20).select("query_id", "ix", F.round("final_score", 6).alias("final_score"), F.col("final_rank").cast("long").alias("final_rank"))
+
+
+# ---------------------------------------------------------------- selection
+
+
+@query("""with r as (select label as query_id, vec_id % 3 as sub_ix, vec_id // 2 as doc, row_number() over (partition by label, vec_id % 3 order by vec_id) as rank from embeddings),
+k as (select *, max(sub_ix) over (partition by query_id) + 1 as n from r),
+o as (select *, row_number() over (partition by query_id, doc order by sub_ix, rank) as p from k where rank <= 50 // n)
+select query_id, sub_ix, doc, row_number() over (partition by query_id order by sub_ix, rank) as final_rank from o where p = 1""")
+def stratified_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Equal slots for sub-queries, every document once."""
+    e = table(spark, sf_dir, "embeddings")
+    rank = F.row_number().over(Window.partitionBy("label", F.col("vec_id") % 3).orderBy("vec_id"))
+    ranked = e.select(F.col("label").alias("query_id"), (F.col("vec_id") % 3).alias("sub_ix"), F.floor(F.col("vec_id") / 2).alias("doc"), rank.alias("rank"))
+    return ranking.stratified(ranked).select("query_id", "sub_ix", "doc", F.col("final_rank").cast("long").alias("final_rank"))
+
+
+@query("""with r as (select lang as query_id, source as paper_id, doc_id, row_number() over (partition by lang order by n_chars desc, doc_id) as rank from documents),
+k as (select *, row_number() over (partition by query_id, paper_id order by rank) as n from r)
+select query_id, paper_id, doc_id, final_rank from (select *, row_number() over (partition by query_id order by n > 3, rank) as final_rank from k) where final_rank <= 40""")
+def diverse_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The longest documents of each language, three of a source first."""
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n_chars"), "doc_id"))
+    ranked = table(spark, sf_dir, "documents").select(F.col("lang").alias("query_id"), F.col("source").alias("paper_id"), "doc_id", rank.alias("rank"))
+    return ranking.diverse(ranked, 40, 3).select("query_id", "paper_id", "doc_id", F.col("final_rank").cast("long").alias("final_rank"))
+
+
+# ---------------------------------------------------------------- ingestion
+
+_UPGRADE = f"""{S.PAPERS},
+ranked as (select venue as query_id, paper_id, ix, pdf_url, abstract, row_number() over (partition by venue order by influential_citation_count desc, ix) as rank from papers),
+cand as (select * from (select *, row_number() over (partition by query_id order by rank) as k from ranked where pdf_url <> '') where k <= 12),
+txt as (select 'P' || doc_id as paper_id, text from documents where length(text) >= 1500),
+ok as (select query_id, paper_id, text from (select query_id, paper_id, text, row_number() over (partition by query_id order by rank) as k from cand join txt using (paper_id)) where k <= 5)"""
+
+
+@query(f"""with {_UPGRADE}
+select query_id, paper_id, case when text is not null then 'pdf' else 'abstract' end as text_source, length(coalesce(text, substr(abstract, 1, 300))) as n_chars from ranked left join ok using (query_id, paper_id)""")
+def base_bonus_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Abstracts upgraded to full texts for the first usable candidates of each venue."""
+    p = papers(spark, sf_dir)
+    rank = F.row_number().over(Window.partitionBy("venue").orderBy(F.desc("influential_citation_count"), "ix"))
+    ranked = p.select(F.col("venue").alias("query_id"), "paper_id", "pdf_url", rank.alias("rank"))
+    full = ingest.choose_full_text(ranked, p.select("paper_id", F.col("abstract").alias("text")), min_chars=1500)
+    base = p.select(F.col("venue").alias("query_id"), "paper_id", F.substring("abstract", 1, 300).alias("text"))
+    return ingest.upsert_full_text(base, full).select("query_id", "paper_id", "text_source", F.length("text").cast("long").alias("n_chars"))
+
+
+_WINDOWS = """t as (select doc_id, regexp_extract_all(substr(text, 1, 40000), '\\S+') as k from documents where length(trim(text)) > 0),
+w as (select doc_id, k, unnest(range(0, greatest(len(k) - 1 - 10, 0) + 1, 90)) as i from t),
+chunks as (select doc_id, cast(i // 90 as integer) as chunk_index, array_to_string(k[i + 1 : i + 100], ' ') as text from w)"""
+
+
+@query(f"with {_WINDOWS} select doc_id, chunk_index, text from chunks")
+def chunk_token_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of 100 tokens that share 10."""
+    return ingest.token_windows(table(spark, sf_dir, "documents").select("doc_id", "text"), 100, 10).select("doc_id", "chunk_index", "text")
+
+
+@query(f"with {_WINDOWS} select 'P' || doc_id as paper_id, count(*) as n_chunks from chunks group by doc_id")
+def chunk_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks by document."""
+    rows = table(spark, sf_dir, "documents").select(F.concat(F.lit("P"), F.col("doc_id").cast("string")).alias("paper_id"), "text")
+    return ingest.chunk_counts(ingest.token_windows(rows, 100, 10))
+
+
+@query()
+def sentence_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of whole sentences."""
+    return ingest.sentence_chunks(table(spark, sf_dir, "documents").select("doc_id", "text"), 128, 16).select("doc_id", "chunk_index", "text")
+
+
+@query(f"with {S.PAPERS} select paper_id, 0 as chunk_index, title as paper_title, 'Abstract' as section, pdf_url, year from papers where abstract <> ''")
+def abstract_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fast mode: a chunk per abstract."""
+    return ingest.abstract_chunks(papers(spark, sf_dir)).select("paper_id", "chunk_index", "paper_title", "section", "pdf_url", "year")
+
+
+@query()
+def embed_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stand-in vectors of all documents, reduced to their norms."""
+    rows = ingest.embed(table(spark, sf_dir, "documents").select("doc_id", "text"), dims=64)
+    return rows.select("doc_id", F.size("embedding").alias("dims"), F.round(V.norm("embedding"), 5).alias("length"))
+
+
+def _rerank_sql() -> str:
+    a, b = f"list_distinct({S.tok('query')})", f"list_distinct({S.tok('text')})"
+    share = f"(len(list_intersect({a}, {b}))::double / len({a}))"
+    return f"""with {_FUSED}, s as (select query_id, doc, rank, 1 / (1 + exp(-({share} * 8 - 4))) as rerank_score from placed join questions using (query_id) join documents on doc_id = doc where rank <= 10)
+select query_id, doc, round(rerank_score, 6) as rerank_score, rerank_rank from (select *, row_number() over (partition by query_id order by rerank_score desc, rank) as rerank_rank from s) where rerank_rank <= 5"""
+
+
+def _retrieved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "text", "source")
+    return _fused(spark, sf_dir).select("query_id", "doc", "rank").join(texts, "doc").join(questions(spark, sf_dir), "query_id")
+
+
+@query(_rerank_sql())
+def rerank_standin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fused lists reranked by word overlap."""
+    return ingest.rerank(_retrieved(spark, sf_dir), 5).select("query_id", "doc", F.round("rerank_score", 6).alias("rerank_score"), F.col("rerank_rank").cast("long").alias("rerank_rank"))
+
+
+# ---------------------------------------------------------------- answers
+
+
+@query(f"""with {_FUSED} select query_id, string_agg('[' || rank || '] ' || substr(text, 1, 200), '\n---\n' order by rank) as context from placed join documents on doc_id = doc where rank <= 5 group by query_id""")
+def context_string(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five first passages of each query as numbered context."""
+    rows = _retrieved(spark, sf_dir).where("rank <= 5").select("query_id", "rank", F.substring("text", 1, 200).alias("text"))
+    return answers.context(rows)
+
+
+@query(f"""with {_FUSED} select query_id, string_agg(rank || '. ' || coalesce(nullif(title, ''), 'Unknown title') || ' (' || coalesce(pdf_url, '') || ')', '\n' order by rank) as sources
+from placed join (with {S.PAPERS} select * from papers) p on p.ix = doc where rank <= 10 group by query_id""")
+def source_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The numbered list of sources of each query."""
+    p = papers(spark, sf_dir).select(F.col("ix").alias("doc"), F.col("title").alias("paper_title"), "pdf_url")
+    return files.export_sources(_fused(spark, sf_dir).select("query_id", "doc", "rank").join(p, "doc"))
+
+
+_ANSWERED = """answered as (select conv_id, turn, text || ' [' || (conv_id % 7) || '] and [' || (turn + 1) || '] 【' || (conv_id % 3 + 1) || '†source】' as raw, conv_id % 5 + 1 as n_passages from conversations where role = 'assistant'),
+cleaned as (select conv_id, turn, n_passages, regexp_replace(translate(raw, '【】', '[]'), '†[^\\]]*', '', 'g') as answer from answered),
+found as (select *, list_sort(list_distinct(list_transform(regexp_extract_all(answer, '\\[(\\d+)\\]', 1), lambda x: cast(x as bigint)))) as found from cleaned)"""
+
+
+def _answered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Assistant turns with citations put after them by formula, for the table has none."""
+    c, t = F.col("conv_id"), F.col("turn")
+    raw = F.concat("text", F.lit(" ["), (c % 7).cast("string"), F.lit("] and ["), (t + 1).cast("string"), F.lit("] 【"), (c % 3 + 1).cast("string"), F.lit("†source】"))
+    return table(spark, sf_dir, "conversations").where("role = 'assistant'").select("conv_id", "turn", T.clean_citations(raw).alias("answer"), (c % 5 + 1).alias("n_passages"))
+
+
+@query(f"with {_ANSWERED} select conv_id, turn, answer from cleaned")
+def clean_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers with plain citations."""
+    return _answered(spark, sf_dir).select("conv_id", "turn", "answer")
+
+
+@query(f"with {_ANSWERED} select conv_id, turn, array_to_string(found, ',') as citations, len(found) as n_citations from found")
+def citations_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The numbers that each answer cites."""
+    rows = _answered(spark, sf_dir).withColumn("c", T.citations("answer"))
+    return rows.select("conv_id", "turn", F.array_join(F.transform("c", lambda x: x.cast("string")), ",").alias("citations"), F.size("c").cast("long").alias("n_citations"))
+
+
+_VERIFIED = f"{_ANSWERED}, bad as (select *, list_filter(found, lambda x: x <= 0 or x > n_passages) as invalid from found)"
+
+
+@query(f"""with {_VERIFIED} select conv_id, turn, len(invalid) = 0 as valid, array_to_string(invalid, ',') as invalid,
+case when len(found) = 0 then 'No citations found in answer.' when len(invalid) = 0 then 'All citations are valid.' else 'Invalid citations: [' || array_to_string(invalid, ', ') || ']. Valid range is 1-' || n_passages || '.' end as reason from bad""")
+def citations_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether citations lie within the passages."""
+    return answers.verify(_answered(spark, sf_dir)).select("conv_id", "turn", "valid", F.array_join(F.transform("invalid", lambda x: x.cast("string")), ",").alias("invalid"), "reason")
+
+
+@query(f"""with {_VERIFIED} select count(*) as n_answers, count(*) filter (where len(invalid) = 0) as n_valid, round(avg(case when len(invalid) = 0 then 1.0::double else 0 end), 6) as validity,
+round(sum(len(found) - len(invalid))::double / sum(len(found)), 6) as accuracy from bad""")
+def citation_validity_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shares of valid answers and citations."""
+    return answers.validity_rate(answers.verify(_answered(spark, sf_dir))).select("n_answers", "n_valid", F.round("validity", 6).alias("validity"), F.round("accuracy", 6).alias("accuracy"))
+
+
+# Replies by formula: plain JSON, JSON inside prose with single quotes, a decomposition, broken text.
+_REPLY = """case query_id % 4 when 0 then '{{"strategy": "expansion", "intent_type": "news", "final_rephrase": "r{0}", "primary": "p{0}", "broad": "b{0}", "alternative": "a{0}"}}'
+when 1 then 'Here it is: {{''strategy'': ''expansion'', ''final_rephrase'': ''r{0}'', ''primary'': ''p{0}'', ''broad'': ''b{0}'', ''alternative'': ''a{0}''}} done'
+when 2 then '{{"strategy": "decomposition", "final_rephrase": "r{0}", "sub_queries": ["s{0}", "t{0}"]}}' else 'no json' end"""
+
+
+def _optimized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    reply = _REPLY.replace("''", "\\'").replace("{{", "{").replace("}}", "}")
+    parts = questions(spark, sf_dir).withColumn("reply", F.replace(F.expr(reply), F.lit("{0}"), F.col("query_id").cast("string")))
+    return answers.parse_optimized(parts)
+
+
+@query(f"""with {S.QUESTIONS} select query_id, query_id % 4 <> 3 as parsed, case when query_id % 4 = 2 then 'decomposition' else 'expansion' end as strategy,
+case when query_id % 4 = 0 then 'news' else 'general' end as intent_type, case when query_id % 4 = 3 then query else 'r' || query_id end as final_rephrase,
+case when query_id % 4 in (2, 3) then query else 'p' || query_id end as primary, case when query_id % 4 = 2 then 's' || query_id || ',t' || query_id else '' end as sub_queries from questions""")
+def optimizer_json_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Replies of a query optimiser read with fallbacks."""
+    return _optimized(spark, sf_dir).select("query_id", "parsed", "strategy", "intent_type", "final_rephrase", "primary", F.array_join("sub_queries", ",").alias("sub_queries"))
+
+
+@query(f"""with {S.QUESTIONS} select query_id, v.i as variant_ix, case when query_id % 4 = 3 then query when query_id % 4 = 2 then ['s', 't'][v.i + 1] || query_id else ['p', 'b', 'a'][v.i + 1] || query_id end as query
+from questions, (select unnest(range(3)) as i) v where query_id % 4 <> 2 or v.i < 2""")
+def search_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The searches that each optimised query leads to."""
+    return answers.search_variants(_optimized(spark, sf_dir)).select("query_id", F.col("variant_ix").cast("long").alias("variant_ix"), "query")
+
+
+@query("select event_id, cast(json_extract_string(props, '$.k') as integer) as k, event_type from events where cast(json_extract_string(props, '$.k') as integer) >= 50")
+def event_props_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events by a field of their JSON properties."""
+    return table(spark, sf_dir, "events").select("event_id", F.from_json("props", "k int")["k"].alias("k"), "event_type").where("k >= 50")
+
+
+@query("""select conv_id, turn, trim(regexp_extract('Question: ' || role || E'\n' || 'ANSWER: ' || text, '(?is)question:\\s*(.*?)\\s*answer:', 1)) as question, length(text) > 0 as answered from conversations""")
+def question_answer_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Question and answer blocks of a reply."""
+    q, a = answers.question_and_answer(F.concat(F.lit("Question: "), "role", F.lit("\nANSWER: "), "text"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", q.alias("question"), (F.length(a) > 0).alias("answered"))
+
+
+@query("""with s as (select user_id as query_id, event_type as stage, sum(value) as seconds, max(case when event_type = 'error' then 'failed' end) as error from events group by all)
+select query_id, count(*) as n_stages, round(sum(seconds), 4) as total_s, count(error) as n_errors, case when count(error) > 0 then 500 else 200 end as status from s group by query_id""")
+def stage_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Timings, errors and status of each request."""
+    stages = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("query_id"), F.col("event_type").alias("stage")).agg(F.sum("value").alias("seconds"), F.max(F.when(F.col("event_type") == "error", F.lit("failed"))).alias("error"))
+    return answers.stage_report(stages).select("query_id", F.size("timing").cast("long").alias("n_stages"), F.round("total_s", 4).alias("total_s"), F.size("errors").cast("long").alias("n_errors"), "status")
+
+
+# ---------------------------------------------------------------- admission and streams
+
+
+@query("select event_id, user_id, count(*) over (partition by user_id order by ts range between interval 1 day preceding and current row) as n_recent from events")
+def rate_limit_sliding_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user's events in the day before each event."""
+    return limits.sliding_count(table(spark, sf_dir, "events"), 86_400).select("event_id", "user_id", "n_recent")
+
+
+@query("""with recursive e as (select event_id, user_id, epoch(ts) as t, row_number() over (partition by user_id order by ts, event_id) as k from events),
+a(event_id, user_id, k, admitted, recent) as (
+  select event_id, user_id, k, true, [t] from e where k = 1
+  union all
+  select e.event_id, e.user_id, e.k, len(list_filter(a.recent, lambda x: e.t - x < 86400)) < 2,
+    case when len(list_filter(a.recent, lambda x: e.t - x < 86400)) < 2 then list_append(list_filter(a.recent, lambda x: e.t - x < 86400), e.t) else list_filter(a.recent, lambda x: e.t - x < 86400) end
+  from a join e on e.user_id = a.user_id and e.k = a.k + 1)
+select event_id, user_id, admitted from a""")
+def rate_limit_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two admitted events per user and day; refused ones do not count."""
+    return limits.admit(table(spark, sf_dir, "events"), 2, 86_400).select("event_id", "user_id", "admitted")
+
+
+@query("select event_id, event_type, row_number() over (partition by event_type order by ts, event_id) as position from events")
+def queue_position(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The place of each request in its queue."""
+    return limits.queue_positions(table(spark, sf_dir, "events"), "event_type").select("event_id", "event_type", F.col("position").cast("long").alias("position"))
+
+
+@query("select time_bucket(interval 6 hour, ts, timestamp '1970-01-01') as window_start, event_type, count(*) as n, round(sum(value), 4) as total from events group by all")
+def event_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts in windows of six hours."""
+    return _windowed(windows.counts(windows.stamped(table(spark, sf_dir, "events")), "6 hours"))
+
+
+@query("""select time_bucket(interval 3 hour, ts, timestamp '1970-01-01') - i * interval 3 hour as window_start, event_type, count(*) as n, round(sum(value), 4) as total from events, (select unnest([0, 1]) as i) group by all""")
+def event_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts in windows of six hours that start every three."""
+    return _windowed(windows.counts(windows.stamped(table(spark, sf_dir, "events")), "6 hours", "3 hours"))
+
+
+def _windowed(rows: DataFrame) -> DataFrame:
+    return rows.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+@query("""with g as (select user_id, ts, case when ts >= lag(ts) over (partition by user_id order by ts) + interval 4 hour then 1 else 0 end as fresh from events),
+s as (select user_id, ts, sum(fresh) over (partition by user_id order by ts rows unbounded preceding) as k from g)
+select user_id, min(ts) as session_start, count(*) as n from s group by user_id, k""")
+def event_session(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions that end after four quiet hours."""
+    rows = windows.sessions(windows.stamped(table(spark, sf_dir, "events")), "4 hours")
+    return rows.select("user_id", F.col("session_start").cast("timestamp_ntz").alias("session_start"), "n")
+
+
+@query()
+def answer_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole dataflow, from optimised queries to cited context."""
+    return retrieval.answer_queries(_optimized(spark, sf_dir), _hits(spark, sf_dir), dims=64)
