@@ -1,0 +1,38 @@
+import corpus_pipeline
+from quarrystone.llm import langid, mixing
+from tests.llm.test_minhash import brute
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def test_stages_take_effect(spark, sf_dir):
+    """Each stage against its definition, on its own input."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "minhash_near_dedup", "secret_scan", "mixing", "byte_bpe"]
+    extra = spark.createDataFrame([(10**9, "1234 5678", "en", "s", 9), (10**9 + 1, None, None, None, None), (10**9 + 2, "please keep token=abcdef0123456789 out", "en", "src1", 38)], docs.schema)
+    docs = docs.unionByName(extra)
+    stage = dict(corpus_pipeline.STAGES)
+    first = stage["language_id"](spark, docs, sf_dir)
+    assert first.columns == COLUMNS
+    names = {r.doc_id: r for r in langid.identify(docs).collect()}
+    assert {r.doc_id for r in first.collect()} == {i for i, r in names.items() if r.lang_pred != "und" and r.score >= 0.3}
+    assert docs.count() - first.count() >= 2
+    second = stage["minhash_near_dedup"](spark, first, sf_dir)
+    want = brute([(r.doc_id, r.text) for r in first.collect()], 80, 100)
+    assert second.columns == COLUMNS and {r.doc_id for r in second.collect()} == {i for i, c in want.items() if i == c}
+    third = stage["secret_scan"](spark, second, sf_dir)
+    assert third.columns == COLUMNS and third.count() == second.count()
+    assert {r.doc_id: r.text for r in third.collect()}[10**9 + 2] == "please keep [assign] out"
+    fourth = stage["mixing"](spark, third, sf_dir)
+    topics = mixing.topics_of_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    drawn = {r.row.doc_id for r in mixing.mix_documents(third, topics).collect() if r.sampled}
+    assert fourth.columns == COLUMNS and {r.doc_id for r in fourth.collect()} == drawn and 0 < len(drawn) < third.count()
+    last = stage["byte_bpe"](spark, fourth, sf_dir).collect()
+    assert {r.doc_id for r in last} == drawn and all(len(r.ids) == r.n_tokens for r in last)
+
+
+def test_empty_documents(spark, sf_dir, no_docs):
+    docs = no_docs
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, sf_dir)
+    assert docs.count() == 0
