@@ -88,4 +88,4 @@ def html_text(html: Column | str) -> Column:
     plain = F.regexp_replace(lines, r"<[^>]*>", "")
     for name, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
         plain = F.replace(plain, F.lit(name), F.lit(char))
-    return F.trim(F.regexp_replace(F.regexp_replace(plain, r"[ \t\r]+", " "), r" ?\n[ \n]*", "\n"))
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(plain, r"[ \t\r]+", " "), r" ?\n[ \n]*", "\n"), r"^\s+|\s+$", "")

@@ -1,0 +1,92 @@
+"""Files in and out, and the streaming forms of operators that also run in batch."""
+
+import json
+
+from pyspark.sql import functions as F
+
+from quarrystone.functions import text as T
+from quarrystone.operators import limits
+from quarrystone.sources import files
+from quarrystone.sources.tables import SCHEMAS, table
+from quarrystone.streaming import admission, windows
+
+
+def test_documents_from_files(spark, tmp_path):
+    (tmp_path / "a.html").write_text("<html><head><title>t</title><style>p{}</style></head><body><!-- c --><p>One &amp; two</p><script>x()</script><p>three</p></body></html>")
+    (tmp_path / "b.html").write_text("<p>" + "long text " * 100 + "</p>")
+    (tmp_path / "c.html").write_text("<p> </p>")
+    got = {r.path[-6:]: r for r in files.read_documents(spark, str(tmp_path)).collect()}
+    assert got["a.html"].text.split("\n") == ["One & two", "three"] or got["a.html"].text.split() == ["One", "&", "two", "three"]
+    assert [got[n].status for n in ("a.html", "b.html", "c.html")] == ["too_short", "ok", "empty"]
+
+
+def test_golden_set(spark, tmp_path):
+    rows = [{"input": "q", "actual_output": "a [1]", "retrieval_context": ["x", "y"]}]
+    (tmp_path / "golden.json").write_text(json.dumps(rows, indent=2))
+    got = files.read_golden(spark, str(tmp_path / "golden.json"))
+    assert got.first().retrieval_context == ["x", "y"]
+    files.write_golden(got, str(tmp_path / "out"))
+    assert spark.read.schema(SCHEMAS["golden"]).json(str(tmp_path / "out")).collect() == got.collect()
+
+
+def test_failed_searches_are_left_out(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"paper_id": "1", "title": "t"}\nnot json\n')
+    got = files.read_many(spark, [str(tmp_path / "missing.json"), str(tmp_path / "a.json")], "papers").where("paper_id is not null")
+    assert [(r.paper_id, r.variant_ix) for r in got.collect()] == [("1", 1)]
+    assert files.read_many(spark, [], "papers").count() == 0
+
+
+def test_source_list(spark):
+    rows = spark.createDataFrame([(1, 2, None, None), (1, 1, "T", "u")], "query_id long, rank int, paper_title string, pdf_url string")
+    assert files.export_sources(rows).first().sources == "1. T (u)\n2. Unknown title ()"
+
+
+def test_title_key_and_snippets(spark):
+    r = spark.createDataFrame([("  A Title ", "x" * 201)], "t string, s string").select(T.title_key("t").alias("k"), T.snippet("s").alias("s"), T.first_filled(F.lit(""), "t").alias("f")).first()
+    assert r.k == "a title" and r.s == "x" * 200 + "..." and r.f == "  A Title "
+
+
+def run_stream(spark, df, name, mode="append"):
+    q = df.writeStream.format("memory").queryName(name).outputMode(mode).start()
+    q.processAllAvailable()
+    q.stop()
+    return spark.table(name)
+
+
+def stream_of(spark, sf_dir, tmp_path):
+    events = table(spark, sf_dir, "events").orderBy("ts").limit(400)
+    for i, (lo, hi) in enumerate(((0, 200), (200, 400))):
+        part = events.toPandas().iloc[lo:hi]
+        spark.createDataFrame(part, events.schema).coalesce(1).write.mode("overwrite").parquet(str(tmp_path / "in" / f"batch={i}"))
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    return events, stream
+
+
+def test_windows_on_a_stream_equal_batch(spark, sf_dir, tmp_path):
+    events, stream = stream_of(spark, sf_dir, tmp_path)
+    got = run_stream(spark, windows.counts(windows.stamped(stream, "60 days"), "6 hours"), "counted", "complete")
+    want = windows.counts(windows.stamped(events), "6 hours")
+    show = lambda df: sorted((str(r.window_start), r.event_type, r.n, round(r.total, 6)) for r in df.collect())
+    assert show(got) == show(want)
+
+
+def test_admission_on_a_stream_equals_batch(spark, sf_dir, tmp_path):
+    events, stream = stream_of(spark, sf_dir, tmp_path)
+    got = run_stream(spark, admission.admit_stream(stream, 1, 86_400), "admitted")
+    want = limits.admit(events, 1, 86_400)
+    show = lambda df: sorted((r.event_id, r.admitted) for r in df.collect())
+    assert show(got) == show(want) and len({a for _, a in show(got)}) == 2
+
+
+def test_queue_goes_on_after_a_failure(spark, sf_dir, tmp_path):
+    _, stream = stream_of(spark, sf_dir, tmp_path)
+    seen = []
+
+    def handle(batch, number):
+        seen.append(batch.count())
+        if number == 0:
+            raise ValueError("no")
+
+    q = admission.run_queue(stream, handle, str(tmp_path / "checkpoint"), available_now=True)
+    q.awaitTermination(60)
+    assert len(seen) == 2 and sum(seen) == 400
