@@ -1,7 +1,6 @@
 """Shared plumbing of the training-data operators.
 
-* ``cut``            -- ends a lineage in the cluster's shared checkpoint folder
-* ``join_bounded``   -- broadcasts the right side only after counting it
+* ``text_batches``   -- keeps the Arrow batches of long texts small
 * ``components``     -- connected components by alternating large/small stars
 * ``star_edges``     -- links every bucket member with the bucket's smallest id
 * ``block_groups``   -- splits clusters of any size into bounded block pairs
@@ -10,52 +9,19 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-#: Rows of a join side that may be broadcast (at about 100 bytes a row: 40 MB).
-BROADCAST_ROWS = 400_000
+from ..lineage import cut, join_bounded, shared_dir, written  # noqa: F401
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share; made here only where none is set."""
-    sc = spark.sparkContext
-    set_dir = sc._jsc.sc().getCheckpointDir()
-    if set_dir.isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quarrystone-"))
-        set_dir = sc._jsc.sc().getCheckpointDir()
-    return set_dir.get()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Writes ``df`` to the shared checkpoint folder and goes on from there."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def written(df: DataFrame) -> tuple[DataFrame, Callable[[], None]]:
-    """``df`` as a Parquet table in the shared folder, and what deletes it; for loops, whose plans would carry all earlier constraints along."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm = spark._jvm
-
-    def drop() -> None:
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-
-    return spark.read.schema(df.schema).parquet(path), drop
-
-
-def join_bounded(left: DataFrame, right: DataFrame, on: str | list[str], how: str = "inner", rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Joins ``left`` with a materialised ``right``: by broadcast if it has at most ``rows`` rows, else by a shuffled join."""
-    small = right.count() <= rows
-    return left.join(F.broadcast(right) if small else right.hint("merge"), on, how)
+def text_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Sets the session's Arrow batches to ``rows`` rows at most: texts are long, and a batch is held several times over."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > rows:
+        spark.conf.set(key, rows)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -188,7 +154,7 @@ class ShingleHasher:
     combines its words' hashes by position. All steps are array operations.
     """
 
-    CHUNK = 1 << 21  # bytes of text handled at a time; a longer text is handled alone
+    CHUNK = 1 << 19  # bytes of text handled at a time; a longer text is handled alone
 
     def __init__(self, width: int = 5):
         self.width = width

@@ -21,10 +21,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from ._common import text_batches
+
 #: Characters per call of the library; a longer match is encoded alone and whole.
 CALL_CHARS = 1 << 18
 #: Matches whose ids a worker remembers; beyond that it starts afresh.
-KNOWN = 400_000
+KNOWN = 300_000
 
 
 def byte_characters() -> dict[int, str]:
@@ -111,7 +113,7 @@ def _lists(arrays: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(at), pa.array(flat).cast(kind))
 
 
-def _texts(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+def _texts(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lo in range(0, batch.num_rows, rows):
             yield batch.slice(lo, rows)
@@ -168,6 +170,7 @@ def _rank_file(path: str) -> str:
 
 
 def _narrow(docs: DataFrame) -> DataFrame:
+    text_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 

@@ -18,10 +18,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
+from ._common import text_batches
+
 DIMS = 1 << 15
 ORDERS = 4
 ROWS = 128  # texts scored at a time
-CHARS = 1 << 21  # characters hashed at a time; a longer text alone
+CHARS = 1 << 19  # characters hashed at a time; a longer text alone
 UNKNOWN = "und"
 
 
@@ -123,6 +125,7 @@ def fit(docs: DataFrame, per_language: int = 300, landmarks: int = 64) -> Model:
     Rows with a null text, lang or doc_id, or no letter, teach nothing. Only bit vectors of fixed
     size come to the driver.
     """
+    text_batches(docs.sparkSession)
     known = docs.where("text is not null and lang is not null and doc_id is not null").select(F.xxhash64(F.col("doc_id").cast("long"), "lang").alias("key"), "lang", F.col("text").cast("string").alias("text"))
     place = F.row_number().over(Window.partitionBy("lang").orderBy("key"))
     chosen = known.select("key", "lang").distinct().select("key", place.alias("_n")).where(F.col("_n") <= per_language).select("key")
@@ -149,6 +152,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     Null texts and texts without letters get ``und`` and 0; long texts are read whole; repeated rows
     are scored each; an empty table gives an empty result.
     """
+    text_batches(docs.sparkSession)
     weights = docs.sparkSession.sparkContext.broadcast(model.weights)  # DIMS x languages
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text").cast("string").alias("text"))
     schema = T.StructType([rows.schema["row"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])

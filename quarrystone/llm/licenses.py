@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ._common import ShingleHasher, mix
+from ._common import ShingleHasher, mix, text_batches
 
 # Families and phrases of their usual notices.
 TEMPLATES: dict[str, tuple[str, ...]] = {
@@ -121,10 +121,11 @@ class Classifier:
         """(paragraph, family or unknown, probability) of those that look like a licence."""
         grams, order, row, words = features.of(data, offs)
         p = self.probabilities(self.logits(grams, row, len(words)))
-        out = []
+        out, double = [], order == 2
+        grams, row = grams[double], row[double]
         for i in np.flatnonzero(1 - p[:, -1] >= LOOKS).tolist():
             family = int(p[i, :-1].argmax())
-            pairs = np.unique(grams[(order == 2)][self._rows(row[order == 2], i)])
+            pairs = np.unique(grams[self._rows(row, i)])
             sure = p[i, family] >= FAMILY_SHARE and self.confirms(family, pairs)
             out.append((i, FAMILIES[family] if sure else UNKNOWN, float(p[i, family]) if sure else float(1 - p[i, -1])))
         return out
@@ -243,6 +244,7 @@ def scan(docs: DataFrame, model: Classifier) -> DataFrame:
     Whole texts are read. Null, empty and blank texts have no paragraphs; a null doc_id stays null;
     repeated rows are scanned each; other columns are left out; an empty table gives an empty result.
     """
+    text_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # DIMS x classes
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_scan(shared), SCANNED)
 

@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ._common import Forest, ShingleHasher, block_groups, components, cut, grouped, join_bounded, mix, star_edges
+from ._common import Forest, ShingleHasher, block_groups, components, cut, grouped, join_bounded, mix, star_edges, text_batches
 
 CHUNKS, WIDTH = 8, 6
 SYMBOLS = CHUNKS * WIDTH
@@ -144,6 +144,7 @@ def near_duplicates(docs: DataFrame, num: int = 80, den: int = 100, width: int =
     table gives an empty result. ``num / den`` may be lowered to about 0.8 before the keys miss
     one link in ten thousand.
     """
+    text_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = cut(rows.mapInArrow(_sign(width), SIGNED))
     filed = signed.where("doc_id is not null and n_shingles > 0")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from ._common import cut, shared_dir
+from ._common import cut, shared_dir, text_batches
 
 DICTIONARY_FRAME = 0x184D2A5D
 ARCHIVE_BYTES = 64 << 20  # compressed size at which a task starts its next archive
@@ -216,6 +216,7 @@ def write_archives(pages: DataFrame, folder: str, date: str = "2024-01-01T00:00:
     Payloads of any size are archived whole; other columns are left out; no rows, no archives.
     """
     spark = pages.sparkSession
+    text_batches(spark)
     files, root = _filesystem(folder)
     files.create_dir(root, recursive=True)
     rows = plan_records(pages)
