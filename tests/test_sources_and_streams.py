@@ -90,3 +90,25 @@ def test_queue_goes_on_after_a_failure(spark, sf_dir, tmp_path):
     q = admission.run_queue(stream, handle, str(tmp_path / "checkpoint"), available_now=True)
     q.awaitTermination(60)
     assert len(seen) == 2 and sum(seen) == 400
+
+
+def test_search_source(spark, tmp_path):
+    from quarrystone.sources import search
+
+    paper = lambda i, year=2000, pdf="u": {"paperId": f"P{i}", "title": f"t{i}", "year": year, "citationCount": None, "openAccessPdf": {"url": pdf}}
+    pages = [{"data": [paper(1), paper(2, 1980), paper(3, None), paper(4, pdf=None), paper(5), paper(6)]}, {"status": 503}, {"status": 400, "data": [paper(7)]}]
+    for i, page in enumerate(pages):
+        (tmp_path / f"{i}.json").write_text(json.dumps(page))
+    got = search.search(spark, str(tmp_path), 4, limit=2, pause=0).collect()
+    assert [(r.variant_ix, r.hit_ix, r.paper_id, r.citation_count) for r in got] == [(0, 0, "P1", 0), (0, 1, "P5", 0)]
+    assert search.search(spark, str(tmp_path), 1, minYear=0, openAccess="false").count() == 6
+    tries = []
+    assert search.search_page(lambda p, v: (tries.append(1), (200, [1]) if len(tries) == 3 else (429, []))[1], "", 0, pause=0) == [1] and len(tries) == 3
+
+
+def test_generated_inputs(spark):
+    from quarrystone.sources import generate
+
+    rows = generate.paragraphs(spark, 50).collect()
+    assert len(rows) == 50 and all(100 <= len(r.text) <= 500 for r in rows) and rows[0].text.startswith("fasting")
+    assert all(abs(sum(x * x for x in r.embedding) - 1) < 1e-4 for r in generate.vectors(spark, 5, 16).collect())
