@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from ..functions import text as T, vectors as V
+from ..functions import scalars, text as T, vectors as V
 from ..operators import answers, dedup, gate, ingest, keyword, limits, ranking, vector
 from ..sources import files
 from ..sources.tables import papers, questions, table
@@ -62,6 +62,21 @@ def page_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", F.length("url").alias("n_url"), F.coalesce(F.length("html") > 0, F.lit(False)).alias("has_html"))
 
 
+@query("""select page_id, '{"page_id":' || page_id || ',"kind":"' || case when page_id % 2 = 0 then 'even' else 'odd' end || '"}' as json, substr(html, 1, 80) as preview, (length(html) + 31) // 32 as n_batches from pages""")
+def public_dump(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows as JSON without their hidden columns, previews and batch counts."""
+    rows = table(spark, sf_dir, "pages").withColumn("kind", F.when(F.col("page_id") % 2 == 0, "even").otherwise("odd"))
+    shown = F.to_json(F.struct("page_id", "kind")).alias("json")
+    return rows.select("page_id", shown, scalars.preview("html", 80).alias("preview"), scalars.n_batches(F.length("html"), 32).alias("n_batches"))
+
+
+@query("""select event_id, case when value = 0 then null else round(1 / (1 + exp(-value / 100)), 6) end as squashed, round(case when max(value) over w > 0 then value / max(value) over w else 0 end, 6) as share from events window w as (partition by event_type)""")
+def scalar_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sigmoid, share of the group's maximum, and NaN as null."""
+    value = F.when(F.col("value") == 0, float("nan")).otherwise(F.col("value"))
+    return table(spark, sf_dir, "events").select("event_id", F.round(scalars.sigmoid(scalars.nan_to_null(value) / 100), 6).alias("squashed"), F.round(scalars.share_of_max("value", "event_type"), 6).alias("share"))
+
+
 @query()
 def html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text of each page and whether it is long enough."""

@@ -189,3 +189,28 @@ def test_stage_report(spark):
     rows = spark.createDataFrame([(1, "search", 1.0, None), (1, "rank", 2.0, None), (2, "search", 1.0, "down"), (3, "rank", 1.0, "bad")], "query_id long, stage string, seconds double, error string")
     got = {r.query_id: r for r in answers.stage_report(rows).collect()}
     assert [got[i].status for i in (1, 2, 3)] == [200, 503, 500] and got[1].total_s == 3 and got[1].timing == {"rank": 2.0, "search": 1.0}
+
+
+def test_small_functions(spark):
+    from quarrystone.functions import scalars
+
+    row = spark.createDataFrame([([[1.0, 2.0], [3.0, 4.0], [100.0, 100.0]], [1, 1, 0], float("nan"))], "t array<array<double>>, m array<int>, x double")
+    got = row.select(scalars.masked_mean("t", "m", 2).alias("a"), scalars.masked_mean("t", F.array(F.lit(0), F.lit(0), F.lit(0)), 2).alias("z"), scalars.nan_to_null("x").alias("n")).first()
+    assert got.a == [2.0, 3.0] and got.z == [0.0, 0.0] and got.n is None
+    assert scalars.public_row(spark.createDataFrame([(1, None, "s")], "a int, b int, secret string"), "secret").first().json == '{"a":1}'
+    checked = spark.createDataFrame([("",)], "paper_id string").select(gate.check_inputs(None))
+    with pytest.raises(Exception, match="no id"):
+        checked.collect()
+
+
+def test_stratified_slots(spark):
+    rows = [(1, s, d, r + 1) for s in range(2) for r, d in enumerate(range(s * 20, s * 20 + 30))]
+    got = ranking.stratified(spark.createDataFrame(rows, "query_id long, sub_ix int, doc long, rank int")).orderBy("final_rank").collect()
+    assert [r.doc for r in got] == list(range(0, 25)) + list(range(25, 45)) and len({r.doc for r in got}) == len(got)
+
+
+def test_pipeline_keeps_a_row_for_every_query(spark):
+    q = spark.createDataFrame([(1, "sleep and fasting", None), (2, "nothing found", None)], "query_id long, query string, reply string")
+    hits = spark.createDataFrame([(1, i, f"P{i}", f"sleep title {i}", f"fasting text {i} " * 30, 2000 + i, 5, 1, "u", [0.5] * 8) for i in range(30)], "query_id long, ix long, paper_id string, title string, abstract string, year int, citation_count long, influential_citation_count long, pdf_url string, embedding array<float>")
+    got = {r.query_id: r for r in retrieval.answer_queries(answers.parse_optimized(q), hits, 8).collect()}
+    assert got[1].passed and got[1].n_passages == 12 and got[1].context.startswith("[1] ") and not got[2].passed and got[2].context == ""
