@@ -18,8 +18,7 @@ def words(text: Column | str) -> Column:
 
 def content_words(text: Column | str, stop: tuple[str, ...] = STOP_WORDS) -> Column:
     """``words`` without stop words, duplicates kept."""
-    stopped = F.array(*map(F.lit, stop))
-    return F.filter(words(text), lambda w: ~F.array_contains(stopped, w))
+    return F.filter(words(text), lambda w: ~w.isin(*stop)) if stop else words(text)
 
 
 def tokens(text: Column | str) -> Column:
