@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..lineage import cut, join_bounded, shared_dir, written  # noqa: F401
 
@@ -24,6 +24,20 @@ def text_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(key, rows)
 
 
+def hash_share(h: Column, share: float) -> Column:
+    """Whether a 64-bit hash lies in the lowest ``share`` of all values."""
+    return h < F.lit(min(2**63 - 1, int(-(2**63) + share * 2.0**64))) if share < 1 else F.lit(True)
+
+
+def sample_keys(df: DataFrame, h: Column, n: int) -> DataFrame:
+    """One column ``_h``: about the ``n`` smallest values of the hash ``h`` over all rows of ``df``.
+
+    The rows are counted first, so that only about 2n hashes, not n of each task, reach the driver.
+    """
+    count = df.count()
+    return df.select(h.alias("_h")).where(hash_share(F.col("_h"), 2 * n / max(count, 1))).distinct().orderBy("_h").limit(n)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges`` (a, b: long): one row (node, component) per node, component the smallest id.
 

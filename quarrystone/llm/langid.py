@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from ._common import text_batches
+from ._common import hash_share, text_batches
 
 DIMS = 1 << 15
 ORDERS = 4
@@ -103,32 +103,47 @@ class Model:
         return names, np.where(letters, share[np.arange(len(best)), best], 0.0)
 
 
+def _unpacked(packed: np.ndarray) -> np.ndarray:
+    """Packed presence vectors as rows of length one; a few rows at a time, for each takes DIMS floats."""
+    x = np.unpackbits(packed, axis=1).astype(np.float32)
+    return x / np.sqrt(np.maximum(x.sum(1, keepdims=True), 1))
+
+
 def solve(bits: list[bytes], labels: list[str], landmarks: int = 64, ridge: float = 1e-3) -> Model:
     """Fits the model to presence vectors; ``landmarks`` per language are the first ones of each."""
     languages = sorted(set(labels))
     if not languages:
         return Model([], np.zeros((DIMS, 0), np.float32))
-    x = np.unpackbits(np.frombuffer(b"".join(bits), np.uint8).reshape(len(bits), DIMS // 8), axis=1).astype(np.float32)
-    x /= np.sqrt(np.maximum(x.sum(1, keepdims=True), 1))
+    packed = np.frombuffer(b"".join(bits), np.uint8).reshape(len(bits), DIMS // 8)
     which = np.array([languages.index(v) for v in labels])
-    marks = x[np.concatenate([np.flatnonzero(which == c)[:landmarks] for c in range(len(languages))])]
-    near, own = (x @ marks.T).astype(np.float64), (marks @ marks.T).astype(np.float64)
+    marks = _unpacked(packed[np.concatenate([np.flatnonzero(which == c)[:landmarks] for c in range(len(languages))])])
+    near = np.concatenate([_unpacked(packed[lo : lo + ROWS]) @ marks.T for lo in range(0, len(packed), ROWS)]).astype(np.float64)
+    own = (marks @ marks.T).astype(np.float64)
     weight = 1 / np.bincount(which)[which]  # each language counts alike
     target = (which[:, None] == np.arange(len(languages))).astype(np.float64)
     left = near.T @ (near * weight[:, None]) + ridge * len(languages) * own + 1e-8 * np.eye(len(own))
-    return Model(languages, (marks.T.astype(np.float64) @ np.linalg.solve(left, near.T @ (target * weight[:, None]))).astype(np.float32))
+    coefficients = np.linalg.solve(left, near.T @ (target * weight[:, None]))
+    return Model(languages, marks.T @ coefficients.astype(np.float32))
 
 
-def fit(docs: DataFrame, per_language: int = 300, landmarks: int = 64) -> Model:
-    """Fits on at most ``per_language`` rows of each language of ``docs`` (doc_id, text, lang), taken by a hash of doc_id and lang.
+def fit(docs: DataFrame, per_language: int = 300, landmarks: int = 64, max_languages: int = 256) -> Model:
+    """Fits on about ``per_language`` rows of each language of ``docs`` (doc_id, text, lang), taken by a hash of doc_id and lang.
 
-    Rows with a null text, lang or doc_id, or no letter, teach nothing. Only bit vectors of fixed
-    size come to the driver.
+    Rows with a null text, lang or doc_id, or no letter, teach nothing; of more than ``max_languages``
+    languages the most frequent are learnt. Rows are counted first, so that a language's share of the
+    hashes holds about twice what is wanted, however many rows it has. Only bit vectors of fixed size
+    come to the driver.
     """
     text_batches(docs.sparkSession)
     known = docs.where("text is not null and lang is not null and doc_id is not null").select(F.xxhash64(F.col("doc_id").cast("long"), "lang").alias("key"), "lang", F.col("text").cast("string").alias("text"))
+    counts = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).collect()
+    if not counts:
+        return solve([], [])
+    fair = F.lit(False)
+    for row in counts:
+        fair = fair | ((F.col("lang") == row.lang) & hash_share(F.col("key"), 2 * per_language / row.n))
     place = F.row_number().over(Window.partitionBy("lang").orderBy("key"))
-    chosen = known.select("key", "lang").distinct().select("key", place.alias("_n")).where(F.col("_n") <= per_language).select("key")
+    chosen = known.select("key", "lang").where(fair).distinct().select("key", place.alias("_n")).where(F.col("_n") <= per_language).select("key")
     rows = known.join(F.broadcast(chosen), "key").mapInArrow(_bits, "key long, lang string, bits binary").where("bits is not null")
     got = sorted(rows.groupBy("key", "lang").agg(F.min("bits").alias("bits")).collect(), key=lambda r: (r.key, r.lang))
     return solve([bytes(r.bits) for r in got], [r.lang for r in got], landmarks)

@@ -11,11 +11,14 @@ the probability: repeatable, and independent of partitioning.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ._common import cut, join_bounded, written
 
 DIMENSIONS = ("source", "lang", "topic")
+#: Cells that are raked on the driver at most (about 200 bytes each).
+LOCAL_CELLS = 100_000
 #: What a null category is called inside a cell.
 MISSING = "\u0000missing"
 
@@ -27,35 +30,79 @@ def tempered(cells: DataFrame, dimension: str, alpha: float) -> DataFrame:
     return power.crossJoin(F.broadcast(power.agg(F.sum("p").alias("all")))).select("category", (F.col("p") / F.col("all")).alias("share"))  # one row on the right
 
 
-def rake(cells: DataFrame, targets: dict[str, DataFrame], keep: float, rounds: int = 25, within: float = 1e-4) -> DataFrame:
+def rake(cells: DataFrame, targets: dict[str, DataFrame], keep: float, rounds: int = 25, within: float = 1e-4, local_cells: int = LOCAL_CELLS) -> DataFrame:
     """Adds ``weight`` to ``cells`` (source, lang, topic, tokens), raked to ``targets`` (category, share) by dimension.
 
     Categories without a target get weight 0; a dimension without targets is left alone. Ends when
     every marginal is within ``within`` of its target, when trimming keeps the largest deviation from
-    falling by a hundredth, or after ``rounds``.
+    falling by a hundredth, or after ``rounds``. At most ``local_cells`` cells, counted first, are
+    raked on the driver; more of them by the same steps as joins and sums over the cluster.
     """
-    total = cells.agg(F.sum("tokens")).first()[0] or 0
+    size = cells.agg(F.count("*").alias("n"), F.sum("tokens").alias("tokens")).first()
+    goals = {d: t.select("category", (F.col("share") * float(size.tokens or 0)).alias("goal")) for d, t in targets.items()}
+    if not size.tokens:
+        return cells.withColumn("weight", F.lit(1.0))
+    return (_rake_here if size.n <= local_cells else _rake_there)(cells, goals, keep, rounds, within)
+
+
+class _Progress:
+    """Tells when raking is done."""
+
+    def __init__(self, within: float):
+        self.within, self.last = within, None
+
+    def over(self, gap: float | None) -> bool:
+        done = gap is None or gap < self.within or (self.last is not None and gap > 0.99 * self.last)
+        self.last = gap
+        return done
+
+
+def _rake_here(cells: DataFrame, goals: dict[str, DataFrame], keep: float, rounds: int, within: float) -> DataFrame:
+    rows = cells.select(*DIMENSIONS, "tokens").collect()
+    tokens, weight = np.array([r.tokens for r in rows], float), np.ones(len(rows))
+    sides = []
+    for dimension, goal in goals.items():
+        wanted = {r.category: r.goal for r in goal.collect()}
+        names = sorted({r[dimension] for r in rows})
+        place = {c: i for i, c in enumerate(names)}
+        sides.append((np.array([place[r[dimension]] for r in rows]), np.array([wanted.get(c, 0.0) for c in names])))
+    progress = _Progress(within)
+    for _ in range(rounds):
+        gaps = []
+        for at, wanted in sides:
+            have = np.bincount(at, tokens * weight, minlength=len(wanted))
+            ratio = np.divide(wanted, have, out=np.zeros_like(have), where=have > 0)[at]
+            weight = weight * ratio
+            gaps.append(ratio)
+        alive = weight > 0
+        gap = max((float(np.abs(g[alive] - 1).max()) for g in gaps if alive.any()), default=None)
+        weight = np.minimum(weight, 1 / keep)
+        if progress.over(gap):
+            break
+    schema = ", ".join(f"{d} string" for d in DIMENSIONS) + ", tokens long, weight double"
+    return cells.sparkSession.createDataFrame([(*(r[d] for d in DIMENSIONS), r.tokens, float(w)) for r, w in zip(rows, weight)], schema)
+
+
+def _rake_there(cells: DataFrame, goals: dict[str, DataFrame], keep: float, rounds: int, within: float) -> DataFrame:
     now, drop = written(cells.withColumn("weight", F.lit(1.0)))
-    goals = {d: cut(t.select("category", (F.col("share") * float(total)).alias("goal"))) for d, t in targets.items()}
-    last = None
-    for _ in range(rounds if total else 0):
+    goals = {d: cut(g) for d, g in goals.items()}
+    progress = _Progress(within)
+    for _ in range(rounds):
         off = []
         for dimension, goal in goals.items():
             sums = now.groupBy(F.col(dimension).alias("category")).agg(F.sum(F.col("tokens") * F.col("weight")).alias("have"))
             ratio = sums.join(goal, "category", "left").select(F.col("category").alias(dimension), F.when(F.col("have") > 0, F.coalesce("goal", F.lit(0.0)) / F.col("have")).otherwise(0.0).alias("_ratio"))
-            now = now.join(ratio, dimension).withColumn("weight", F.col("weight") * F.col("_ratio"))
             off.append(f"_off_{dimension}")
-            now = now.withColumnRenamed("_ratio", off[-1])
-        worst = F.greatest(*(F.max(F.when(F.col("weight") > 0, F.abs(F.col(c) - 1))) for c in off)) if len(off) > 1 else F.max(F.abs(F.col(off[0]) - 1))
+            now = now.join(ratio, dimension).withColumn("weight", F.col("weight") * F.col("_ratio")).withColumnRenamed("_ratio", off[-1])
+        worst = F.max(F.when(F.col("weight") > 0, F.array_max(F.array(*(F.abs(F.col(c) - 1) for c in off)))))
         now, drop_next = written(now.withColumn("weight", F.least("weight", F.lit(1.0 / keep))))
         drop()
         drop = drop_next
         gap = now.agg(worst).first()[0]
         now = now.drop(*off)
-        if gap is None or gap < within or (last is not None and gap > 0.99 * last):
+        if progress.over(gap):
             break
-        last = gap
-    return now
+    return now.select(*DIMENSIONS, "tokens", "weight")
 
 
 def chance(doc_id: str = "doc_id", text: str = "text", seed: int = 9) -> Column:

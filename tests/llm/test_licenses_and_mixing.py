@@ -73,14 +73,15 @@ def rake(cells, targets, keep, rounds=200):
     return weight
 
 
-def test_raking_equals_plain_fitting(spark):
+@pytest.mark.parametrize("local", [0, 1000])
+def test_raking_equals_plain_fitting(spark, local):
     rng = random.Random(3)
     cells = {(f"s{a}", f"l{b}", f"t{c}"): rng.randint(50, 400) for a in range(4) for b in range(3) for c in range(2)}
     targets = ({f"s{a}": 0.25 for a in range(4)}, {"l0": 0.4, "l1": 0.3, "l2": 0.3}, {"t0": 0.6, "t1": 0.4})
     table = spark.createDataFrame([(*c, t) for c, t in cells.items()], "source string, lang string, topic string, tokens long")
     goals = {d: spark.createDataFrame(list(t.items()), "category string, share double") for d, t in zip(M.DIMENSIONS, targets)}
     want = rake(cells, dict(enumerate(targets)), 0.4)
-    got = {(r.source, r.lang, r.topic): r.weight for r in M.rake(table, goals, 0.4, within=1e-7, rounds=60).collect()}
+    got = {(r.source, r.lang, r.topic): r.weight for r in M.rake(table, goals, 0.4, within=1e-7, rounds=60, local_cells=local).collect()}
     assert got.keys() == want.keys() and all(abs(got[c] - want[c]) < 1e-3 for c in want)
     for d, t in enumerate(targets):
         for k, share in t.items():
