@@ -1,11 +1,11 @@
 """Near-duplicate documents by MinHash signatures and a multi-index Hamming join.
 
-A document's signature is 48 b-bit MinHash symbols (b = 16) of its word-shingle set. Signatures are
-split into 8 chunks of 6 symbols. By the pigeonhole principle two signatures that differ in at most
-15 symbols have a chunk with at most one differing symbol; each document therefore files itself
-under every chunk with every single symbol left out (48 keys), and all pairs under that distance
-share a key. At similarity 0.85, pairs above the distance are found too unless all chunks have two
-errors or more: 6 in a million are missed, fewer at higher similarity.
+A document's signature is 60 b-bit MinHash symbols (b = 16) of its word-shingle set. Signatures are
+split into 10 chunks of 6 symbols. By the pigeonhole principle two signatures that differ in at most
+19 symbols have a chunk with at most one differing symbol; each document therefore files itself
+under every chunk with every single symbol left out (60 keys), and all pairs under that distance
+share a key. Pairs above the distance are found too unless all chunks have two errors or more: at
+similarity 0.85 three in ten million are missed, at 0.8 two in a hundred thousand.
 
 Documents that share keys are not paired up. They form clusters (components of the stars "bucket
 member - bucket's smallest id"), and each cluster is compared on full shingle sets inside bounded
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ._common import Forest, ShingleHasher, block_groups, components, cut, grouped, join_bounded, mix, star_edges, text_batches
 
-CHUNKS, WIDTH = 8, 6
+CHUNKS, WIDTH = 10, 6
 SYMBOLS = CHUNKS * WIDTH
 BLOCK = 512
 SIGNED = "doc_id long, n_shingles long, digest binary, keys array<long>"
@@ -141,8 +141,8 @@ def near_duplicates(docs: DataFrame, num: int = 80, den: int = 100, width: int =
     Null or blank texts have n_shingles 0 and no link; texts with fewer than ``width`` words are
     one shingle. A null doc_id gives a null component_id and is kept, and links nothing. Rows that
     repeat a doc_id count as one document with all their texts, and all are returned. An empty
-    table gives an empty result. ``num / den`` may be lowered to about 0.8 before the keys miss
-    one link in ten thousand.
+    table gives an empty result. ``num / den`` may be lowered to about 0.75 before the keys miss
+    one link in two thousand.
     """
     text_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
