@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from ._common import cut, shared_dir, text_batches
+from ._common import cut, sample_keys, shared_dir, text_batches
 
 DICTIONARY_FRAME = 0x184D2A5D
 ARCHIVE_BYTES = 64 << 20  # compressed size at which a task starts its next archive
@@ -221,7 +221,9 @@ def write_archives(pages: DataFrame, folder: str, date: str = "2024-01-01T00:00:
     files.create_dir(root, recursive=True)
     rows = plan_records(pages)
     # A sample of bounded number and size teaches the dictionary; all records are compressed with it.
-    sample = pages.where(F.octet_length("html").between(1, SAMPLE_BYTES)).select(F.col("html").cast("string").cast("binary").alias("html"), F.xxhash64("html").alias("h")).orderBy("h").limit(SAMPLE_ROWS).collect()
+    named = pages.select(F.col("html").cast("string").cast("binary").alias("html"), F.xxhash64(F.col("page_id").cast("long"), F.col("url").cast("string")).alias("_h"))
+    keys = sample_keys(pages.select("page_id", "url"), F.xxhash64(F.col("page_id").cast("long"), F.col("url").cast("string")), SAMPLE_ROWS)
+    sample = named.where(F.octet_length("html").between(1, SAMPLE_BYTES)).join(F.broadcast(keys), "_h").limit(2 * SAMPLE_ROWS).collect()  # SAMPLE_ROWS keys
     dictionary = spark.sparkContext.broadcast(train_dictionary([HTTP + bytes(r.html) for r in sample]))
     return cut(rows.mapInArrow(_write(folder, dictionary, date), "archive string, n_records long, n_bytes long"))
 
