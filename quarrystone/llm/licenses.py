@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ._common import ShingleHasher, mix, text_batches
+from ._common import ShingleHasher, mix, sample_keys, text_batches
 
 # Families and phrases of their usual notices.
 TEMPLATES: dict[str, tuple[str, ...]] = {
@@ -205,7 +205,11 @@ def train(prose: list[str], steps: int = 150, rate: float = 0.5, ridge: float =
 
 def fit(docs: DataFrame, rows: int = 200, lines: int = 2000) -> Classifier:
     """Trains with prose from ``rows`` documents taken by a hash of the doc_id, at most ``lines`` paragraphs of them."""
-    sample = docs.where("text is not null and doc_id is not null").select(F.xxhash64(F.col("doc_id").cast("long")).alias("h"), F.slice(F.split(F.col("text").cast("string"), "\n"), 1, lines).alias("lines")).orderBy("h").limit(rows).collect()
+    known = docs.where("text is not null and doc_id is not null").select(F.xxhash64(F.col("doc_id").cast("long")).alias("_h"), F.col("text").cast("string").alias("text"))
+    keys = sample_keys(docs.where("doc_id is not null"), F.xxhash64(F.col("doc_id").cast("long")), rows)
+    first = F.slice(F.split("text", "\n"), 1, lines)
+    sample = known.join(F.broadcast(keys), "_h").select("_h", first.alias("lines")).limit(2 * rows).collect()  # ``rows`` keys
+    sample.sort(key=lambda r: (r["_h"], r.lines))
     prose = [line for r in sample for line in r.lines if line.strip() and len(line) <= 20_000]
     return train(prose[:lines])
 
