@@ -214,10 +214,14 @@ def bm25_okapi_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each query's hits: the papers of one venue, with their vectors where they have one."""
+    """Each query's hits: the papers of one venue, with their vectors where they have one.
+
+    The tables are single files, so the hits are dealt out before their texts are read.
+    """
     q = questions(spark, sf_dir).select("query_id", F.concat(F.lit("src"), (F.col("query_id") % 20).cast("string")).alias("venue"))
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("ix"), "embedding")
-    return q.join(papers(spark, sf_dir), "venue").join(e, "ix", "left")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return q.join(papers(spark, sf_dir), "venue").join(e, "ix", "left").repartition(n, "query_id", "ix")
 
 
 @query(f"with {S.BASE}, {S.LUCENE} select query_id, ix, round(score, 6) as score, bm25_rank from lucene")
