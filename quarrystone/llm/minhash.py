@@ -173,3 +173,18 @@ def drop_near_duplicates(docs: DataFrame, num: int = 80, den: int = 100, width:
     gone = cut(near_duplicates(docs, num, den, width).where("not kept").select(F.col("doc_id").alias("_gone")).distinct())
     small = gone.count() <= 400_000
     return docs.join(F.broadcast(gone) if small else gone, docs["doc_id"] == gone["_gone"], "left_anti")
+
+
+def oracle(num: int = 85, den: int = 100) -> str:
+    """DuckDB SQL for ``near_duplicates`` by counting common shingles of all documents that share one."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    return f"""
+with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{lower}'), '[^\\x20\\x09-\\x0D]+') as k from documents),
+s as (select doc_id, list_distinct(case when len(k) = 0 then [] when len(k) < 5 then [array_to_string(k, ' ')] else list_transform(range(1, len(k) - 3), lambda i: array_to_string(k[i:i + 4], ' ')) end) as s from w),
+p as (select doc_id, len(s) as n, unnest(s) as x from s),
+o as (select a.doc_id as a, b.doc_id as b, a.n as na, b.n as nb, count(*) as c from p a join p b on a.x = b.x and a.doc_id < b.doc_id group by all),
+l as (select a, b from o where {den} * c >= {num} * (na + nb - c)),
+e as (select a, b from l union all select b, a from l),
+r(doc_id, root) as (select doc_id, doc_id from s union select e.b, r.root from r join e on e.a = r.doc_id),
+m as (select doc_id, min(root) as component_id from r group by doc_id)
+select doc_id, len(s) as n_shingles, component_id, doc_id = component_id as kept from s join m using (doc_id)"""

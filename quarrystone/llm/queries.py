@@ -65,4 +65,11 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filter, op2_minhash_near_dedup, op3_embedding_near_dedup, op4_warc, op5_secret_scan, op6_exact_top_k, op7_license_scan, op8_language_id, op9_mixing, op10_byte_bpe)}
-ORACLE: dict[str, str] = {"op1_url_filter": url_filter.oracle(), "op4_warc": warc.oracle(), "op5_secret_scan": secret_scan.oracle(), "op6_exact_top_k": topk.oracle()}
+ORACLE: dict[str, str] = {
+    "op1_url_filter": url_filter.oracle(),
+    "op2_minhash_near_dedup": minhash.oracle(),
+    "op3_embedding_near_dedup": embed_dedup.oracle(),
+    "op4_warc": warc.oracle(),
+    "op5_secret_scan": secret_scan.oracle(),
+    "op6_exact_top_k": topk.oracle(),
+}

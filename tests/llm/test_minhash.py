@@ -101,3 +101,9 @@ def test_one_id_with_two_texts_ties_their_groups(spark):
 
 def test_empty(no_docs):
     assert minhash.near_duplicates(no_docs).count() == 0 and minhash.drop_near_duplicates(no_docs).count() == 0
+
+
+def test_sql(spark, sf_dir):
+    from tests.comparing import connection, rows_of, rows_of_sql
+
+    assert rows_of(minhash.near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), 85, 100)) == rows_of_sql(connection(sf_dir), minhash.oracle())

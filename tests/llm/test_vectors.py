@@ -122,3 +122,7 @@ def test_cells_leave_out_what_cannot_matter():
 
 def test_top_k_sql(spark, sf_dir):
     assert rows_of(topk.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))) == rows_of_sql(connection(sf_dir), topk.oracle())
+
+
+def test_near_duplicates_sql(spark, sf_dir):
+    assert rows_of(embed_dedup.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))) == rows_of_sql(connection(sf_dir), embed_dedup.oracle())
