@@ -5,8 +5,10 @@ and its sign are a hash. ``k`` hashes form a table's key, and with multiprobe a
 itself under its next most likely keys (the second-nearest axis where it is closest to the first).
 ``k`` grows with the logarithm of the number of vectors, so buckets stay small, and the number of
 tables and probes grows with ``k``: in simulation on random pairs of cosine 0.93 between 99.9 and
-100 % share a key. Members of a bucket are linked with its smallest id; links that even two steps of
-the threshold's angle cannot bridge are dropped; what hangs together is a cluster. Clusters are
+100 % share a key. Members of a bucket are all compared with each other, by vectors rounded to bytes
+whose rounding errors are kept, so that no pair at the threshold is lost; buckets of more than a block
+are compared with their smallest id first, and the members beyond the threshold from it then with
+each other in blocks. Links at about the threshold tie vectors, and what hangs together is a cluster. Clusters are
 compared completely, in double precision, by matrix products over bounded blocks that return a count
 of links per vector and a spanning forest, not pairs.
 """
@@ -19,11 +21,15 @@ from itertools import product
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ._common import Forest, block_groups, components, cut, grouped, join_bounded, mix, star_edges
+from ._common import Forest, block_groups, components, cut, grouped, join_bounded, mix
 
 BLOCK = 1024
+#: Buckets of at most this many rows are compared row by row offset, others by matrix products.
+SMALL = 8
+HEAD = np.dtype([("scale", "<f4"), ("error", "<f4")])
 
 
 def usable(vector: str = "embedding") -> Column:
@@ -100,14 +106,109 @@ def _keys(k: int, tables: int, probes: int, rows: int = 2048):
                 dims = np.diff(at)
                 for d in np.unique(dims).tolist():
                     own = np.flatnonzero(dims == d)
-                    keys = bucket_keys(flat[(at[own][:, None] + np.arange(d)).reshape(-1)].reshape(len(own), d), k, tables, probes)
-                    keys = mix(keys ^ mix(salt[own])[:, None]).view(np.int64)
+                    x = flat[(at[own][:, None] + np.arange(d)).reshape(-1)].reshape(len(own), d)
+                    keys = bucket_keys(x, k, tables, probes)
+                    keys = mix(keys ^ mix(salt[own] ^ mix(np.uint64([d])))[:, None]).view(np.int64)
                     ids = part.column("id").to_numpy()[own]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, keys.shape[1])), pa.array(keys.reshape(-1))], ["id", "key"])
+                    short = pa.array(sketches(x), pa.binary()).take(pa.array(np.repeat(np.arange(len(own)), keys.shape[1])))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, keys.shape[1])), pa.array(keys.reshape(-1)), short], ["id", "key", "short"])
 
     return run
 
 
+def sketches(vectors: np.ndarray) -> list[bytes]:
+    """Each vector at length one as bytes: its step, the length of the rounding error, one signed byte a component."""
+    unit = normalised(vectors)
+    head = np.empty(len(unit), HEAD)
+    head["scale"] = np.abs(unit).max(axis=1) / 127
+    scale = head["scale"].astype(np.float64)[:, None]
+    steps = np.clip(np.rint(unit / scale), -127, 127)
+    head["error"] = np.linalg.norm(unit - scale * steps, axis=1) * (1 + 1e-6)
+    return [h.tobytes() + q.tobytes() for h, q in zip(head, steps.astype(np.int8))]
+
+
+def read_sketches(short: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(rounded vectors, errors) of sketches; shorter ones are filled up with zeros."""
+    size = pc.binary_length(short).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = np.frombuffer(b"".join(short.to_pylist()), np.uint8)
+    if (size != size[0]).any():
+        wide = np.zeros((len(size), size.max()), np.uint8)
+        wide[np.arange(size.max()) < size[:, None]] = flat
+    else:
+        wide = flat.reshape(len(size), -1)
+    head = np.ascontiguousarray(wide[:, : HEAD.itemsize]).view(HEAD)[:, 0]
+    return wide[:, HEAD.itemsize :].view(np.int8) * head["scale"].astype(np.float64)[:, None], head["error"].astype(np.float64)
+
+
+def _tie(threshold: float, block: int):
+    """Of buckets (rows sorted by key): edges (a, b) that tie all pairs at the threshold, and the rows (id, key) of buckets beyond ``block``."""
+    floor = threshold - 1e-9
+
+    def ties(key: np.ndarray, ids: np.ndarray, short: pa.Array) -> np.ndarray:
+        at = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        size = np.diff(np.append(at, len(key)))
+        many = np.flatnonzero(np.repeat(size, size) > 1)
+        if not len(many):
+            return np.empty((0, 2), np.int64)
+        key, ids, (x, error) = key[many], ids[many], read_sketches(short.take(pa.array(many)))
+        at, size = np.append(0, np.cumsum(size[size > 1])), size[size > 1]
+        few, out = np.repeat(size <= SMALL, size), []
+        for gap in range(1, SMALL):
+            a = np.flatnonzero((key[gap:] == key[:-gap]) & few[gap:])
+            b = a + gap
+            a, b = (v[np.einsum("ij,ij->i", x[a], x[b]) + error[a] + error[b] + 3 * error[a] * error[b] >= floor] for v in (a, b))
+            out.append(np.stack((np.maximum(ids[a], ids[b]), np.minimum(ids[a], ids[b])), 1))
+        for lo, hi in zip(at[:-1][size > SMALL].tolist(), at[1:][size > SMALL].tolist()):
+            e, own = error[lo:hi], ids[lo:hi]
+            near = x[lo:hi] @ x[lo:hi].T + e[:, None] + e + 3 * np.outer(e, e) >= floor
+            np.fill_diagonal(near, False)
+            left = near.any(1)
+            while left.any():
+                found = front = np.arange(hi - lo) == left.argmax()
+                while front.any():
+                    front = near[front].any(0) & ~found
+                    found = found | front
+                left &= ~found
+                least = own[found].min()
+                out.append(np.stack((own[found], np.full(int(found.sum()), least)), 1))
+        edges = np.concatenate(out)
+        return np.unique(edges[edges[:, 0] != edges[:, 1]], axis=0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows(a, b, crowded):
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.full(len(a), crowded))], ["a", "b", "crowded"])
+
+        held, crowded = [], None  # the last bucket so far, and a bucket already beyond the block
+        for batch in _ended(batches):
+            if batch is not None:
+                held.append(batch)
+            if not held:
+                continue
+            whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0] if len(held) > 1 else held[0]
+            key = whole.column("key").to_numpy()
+            end = len(key) if batch is None else int(np.searchsorted(key, key[-1]))
+            size = np.bincount(np.cumsum(np.append(0, key[1:] != key[:-1])))
+            over = np.repeat(size > block, size) | (key == crowded if crowded is not None else False)
+            done = np.arange(len(key)) < end
+            ids = whole.column("id").to_numpy()
+            if over.any():
+                yield rows(ids[over], key[over], True)
+                crowded = key[-1] if over[-1] else crowded
+            fit = np.flatnonzero(done & ~over)
+            edges = ties(key[fit], ids[fit], whole.column("short").take(pa.array(fit)))
+            if len(edges):
+                yield rows(edges[:, 0], edges[:, 1], False)
+            held = [whole.slice(end)] if batch is not None and not over[-1] else []
+
+    return run
+
+
+def _ended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
+    """The batches that have rows, then None."""
+    yield from (b for b in batches if b.num_rows)
+    yield None
+
+
 def _compare(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in grouped(batches, "grp"):
@@ -133,6 +234,27 @@ def _compare(threshold: float):
     return run
 
 
+def _tied_in_crowded(crowded: DataFrame, classes: DataFrame, threshold: float, block: int) -> DataFrame:
+    """Edges (a, b) that tie all pairs at the threshold in buckets (key, id) of any size.
+
+    Members within two steps of the threshold's angle from the bucket's smallest id are tied to it. A member
+    within one step has all its partners within two and is settled; the others are compared in blocks.
+    """
+    wide = math.cos(min(math.pi, 2 * math.acos(max(-1.0, min(1.0, threshold))))) - 1e-9
+    scaled = classes.select("id", F.transform("v", lambda x: x / F.array_max(F.transform("v", F.abs))).alias("w"))
+    unit = scaled.select("id", F.transform("w", lambda x: x / F.sqrt(F.aggregate("w", F.lit(0.0), lambda s, y: s + y * y))).alias("u"))
+    side = lambda n: unit.select(F.col("id").alias(n), F.col("u").alias(f"u{n}"))
+    cosine = F.aggregate(F.zip_with("ua", "ub", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    heads = crowded.groupBy("key").agg(F.min("id").alias("b"))
+    stars = crowded.join(heads, "key").where("id <> b").select("key", F.col("id").alias("a"), "b")
+    judged = cut(stars.join(side("a"), "a").join(side("b"), "b").select("key", "a", "b", cosine.alias("cosine")))
+    rest = judged.where(F.col("cosine") < threshold + 1e-9).select(F.col("a").alias("id"), F.col("key").alias("cluster"), F.lit(0).alias("band"))
+    dealt = cut(block_groups(rest, block).select("id", "grp", "part"))
+    groups = join_bounded(classes.select("id", "v", "copies"), dealt, "id").repartition("grp").sortWithinPartitions("grp")
+    near = groups.mapInArrow(_compare(threshold), "id long, links long, root long").select(F.col("id").alias("a"), F.col("root").alias("b"))
+    return judged.where(F.col("cosine") >= wide).select("a", "b").unionByName(near)
+
+
 def near_duplicates(vectors: DataFrame, threshold: float = 0.93, block: int = BLOCK) -> DataFrame:
     """vec_id, n_links, component_id and kept of each row of ``vectors`` (vec_id, embedding, label).
 
@@ -148,14 +270,12 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, block: int = BL
     classes = cut(fit.where("ok").groupBy("label", "v").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("copies")).select(F.xxhash64("label", "v").alias("id"), "vec_id", "copies", "v", F.xxhash64("label").alias("salt")))
     shape = classes.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("d")).first()
     k, tables, probes = tables_for(shape.n, shape.d or 1)
-    files = classes.select("id", "v", "salt").mapInArrow(_keys(k, tables, probes), "id long, key long")
-    stars = star_edges(files)
-    wide = max(-1.0, math.cos(2 * math.acos(min(1.0, threshold))) - 1e-9)  # two steps of the threshold's angle
-    scaled = classes.select("id", F.transform("v", lambda x: x / F.array_max(F.transform("v", F.abs))).alias("w"))
-    unit = scaled.select("id", F.transform("w", lambda x: x / F.sqrt(F.aggregate("w", F.lit(0.0), lambda s, y: s + y * y))).alias("u"))
-    side = lambda n: unit.select(F.col("id").alias(n), F.col("u").alias(f"u{n}"))
-    cosine = F.aggregate(F.zip_with("ua", "ub", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    tied = stars.join(side("a"), "a").join(side("b"), "b").where(cosine >= wide).select("a", "b")
+    files = classes.select("id", "v", "salt").mapInArrow(_keys(k, tables, probes), "id long, key long, short binary")
+    found = cut(files.repartition("key").sortWithinPartitions("key").mapInArrow(_tie(threshold, block), "a long, b long, crowded boolean"))
+    tied = found.where("not crowded").select("a", "b")
+    crowded = found.where("crowded").select(F.col("a").alias("id"), F.col("b").alias("key"))
+    if not crowded.isEmpty():
+        tied = tied.unionByName(_tied_in_crowded(crowded, classes, threshold, block))
     members = components(tied).select(F.col("node").alias("id"), F.col("component").alias("cluster"), F.lit(0).alias("band"))
     dealt = cut(block_groups(members, block).select("id", "grp", "part"))
     groups = join_bounded(classes.select("id", "v", "copies"), dealt, "id").repartition("grp").sortWithinPartitions("grp")

@@ -126,3 +126,16 @@ def test_top_k_sql(spark, sf_dir):
 
 def test_near_duplicates_sql(spark, sf_dir):
     assert rows_of(embed_dedup.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))) == rows_of_sql(connection(sf_dir), embed_dedup.oracle())
+
+
+@pytest.mark.parametrize("block", [64, 1024])
+def test_near_duplicates_in_dense_data(spark, block):
+    rng = np.random.default_rng(8)
+    base = 0.8 * np.ones(64) / 8 + rng.normal(size=(1500, 64)) * 0.6 / 8  # one label, usual cosines of 0.64
+    close = base[:500] + rng.normal(size=(500, 64)) * 0.33 / 8
+    rows = [(int(i), v.astype(np.float32).tolist(), 0) for i, v in zip(rng.permutation(2000), np.concatenate((base, close)))]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embed_dedup.near_duplicates(spark.createDataFrame(rows, SCHEMA), 0.93, block).collect()}
+    want = expected(rows, 0.93)
+    assert sum(n for n, _ in want.values()) > 500
+    assert sum(n for n, _ in got.values()) >= 0.99 * sum(n for n, _ in want.values())
+    assert all(got[i][0] <= want[i][0] for i in want)
