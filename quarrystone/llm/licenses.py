@@ -1,16 +1,19 @@
 """Licence scans: a trained paragraph classifier whose predictions a template comparison confirms.
 
-Paragraphs are lines. A multinomial logistic regression over hashed word n-grams (1 to 3) tells the
+Paragraphs are lines, and notices may be wrapped: where a template's word pairs are found across
+lines that no blank line parts, those lines are judged as one paragraph. A multinomial logistic regression over hashed word n-grams (1 to 3) tells the
 licence families and ordinary prose apart; it is trained here on variants of the families' usual
 notices and on paragraphs of a bounded sample of documents. Its probabilities are calibrated by a
 temperature fitted on held-out variants. A paragraph that looks like a licence belongs to a family
 only if the family is probable enough and one of its templates is found in the paragraph (most of
-the template's word pairs); otherwise its class is unknown.
+the template's word pairs, and all that hold its version); otherwise its class is unknown.
 """
 
 from __future__ import annotations
 
+import math
 import random
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -80,6 +83,16 @@ class Features:
         offs = np.concatenate(([0], np.cumsum([len(r) for r in raw])))
         return self.of(np.frombuffer(b"".join(raw), np.uint8), offs)
 
+    def pairs_of(self, text: str) -> np.ndarray:
+        grams, order, _, _ = self.of_texts([text])
+        return np.unique(grams[order == 2])
+
+    def pairs(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(hash of each word with the next one, across paragraphs too; each word's paragraph)."""
+        h, at = self.hasher.words(data, offs)
+        one = mix(h + np.uint64(1))
+        return mix(one[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:] + np.uint64(2)), np.repeat(np.arange(len(at) - 1), np.diff(at))
+
 
 def bins(grams: np.ndarray) -> np.ndarray:
     return (grams >> np.uint64(49)).astype(np.int64)
@@ -91,11 +104,13 @@ class Classifier:
     def __init__(self, weights: np.ndarray, bias: np.ndarray, temperature: float = 1.0):
         self.weights, self.bias, self.temperature = weights, bias, temperature
         features = Features()
-        self.pairs = []  # word pairs of each template, with its family
+        self.pairs = []  # word pairs of each template, with its family and those it cannot do without
         for f, phrases in enumerate(TEMPLATES.values()):
             for phrase in phrases:
-                grams, order, _, _ = features.of_texts([phrase])
-                self.pairs.append((f, np.unique(grams[order == 2])))
+                words = re.findall("[a-z0-9]+", phrase.lower())
+                needed = [f"{a} {b}" for a, b in zip(words, words[1:]) if any(c.isdigit() for c in b) or (a, b) == ("gnu", "general")]
+                self.pairs.append((f, features.pairs_of(phrase), np.unique(np.concatenate([features.pairs_of(x) for x in needed] or [np.empty(0, np.uint64)]))))
+        self.known = np.unique(np.concatenate([t for _, t, _ in self.pairs]))
 
     def logits(self, grams: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
         out = np.zeros((n, self.weights.shape[1]))
@@ -112,8 +127,8 @@ class Classifier:
         return z / z.sum(1, keepdims=True)
 
     def confirms(self, family: int, pairs: np.ndarray) -> bool:
-        """Whether a template of the family has most of its word pairs among ``pairs``, and no other family's template more of them."""
-        found = [(np.isin(t, pairs, assume_unique=True).mean(), len(t), f) for f, t in self.pairs if len(t)]
+        """Whether a template of the family has most of its word pairs and its version among ``pairs``, and no other family's template more of them."""
+        found = [(np.isin(t, pairs, assume_unique=True).mean(), len(t), f) for f, t, needed in self.pairs if len(t) and np.isin(needed, pairs).all()]
         good = [x for x in found if x[0] >= CONFIRMED]
         return bool(good) and max(good)[2] == family
 
@@ -130,11 +145,75 @@ class Classifier:
             out.append((i, FAMILIES[family] if sure else UNKNOWN, float(p[i, family]) if sure else float(1 - p[i, -1])))
         return out
 
+    def wrapped(self, data: np.ndarray, offs: np.ndarray, block: np.ndarray, features: Features) -> list[tuple[int, int, str, float]]:
+        """(first line, last line, family, probability) of notices that go over several lines of a block (-1: of none)."""
+        pairs, line = features.pairs(data, offs)
+        if not len(pairs):
+            return []
+        which = np.searchsorted(self.known, pairs).clip(max=len(self.known) - 1)
+        hit = np.flatnonzero((self.known[which] == pairs) & (block[line[:-1]] == block[line[1:]]) & (block[line[1:]] >= 0))
+        which, own, out = which[hit], block[line[hit]], []
+        for _, t, _ in self.pairs:
+            mine = np.flatnonzero(np.isin(which, np.searchsorted(self.known, t)))
+            need = math.ceil(CONFIRMED * len(t))
+            distinct = np.unique(own[mine] * len(self.known) + which[mine]) // len(self.known)
+            blocks, count = np.unique(distinct, return_counts=True)
+            for b in blocks[count >= need].tolist():
+                at = mine[slice(*np.searchsorted(own[mine], (b, b + 1)))]
+                for lo, hi in _windows(hit[at].tolist(), which[at].tolist(), need, 2 * len(t) + 20):
+                    first, last = int(line[lo]), int(line[hi + 1])
+                    if last > first:
+                        a, z = offs[first], offs[last + 1]
+                        judged = self.paragraphs(data[a:z], np.array([0, z - a]), features)
+                        out += [(first, last, family, p) for _, family, p in judged if family != UNKNOWN]
+        return out
+
     @staticmethod
     def _rows(rows: np.ndarray, i: int) -> slice:
         return slice(*np.searchsorted(rows, (i, i + 1)))
 
 
+def _windows(at: list[int], which: list[int], need: int, width: int) -> Iterator[tuple[int, int]]:
+    """Disjoint (first, last) of ``at`` no further apart than ``width`` with ``need`` or more distinct ``which``: the fullest, then narrowest."""
+    i = 0
+    while i < len(at):
+        best, lo, counts = None, i, {}
+        for r in range(i, len(at)):
+            if best and at[r] > at[best[2]] + width:
+                break
+            counts[which[r]] = counts.get(which[r], 0) + 1
+            while at[r] - at[lo] > width or counts[which[lo]] > 1:
+                counts[which[lo]] -= 1
+                if not counts[which[lo]]:
+                    del counts[which[lo]]
+                lo += 1
+            rank = (len(counts), at[lo] - at[r])
+            if rank[0] >= need and (not best or rank > best[:2]):
+                best = (*rank, lo, r)
+        if not best:
+            return
+        yield at[best[2]], at[best[3]]
+        i = best[3] + 1
+
+
+def merged(lines: list[tuple[int, str, float]], wrapped: list[tuple[int, int, str, float]]) -> list[tuple[int, str, float]]:
+    """Notices of single lines and wrapped ones: a wrapped notice takes in unknown lines within it and is one notice of its family."""
+    taken: list[tuple[int, int, str]] = []
+    for first, last, family, p in sorted(wrapped, key=lambda x: (x[0] - x[1], x[0])):
+        lines = [x for x in lines if x[1] != UNKNOWN or not first <= x[0] <= last]
+        known = any(f == family and first <= i <= last for i, f, _ in lines) or any(f == family and a <= last and first <= b for a, b, f in taken)
+        taken.append((first, last, family))
+        if not known:
+            lines.append((first, family, p))
+    return sorted(lines)
+
+
+def two_clauses(text: bytes) -> bool:
+    """Whether what follows the opening sentence of a BSD notice has the binary-form clause and no endorsement clause."""
+    plain = re.sub(rb"[^a-z0-9]+", b" ", text.lower())
+    return b"redistributions in binary form must reproduce" in plain and b"endorse or promote products" not in plain
+
+
 def variants(prose: list[str], seed: int, each: int = 30) -> tuple[list[str], list[int]]:
     """Notices with words dropped, recased or surrounded by words of ``prose``; class numbers."""
     pick = random.Random(seed)
@@ -230,9 +309,16 @@ def _scan(model):
                 doc = np.searchsorted(offs, bounds[:-1], "right") - 1
                 filled = np.array([data[a:b].size > 0 and bool((~features.hasher.blank[data[a:b]]).any()) for a, b in zip(bounds[:-1], bounds[1:])], bool)
                 count = np.bincount(doc[filled], minlength=hi - lo)
+                fresh = np.append(True, ~filled[:-1] | (doc[1:] != doc[:-1])) & filled if len(filled) else filled
+                block = np.where(filled, np.cumsum(fresh) - 1, -1)
                 found: list[list[tuple[int, str, float]]] = [[] for _ in range(hi - lo)]
                 first = np.searchsorted(doc, np.arange(hi - lo))
-                for i, family, score in own.paragraphs(data, bounds, features):
+                notices = merged(own.paragraphs(data, bounds, features), own.wrapped(data, bounds, block, features))
+                bsd = [i for i, family, _ in notices if family == "bsd-3-clause"]
+                for i, family, score in notices:
+                    if family == "bsd-3-clause":
+                        end = min([bounds[x] for x in bsd if x > i] + [offs[doc[i] + 1]])
+                        family = UNKNOWN if two_clauses(data[bounds[i] : end].tobytes()) else family
                     found[doc[i]].append((i - int(first[doc[i]]), family, score))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(lo, hi - lo), pa.array(count, pa.int64()), pa.array([[f for _, f, _ in x] for x in found], pa.list_(pa.string())), pa.array([[s for _, _, s in x] for x in found], pa.list_(pa.float64())), pa.array([[p for p, _, _ in x] for x in found], pa.list_(pa.int32()))],

@@ -51,6 +51,42 @@ def test_unlike_notices_are_unknown(spark, model):
     assert not set(got[0].families) - {L.UNKNOWN}
 
 
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights"""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:"""
+GPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version."""
+
+
+@pytest.mark.parametrize("prefix", ["", "# ", " * "])
+def test_wrapped_notices(spark, model, prefix):
+    bodies = [MIT, BSD, GPL]
+    got = found(spark, model, [f"some words first\n\n{prefix}" + b.replace("\n", "\n" + prefix) + "\n\nlast line" for b in bodies])
+    for i, family in enumerate(("mit", "bsd-3-clause", "gpl-3.0")):
+        assert list(got[i].families) == [family] and list(got[i].positions) == [2]
+    assert [got[i].n_paragraphs for i in range(3)] == [5, 4, 6]
+
+
+def test_other_versions_are_unknown(spark, model):
+    two = "1. Redistributions of source code must retain the above copyright notice.\n2. Redistributions in binary form must reproduce the above copyright\n   notice in the documentation."
+    three = "3. Neither the name of the holder may be used to endorse or\n   promote products derived from this software."
+    others = [GPL.replace("version 3", "version 2"), GPL.replace("GNU General", "GNU Lesser General"), GPL.replace("GNU General", "GNU Affero General"), f"{BSD}\n\n{two}"]
+    others += [x.replace("\n", " ") for x in others[:3]]
+    got = found(spark, model, others + [f"{BSD}\n\n{two}\n{three}"])
+    assert all(set(got[i].families) == {L.UNKNOWN} for i in range(len(others)))
+    assert "bsd-3-clause" in got[len(others)].families
+
+
+def test_paragraphs_and_documents_part_notices(spark, model):
+    lines = MIT.split("\n")
+    got = found(spark, model, [f"{lines[0]}\n\n{lines[1]}\n\n{lines[2]}", lines[0], "\n".join(lines[1:])])
+    assert not any(set(r.families) - {L.UNKNOWN} for r in got.values())
+
+
 def test_license_messy_rows(messy, no_docs):
     got = L.licenses(messy).collect()
     assert len(got) == messy.count()
