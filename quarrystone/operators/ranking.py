@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..lineage import cut
-from . import keyword, vector
+from . import keyword, latent, vector
 
 RRF_K = 60
 #: Weights of relevance, authority and recency by intent.
 INTENT_WEIGHTS = {"general": (0.60, 0.35, 0.05), "news": (0.50, 0.0, 0.50), "foundational": (0.40, 0.60, 0.0)}
 #: Scores are compared at this many digits, so that the order of additions cannot split ties.
 DIGITS = 9
+#: The four signals of relevance.
+RELEVANCE = ("bm25_rank", "tfidf_rank", "lsa_rank", "centroid_rank")
 
 
 def dense(score: str, by: str = "query_id") -> Column:
@@ -49,8 +51,8 @@ def spread(column: str, by: str = "query_id") -> Column:
     return 1 - F.when(high == low, 0.5).otherwise((F.col(column) - low) / (high - low))
 
 
-def signals(hits: DataFrame, queries: DataFrame) -> DataFrame:
-    """hits with the dense ranks bm25_rank, tfidf_rank, centroid_rank, authority_rank and recency_rank.
+def signals(hits: DataFrame, queries: DataFrame, names: tuple[str, ...] = RELEVANCE) -> DataFrame:
+    """hits with the dense ranks bm25_rank, tfidf_rank, centroid_rank, authority_rank, recency_rank and, if in ``names``, lsa_rank.
 
     One row per (query_id, ix); all windows are by query_id. The hits are cut from their lineage
     first, for every signal reads them.
@@ -60,14 +62,13 @@ def signals(hits: DataFrame, queries: DataFrame) -> DataFrame:
     tfidf = keyword.tfidf_of_hits(hits, queries).withColumn("tfidf_rank", dense("score")).drop("score")
     near = vector.centroid_scores(hits, bm25.select("query_id", "ix", F.col("bm25_rank").alias("rank"))).withColumn("centroid_rank", dense("score")).drop("score")
     rows = recency(authority(hits)).join(bm25, ["query_id", "ix"]).join(tfidf, ["query_id", "ix"]).join(near, ["query_id", "ix"])
+    if "lsa_rank" in names:
+        rows = rows.join(latent.lsa_of_hits(hits, queries).withColumn("lsa_rank", dense("score")).drop("score"), ["query_id", "ix"])
     return rows.withColumn("authority_rank", dense("authority")).withColumn("recency_rank", dense("recency"))
 
 
-def relevance(ranked: DataFrame, names: tuple[str, ...] = ("bm25_rank", "tfidf_rank", "centroid_rank"), rrf_k: int = RRF_K) -> DataFrame:
-    """Adds rrf_score, the sum of reciprocal ranks, and its dense rank rrf_rank.
-
-    The latent-semantic rank may be among ``names``; a signal that is the same for all hits changes no order.
-    """
+def relevance(ranked: DataFrame, names: tuple[str, ...] = RELEVANCE, rrf_k: int = RRF_K) -> DataFrame:
+    """Adds rrf_score, the sum of the reciprocal ranks ``names``, and its dense rank rrf_rank."""
     total = sum((1.0 / (rrf_k + F.col(n)) for n in names[1:]), 1.0 / (rrf_k + F.col(names[0])))
     return ranked.withColumn("rrf_score", total).withColumn("rrf_rank", dense("rrf_score"))
 

@@ -301,6 +301,13 @@ def hybrid_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---------------------------------------------------------------- composite ranking
 
+#: The signals of relevance in the SQL of the queries below, which lacks the latent-semantic one.
+SQL_SIGNALS = ("bm25_rank", "tfidf_rank", "centroid_rank")
+
+
+def _relevance_of_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.relevance(ranking.signals(_hits(spark, sf_dir), questions(spark, sf_dir), SQL_SIGNALS), SQL_SIGNALS)
+
 
 @query(f"with {S.BASE}, {S.PRIORS} select query_id, ix, round(authority, 6) as authority, authority_rank from priors")
 def authority_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -316,23 +323,23 @@ def recency_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"with {S.SIGNALS}, {S.RELEVANCE} select query_id, ix, bm25_rank, tfidf_rank, centroid_rank, round(rrf_score, 9) as rrf_score, rrf_rank from rel")
 def rrf_multi_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All signals of each hit fused into one relevance rank."""
-    rows = ranking.relevance(ranking.signals(_hits(spark, sf_dir), questions(spark, sf_dir)))
+    """The three signals that the SQL has, of each hit, fused into one relevance rank."""
+    rows = _relevance_of_sql(spark, sf_dir)
     return rows.select("query_id", "ix", *(F.col(c).cast("long").alias(c) for c in ("bm25_rank", "tfidf_rank", "centroid_rank")), F.round("rrf_score", 9).alias("rrf_score"), F.col("rrf_rank").cast("long").alias("rrf_rank"))
 
 
 @query(f"with {S.SIGNALS}, {S.RELEVANCE}, {S.SPREADS} select query_id, ix, round(relevance_score, 6) as relevance_score, round(authority_score, 6) as authority_score, round(recency_score, 6) as recency_score from spreads")
 def minmax_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three ranks on a scale from 0 to 1."""
-    rows = ranking.relevance(ranking.signals(_hits(spark, sf_dir), questions(spark, sf_dir)))
+    rows = _relevance_of_sql(spark, sf_dir)
     names = {"relevance_score": "rrf_rank", "authority_score": "authority_rank", "recency_score": "recency_rank"}
     return rows.select("query_id", "ix", *(F.round(ranking.spread(r), 6).alias(n) for n, r in names.items()))
 
 
 @query(f"with {S.SIGNALS}, {S.RELEVANCE}, {S.SPREADS}, {S.composite()}")
 def composite_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The full ranker with general weights."""
-    return ranking.rank_papers(_hits(spark, sf_dir), questions(spark, sf_dir)).select("query_id", "ix", F.round("final_score", 6).alias("final_score"), F.col("final_rank").cast("long").alias("final_rank"))
+    """The ranker with general weights, on the three signals that the SQL has."""
+    return ranking.composite(_relevance_of_sql(spark, sf_dir)).select("query_id", "ix", F.round("final_score", 6).alias("final_score"), F.col("final_rank").cast("long").alias("final_rank"))
 
 
 _INTENTS = ", ".join(f"case query_id % 3 when 0 then {w[0]}::double when 1 then {w[1]}::double else {w[2]}::double end as {n}" for n, w in (("wr", (0.6, 0.5, 0.4)), ("wa", (0.35, 0.0, 0.6)), ("wc", (0.05, 0.5, 0.0))))
@@ -340,12 +347,25 @@ _INTENTS = ", ".join(f"case query_id % 3 when 0 then {w[0]}::double when 1 then
 
 @query(f"with {S.SIGNALS}, {S.RELEVANCE}, {S.SPREADS}, {S.composite(_INTENTS, 20)}")
 def composite_rank_by_intent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The full ranker with weights by the query's intent."""
+    """The ranker with weights by the query's intent, on the three signals that the SQL has."""
     intent = F.element_at(F.array(F.lit("general"), F.lit("news"), F.lit("foundational")), (F.col("query_id") % 3 + 1).cast("int"))
-    rows = ranking.relevance(ranking.signals(_hits(spark, sf_dir), questions(spark, sf_dir)))
+    rows = _relevance_of_sql(spark, sf_dir)
     return ranking.composite(rows.withColumn("intent", intent), 20).select("query_id", "ix", F.round("final_score", 6).alias("final_score"), F.col("final_rank").cast("long").alias("final_rank"))
 
 
+@query()
+def rrf_four_way(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All four signals of each hit fused into one relevance rank."""
+    rows = ranking.relevance(ranking.signals(_hits(spark, sf_dir), questions(spark, sf_dir)))
+    return rows.select("query_id", "ix", *(F.col(c).cast("long").alias(c) for c in ranking.RELEVANCE), F.round("rrf_score", 9).alias("rrf_score"), F.col("rrf_rank").cast("long").alias("rrf_rank"))
+
+
+@query()
+def composite_four_way(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The full ranker with general weights."""
+    return ranking.rank_papers(_hits(spark, sf_dir), questions(spark, sf_dir)).select("query_id", "ix", F.round("final_score", 6).alias("final_score"), F.col("final_rank").cast("long").alias("final_rank"))
+
+
 # ---------------------------------------------------------------- selection
 
 

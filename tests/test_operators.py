@@ -3,6 +3,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 
 from quarrystone.functions import text as T, vectors as V
@@ -214,3 +215,27 @@ def test_pipeline_keeps_a_row_for_every_query(spark):
     hits = spark.createDataFrame([(1, i, f"P{i}", f"sleep title {i}", f"fasting text {i} " * 30, 2000 + i, 5, 1, "u", [0.5] * 8) for i in range(30)], "query_id long, ix long, paper_id string, title string, abstract string, year int, citation_count long, influential_citation_count long, pdf_url string, embedding array<float>")
     got = {r.query_id: r for r in retrieval.answer_queries(answers.parse_optimized(q), hits, 8).collect()}
     assert got[1].passed and got[1].n_passages == 12 and got[1].context.startswith("[1] ") and not got[2].passed and got[2].context == ""
+
+
+def test_relevance_has_four_signals(spark):
+    rng = random.Random(4)
+    topics = ["solar cell panel energy light".split(), "protein enzyme binding fold cell".split()]
+    texts = [" ".join(rng.choice(topics[i % 2]) for _ in range(9)) for i in range(14)]
+    rows = [("paper", i, text) for i, text in enumerate(texts)]
+    hits = spark.createDataFrame([(1, i, t, a, 2000 + i, 5 * i, i, [1.0, float(i % 5)]) for t, i, a in rows], "query_id long, ix long, title string, abstract string, year int, citation_count long, influential_citation_count long, embedding array<double>")
+    q = spark.createDataFrame([(1, "solar energy light")], "query_id long, query string")
+    got = {r.ix: r for r in ranking.relevance(ranking.signals(hits, q)).collect()}
+    # Latent space by a plain singular value decomposition.
+    docs = [("paper " + t).split() for t in texts]
+    terms = sorted(w for w in {w for d in docs for w in d} if 5 <= sum(w in d for d in docs) <= 0.8 * len(docs))
+    x = np.array([[d.count(w) * (math.log((1 + len(docs)) / (1 + sum(w in e for e in docs))) + 1) for w in terms] for d in [*docs, "solar energy light".split()]])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    _, s, vt = np.linalg.svd(x[:-1], full_matrices=False)
+    y = x @ vt[: min(100, len(terms) - 1)][s[: min(100, len(terms) - 1)] > 1e-5].T
+    cosine = np.round(y[:-1] @ y[-1] / np.linalg.norm(y[:-1], axis=1) / np.linalg.norm(y[-1]), 9)
+    place = {c: i + 1 for i, c in enumerate(sorted(set(cosine), reverse=True))}
+    assert len(place) > 3 and [got[i].lsa_rank for i in range(14)] == [place[c] for c in cosine]
+    fused = {i: sum(1 / (60 + r[n]) for n in ("bm25_rank", "tfidf_rank", "lsa_rank", "centroid_rank")) for i, r in got.items()}
+    assert all(abs(got[i].rrf_score - fused[i]) < 1e-12 for i in got)
+    order = {c: i + 1 for i, c in enumerate(sorted({round(x, 9) for x in fused.values()}, reverse=True))}
+    assert all(got[i].rrf_rank == order[round(fused[i], 9)] for i in got)
