@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions import scalars, text as T, vectors as V
 from ..operators import answers, dedup, gate, ingest, keyword, limits, ranking, vector
@@ -250,7 +250,7 @@ def centroid_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def lsa_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Latent-semantic similarity and dense rank of each hit."""
-    scored = retrieval.lsa_of_hits(_hits(spark, sf_dir), questions(spark, sf_dir))
+    scored = retrieval.lsa_of_hits(_hits(spark, sf_dir), questions(spark, sf_dir, None))
     return scored.select("query_id", "ix", F.round("score", 6).alias("score"), ranking.dense("score").cast("long").alias("lsa_rank"))
 
 
@@ -278,9 +278,9 @@ fused as (select coalesce(a.query_id, b.query_id) as query_id, coalesce(a.doc, b
 placed as (select *, row_number() over (partition by query_id order by score desc, rank_a nulls last, rank_b nulls last) as rank from fused)"""
 
 
-def _fused(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _fused(spark: SparkSession, sf_dir: str, n_words: int | None = 8) -> DataFrame:
     near = vector.knn(_query_vectors(spark, sf_dir), _vectors(spark, sf_dir), 20)
-    keys = keyword.okapi_topk(table(spark, sf_dir, "documents"), questions(spark, sf_dir), 20, "doc_id")
+    keys = keyword.okapi_topk(table(spark, sf_dir, "documents"), questions(spark, sf_dir, n_words), 20, "doc_id")
     return ranking.fuse(near, keys, 10)
 
 
@@ -356,14 +356,14 @@ def composite_rank_by_intent(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def rrf_four_way(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All four signals of each hit fused into one relevance rank."""
-    rows = ranking.relevance(ranking.signals(_hits(spark, sf_dir), questions(spark, sf_dir)))
+    rows = ranking.relevance(ranking.signals(_hits(spark, sf_dir), questions(spark, sf_dir, None)))
     return rows.select("query_id", "ix", *(F.col(c).cast("long").alias(c) for c in ranking.RELEVANCE), F.round("rrf_score", 9).alias("rrf_score"), F.col("rrf_rank").cast("long").alias("rrf_rank"))
 
 
 @query()
 def composite_four_way(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The full ranker with general weights."""
-    return ranking.rank_papers(_hits(spark, sf_dir), questions(spark, sf_dir)).select("query_id", "ix", F.round("final_score", 6).alias("final_score"), F.col("final_rank").cast("long").alias("final_rank"))
+    return ranking.rank_papers(_hits(spark, sf_dir), questions(spark, sf_dir, None)).select("query_id", "ix", F.round("final_score", 6).alias("final_score"), F.col("final_rank").cast("long").alias("final_rank"))
 
 
 # ---------------------------------------------------------------- selection
@@ -403,12 +403,22 @@ ok as (select query_id, paper_id, text from (select query_id, paper_id, text, ro
 @query(f"""with {_UPGRADE}
 select query_id, paper_id, case when text is not null then 'pdf' else 'abstract' end as text_source, length(coalesce(text, substr(abstract, 1, 300))) as n_chars from ranked left join ok using (query_id, paper_id)""")
 def base_bonus_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Abstracts upgraded to full texts for the first usable candidates of each venue."""
+    """The beginnings of abstracts upgraded to full texts for the first usable candidates of each venue."""
+    return _upserted(spark, sf_dir, F.substring("abstract", 1, 300))
+
+
+@query()
+def whole_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole abstracts upgraded to full texts for the first usable candidates of each venue."""
+    return _upserted(spark, sf_dir, F.col("abstract"))
+
+
+def _upserted(spark: SparkSession, sf_dir: str, abstract: Column) -> DataFrame:
     p = papers(spark, sf_dir)
     rank = F.row_number().over(Window.partitionBy("venue").orderBy(F.desc("influential_citation_count"), "ix"))
     ranked = p.select(F.col("venue").alias("query_id"), "paper_id", "pdf_url", rank.alias("rank"))
     full = ingest.choose_full_text(ranked, p.select("paper_id", F.col("abstract").alias("text")), min_chars=1500)
-    base = p.select(F.col("venue").alias("query_id"), "paper_id", F.substring("abstract", 1, 300).alias("text"))
+    base = p.select(F.col("venue").alias("query_id"), "paper_id", abstract.alias("text"))
     return ingest.upsert_full_text(base, full).select("query_id", "paper_id", "text_source", F.length("text").cast("long").alias("n_chars"))
 
 
@@ -456,9 +466,9 @@ def _rerank_sql() -> str:
 select query_id, doc, round(rerank_score, 6) as rerank_score, rerank_rank from (select *, row_number() over (partition by query_id order by rerank_score desc, rank) as rerank_rank from s) where rerank_rank <= 5"""
 
 
-def _retrieved(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _retrieved(spark: SparkSession, sf_dir: str, n_words: int | None = 8) -> DataFrame:
     texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "text", "source")
-    return _fused(spark, sf_dir).select("query_id", "doc", "rank").join(texts, "doc").join(questions(spark, sf_dir), "query_id")
+    return _fused(spark, sf_dir, n_words).select("query_id", "doc", "rank").join(texts, "doc").join(questions(spark, sf_dir, n_words), "query_id")
 
 
 @query(_rerank_sql())
@@ -472,11 +482,23 @@ def rerank_standin(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""with {_FUSED} select query_id, string_agg('[' || rank || '] ' || substr(text, 1, 200), '\n---\n' order by rank) as context from placed join documents on doc_id = doc where rank <= 5 group by query_id""")
 def context_string(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The five first passages of each query as numbered context."""
+    """The beginnings of the five first passages of each query as numbered context."""
     rows = _retrieved(spark, sf_dir).where("rank <= 5").select("query_id", "rank", F.substring("text", 1, 200).alias("text"))
     return answers.context(rows)
 
 
+@query()
+def whole_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five first passages of each whole question as numbered context, all of their text."""
+    return answers.context(_retrieved(spark, sf_dir, None).where("rank <= 5").select("query_id", "rank", "text"))
+
+
+@query()
+def whole_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fused lists of the whole questions reranked by word overlap."""
+    return ingest.rerank(_retrieved(spark, sf_dir, None), 5).select("query_id", "doc", F.round("rerank_score", 6).alias("rerank_score"), F.col("rerank_rank").cast("long").alias("rerank_rank"))
+
+
 @query(f"""with {_FUSED} select query_id, string_agg(rank || '. ' || coalesce(nullif(title, ''), 'Unknown title') || ' (' || coalesce(pdf_url, '') || ')', '\n' order by rank) as sources
 from placed join (with {S.PAPERS} select * from papers) p on p.ix = doc where rank <= 10 group by query_id""")
 def source_export(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -533,9 +555,9 @@ when 1 then 'Here it is: {{''strategy'': ''expansion'', ''final_rephrase'': ''r{
 when 2 then '{{"strategy": "decomposition", "final_rephrase": "r{0}", "sub_queries": ["s{0}", "t{0}"]}}' else 'no json' end"""
 
 
-def _optimized(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _optimized(spark: SparkSession, sf_dir: str, n_words: int | None = 8) -> DataFrame:
     reply = _REPLY.replace("''", "\\'").replace("{{", "{").replace("}}", "}")
-    parts = questions(spark, sf_dir).withColumn("reply", F.replace(F.expr(reply), F.lit("{0}"), F.col("query_id").cast("string")))
+    parts = questions(spark, sf_dir, n_words).withColumn("reply", F.replace(F.expr(reply), F.lit("{0}"), F.col("query_id").cast("string")))
     return answers.parse_optimized(parts)
 
 
@@ -631,4 +653,4 @@ def event_session(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def answer_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole dataflow, from optimised queries to cited context."""
-    return retrieval.answer_queries(_optimized(spark, sf_dir), _hits(spark, sf_dir), dims=64)
+    return retrieval.answer_queries(_optimized(spark, sf_dir, None), _hits(spark, sf_dir), dims=64)

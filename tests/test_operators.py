@@ -8,7 +8,8 @@ import pytest
 
 from quarrystone.functions import text as T, vectors as V
 from quarrystone.operators import answers, dedup, gate, ingest, keyword, limits, ranking, vector
-from quarrystone.plans import retrieval
+from quarrystone.plans import catalog, retrieval
+from quarrystone.sources import tables
 from pyspark.sql import functions as F
 
 ANSWERS = [
@@ -239,3 +240,18 @@ def test_relevance_has_four_signals(spark):
     assert all(abs(got[i].rrf_score - fused[i]) < 1e-12 for i in got)
     order = {c: i + 1 for i, c in enumerate(sorted({round(x, 9) for x in fused.values()}, reverse=True))}
     assert all(got[i].rrf_rank == order[round(fused[i], 9)] for i in got)
+
+
+def test_whole_texts_and_questions(spark, sf_dir):
+    asked = {r.item_id: r.text for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()}
+    whole = {r.query_id: r["query"] for r in tables.questions(spark, sf_dir, None).collect()}
+    assert whole == {i: " ".join(t.lower().split()) for i, t in asked.items()} and max(len(t.split()) for t in whole.values()) > 8
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    lists = {}
+    for r in catalog._fused(spark, sf_dir, None).where("rank <= 5").orderBy("rank").collect():
+        if r.doc in texts:  # some vectors have no document
+            lists.setdefault(r.query_id, []).append((r.rank, texts[r.doc]))
+    got = {r.query_id: r.context for r in catalog.whole_context(spark, sf_dir).collect()}
+    assert got == {q: "\n---\n".join(f"[{i}] {t}" for i, t in found) for q, found in lists.items()}
+    size = {f"P{i}": len(t) for i, t in texts.items()}
+    assert all(r.n_chars == size[r.paper_id] for r in catalog.whole_upsert(spark, sf_dir).collect())
