@@ -91,7 +91,7 @@ def block_links(sets: list[np.ndarray], left: np.ndarray, num: int, den: int) ->
     order = np.argsort(code, kind="stable")
     posting, begin = owner[order], np.concatenate(([0], np.cumsum(freq)))
     forest, links = Forest(len(sets)), []
-    for x in range(len(sets)):
+    for x in np.flatnonzero(n).tolist():  # a blank text has no shingles
         codes = code[at[x] : at[x + 1]]
         prefix = n[x] - -(-num * n[x] // den) + 1  # an overlap of num/den of |x| leaves none of the prefix's complement
         rare = codes[np.argpartition(freq[codes], prefix - 1)[:prefix]] if prefix < n[x] else codes

@@ -107,3 +107,11 @@ def test_sql(spark, sf_dir):
     from tests.comparing import connection, rows_of, rows_of_sql
 
     assert rows_of(minhash.near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), 85, 100)) == rows_of_sql(connection(sf_dir), minhash.oracle())
+
+
+def test_a_repeated_doc_id_may_have_a_blank_text(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, text), (2, text + " more"), (2, "  "), (2, None), (3, text + " other"), (3, ""), (4, "alone here")]
+    got = {(r.doc_id, r.n_shingles): (r.component_id, r.kept) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 80, 100).collect()}
+    want = brute([(i, t) for i, t in rows if t and t.strip()], 80, 100)
+    assert len(got) == 6 and all(got[i, n][0] == want[i] for i, n in got if n)
