@@ -147,7 +147,7 @@ def _decode(lines: str, pattern: str):
 
 
 def _digests(lines: str, pattern: str, with_ids: bool):
-    encode, decode = _encode(lines, pattern, False), _decode(lines, pattern)
+    encode, decode = _encode(lines, pattern, True), _decode(lines, pattern)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for coded in encode(batches):
@@ -156,8 +156,10 @@ def _digests(lines: str, pattern: str, with_ids: bool):
                 flat = coded.column(1).values.to_numpy().astype("<u4")
                 of_ids = [hashlib.sha256(flat[a:b].tobytes()).hexdigest() for a, b in zip(at[:-1], at[1:])]
                 of_bytes = [hashlib.sha256(x).hexdigest() for x in back.column(1).to_pylist()]
-                columns = [coded.column(0), pa.array(np.diff(at), pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_bytes, pa.string()), coded.column(1)]
-                names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"]
+                starts, ends = (coded.column(c).values.to_numpy().astype("<u4") for c in (2, 3))
+                of_offsets = [hashlib.sha256(starts[a:b].tobytes() + ends[a:b].tobytes()).hexdigest() for a, b in zip(at[:-1], at[1:])]
+                columns = [coded.column(0), pa.array(np.diff(at), pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_bytes, pa.string()), pa.array(of_offsets, pa.string()), coded.column(1)]
+                names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "offsets_sha256", "ids"]
                 n = len(names) - (not with_ids)
                 yield pa.RecordBatch.from_arrays(columns[:n], names[:n])
 
@@ -198,8 +200,8 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str, with_ids: bool = False) -> DataFrame:
-    """Encodes and decodes every text: doc_id, n_tokens, SHA-256 of the ids and of the decoded bytes, and the ids if asked for.
+    """Encodes and decodes every text: doc_id, n_tokens, SHA-256 of the ids, of the decoded bytes and of the offsets, and the ids if asked for.
 
-    Cases are handled as in ``encode``; ids are hashed as little-endian unsigned 32-bit integers.
+    Cases are handled as in ``encode``; ids, and all starts followed by all ends, are hashed as little-endian unsigned 32-bit integers.
     """
-    return _narrow(docs).mapInArrow(_digests(_rank_file(path), pattern, with_ids), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
+    return _narrow(docs).mapInArrow(_digests(_rank_file(path), pattern, with_ids), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, offsets_sha256 string" + ", ids array<int>" * with_ids)

@@ -67,3 +67,12 @@ def test_encode_then_decode_with_split_characters(spark):
 
 def test_empty(no_docs):
     assert bpe.round_trip(no_docs, PATH, PATTERN).count() == 0 and bpe.encode(no_docs, PATH, PATTERN).count() == 0
+
+
+def test_round_trip_has_offsets(spark):
+    cases = ["a漢字😀é", "plain text", "", "word " * 500]
+    rows = spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")
+    spans = {r.doc_id: r for r in bpe.encode(rows, PATH, PATTERN).collect()}
+    for r in bpe.round_trip(rows, PATH, PATTERN).collect():
+        raw = b"".join(x.to_bytes(4, "little") for x in [*spans[r.doc_id].starts, *spans[r.doc_id].ends])
+        assert r.offsets_sha256 == hashlib.sha256(raw).hexdigest()
