@@ -11,11 +11,14 @@ the probability: repeatable, and independent of partitioning.
 
 from __future__ import annotations
 
+import logging
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ._common import cut, join_bounded, written
 
+log = logging.getLogger(__name__)
 DIMENSIONS = ("source", "lang", "topic")
 #: Cells that are raked on the driver at most (about 200 bytes each).
 LOCAL_CELLS = 100_000
@@ -34,8 +37,8 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], keep: float, rounds: i
     """Adds ``weight`` to ``cells`` (source, lang, topic, tokens), raked to ``targets`` (category, share) by dimension.
 
     Categories without a target get weight 0; a dimension without targets is left alone. Ends when
-    every marginal is within ``within`` of its target, when trimming keeps the largest deviation from
-    falling by a hundredth, or after ``rounds``. At most ``local_cells`` cells, counted first, are
+    every marginal is within ``within`` of its target, when weights are trimmed and the largest deviation
+    does not fall by a hundredth, or after ``rounds``; a remaining deviation is logged. At most ``local_cells`` cells, counted first, are
     raked on the driver; more of them by the same steps as joins and sums over the cluster.
     """
     size = cells.agg(F.count("*").alias("n"), F.sum("tokens").alias("tokens")).first()
@@ -46,15 +49,19 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], keep: float, rounds: i
 
 
 class _Progress:
-    """Tells when raking is done."""
+    """Tells when raking is done, and reports the gap where it ends short of the targets."""
 
-    def __init__(self, within: float):
-        self.within, self.last = within, None
+    def __init__(self, within: float, rounds: int):
+        self.within, self.left, self.last = within, rounds, None
 
-    def over(self, gap: float | None) -> bool:
-        done = gap is None or gap < self.within or (self.last is not None and gap > 0.99 * self.last)
+    def over(self, gap: float | None, trimmed: bool) -> bool:
+        self.left -= 1
+        met = gap is None or gap < self.within
+        stuck = not met and trimmed and self.last is not None and gap > 0.99 * self.last
         self.last = gap
-        return done
+        if not met and (stuck or not self.left):
+            log.warning("raking ends at a gap of %.3g from the targets: %s", gap, "weights are trimmed" if trimmed else "no rounds are left")
+        return met or stuck
 
 
 def _rake_here(cells: DataFrame, goals: dict[str, DataFrame], keep: float, rounds: int, within: float) -> DataFrame:
@@ -66,7 +73,7 @@ def _rake_here(cells: DataFrame, goals: dict[str, DataFrame], keep: float, round
         names = sorted({r[dimension] for r in rows})
         place = {c: i for i, c in enumerate(names)}
         sides.append((np.array([place[r[dimension]] for r in rows]), np.array([wanted.get(c, 0.0) for c in names])))
-    progress = _Progress(within)
+    progress = _Progress(within, rounds)
     for _ in range(rounds):
         gaps = []
         for at, wanted in sides:
@@ -76,8 +83,9 @@ def _rake_here(cells: DataFrame, goals: dict[str, DataFrame], keep: float, round
             gaps.append(ratio)
         alive = weight > 0
         gap = max((float(np.abs(g[alive] - 1).max()) for g in gaps if alive.any()), default=None)
+        trimmed = bool((weight > 1 / keep).any())
         weight = np.minimum(weight, 1 / keep)
-        if progress.over(gap):
+        if progress.over(gap, trimmed):
             break
     schema = ", ".join(f"{d} string" for d in DIMENSIONS) + ", tokens long, weight double"
     return cells.sparkSession.createDataFrame([(*(r[d] for d in DIMENSIONS), r.tokens, float(w)) for r, w in zip(rows, weight)], schema)
@@ -86,7 +94,7 @@ def _rake_here(cells: DataFrame, goals: dict[str, DataFrame], keep: float, round
 def _rake_there(cells: DataFrame, goals: dict[str, DataFrame], keep: float, rounds: int, within: float) -> DataFrame:
     now, drop = written(cells.withColumn("weight", F.lit(1.0)))
     goals = {d: cut(g) for d, g in goals.items()}
-    progress = _Progress(within)
+    progress = _Progress(within, rounds)
     for _ in range(rounds):
         off = []
         for dimension, goal in goals.items():
@@ -95,12 +103,12 @@ def _rake_there(cells: DataFrame, goals: dict[str, DataFrame], keep: float, roun
             off.append(f"_off_{dimension}")
             now = now.join(ratio, dimension).withColumn("weight", F.col("weight") * F.col("_ratio")).withColumnRenamed("_ratio", off[-1])
         worst = F.max(F.when(F.col("weight") > 0, F.array_max(F.array(*(F.abs(F.col(c) - 1) for c in off)))))
-        now, drop_next = written(now.withColumn("weight", F.least("weight", F.lit(1.0 / keep))))
+        now, drop_next = written(now.withColumn("_over", F.col("weight") > 1.0 / keep).withColumn("weight", F.least("weight", F.lit(1.0 / keep))))
         drop()
         drop = drop_next
-        gap = now.agg(worst).first()[0]
-        now = now.drop(*off)
-        if progress.over(gap):
+        gap, trimmed = now.agg(worst, F.bool_or("_over")).first()
+        now = now.drop(*off, "_over")
+        if progress.over(gap, bool(trimmed)):
             break
     return now.select(*DIMENSIONS, "tokens", "weight")
 

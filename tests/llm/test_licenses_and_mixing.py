@@ -124,6 +124,15 @@ def test_raking_equals_plain_fitting(spark, local):
             assert abs(sum(cells[c] * got[c] for c in cells if c[d] == k) / sum(cells.values()) - share) < 1e-3
 
 
+def test_slow_raking_goes_on_and_reports_its_gap(spark, caplog):
+    table = spark.createDataFrame([("s0", "l0", "t", 100), ("s0", "l1", "t", 100), ("s1", "l1", "t", 100)], "source string, lang string, topic string, tokens long")
+    goals = {d: spark.createDataFrame([(f"{d[0]}{i}", 0.5) for i in range(2)], "category string, share double") for d in ("source", "lang")}
+    got = {(r.source, r.lang): r.weight for r in M.rake(table, goals, 0.2, within=0.002, rounds=1000).collect()}
+    assert got["s0", "l1"] < 0.01 and not caplog.records  # no weight is trimmed; the gap falls ever more slowly
+    M.rake(table, goals, 0.2, within=0.002, rounds=10).collect()
+    assert "no rounds are left" in caplog.text
+
+
 def test_sample_meets_the_targets(spark):
     rng = random.Random(6)
     docs = spark.createDataFrame([(i, "tok " * rng.randint(20, 60), rng.choice(["en"] * 6 + ["de", "fr"]), rng.choice("aaab")) for i in range(6000)], "doc_id long, text string, lang string, source string")
