@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -13,11 +14,17 @@ BROADCAST_ROWS = 400_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share; made here only where none is set."""
+    """The folder that the driver and all executors share: ``spark.checkpoint.dir``, or a temporary one in local mode.
+
+    Raises where none is set and executors are separate processes, for a folder made here would be the driver's alone.
+    """
     sc = spark.sparkContext
     set_dir = sc._jsc.sc().getCheckpointDir()
     if set_dir.isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quarrystone-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir is not set: a cluster needs a folder that its driver and executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="quarrystone-"))
         set_dir = sc._jsc.sc().getCheckpointDir()
     return set_dir.get()
 
@@ -46,3 +53,23 @@ def join_bounded(left: DataFrame, right: DataFrame, on: str | list[str], how: st
     """Joins ``left`` with a materialised ``right``: by broadcast if it has at most ``rows`` rows, else by a shuffled join."""
     small = right.count() <= rows
     return left.join(F.broadcast(right) if small else right.hint("merge"), on, how)
+
+
+def join_weighed(left: DataFrame, right: DataFrame, on: str, weight: str, how: str = "inner", rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Joins ``left`` with a materialised ``right`` (one row per key) whose column ``weight`` tells how many rows of ``left`` have the key.
+
+    A small ``right`` is broadcast. Of a large one only the heaviest keys are: those with over a
+    100,000th of all rows, of which there can be no more than 100,000. What they do not take goes on
+    to a shuffled join, so no key brings more rows than that to one task. Rows of ``left`` with a null
+    key match nothing and are not shuffled; ``how`` is inner or left. ``weight`` is left out.
+    """
+    size = right.agg(F.count("*").alias("n"), F.sum(weight).alias("all")).first()
+    if size.n <= rows:
+        return left.join(F.broadcast(right.drop(weight)), on, how)
+    heavy = F.col(weight) > max(1000.0, size.all / 100_000)
+    names = left.columns + [c for c in right.columns if c not in (on, weight)]
+    hot = right.where(heavy).drop(weight)
+    first = left.join(F.broadcast(hot), on).select(names)
+    rest = left.join(F.broadcast(hot.select(on)), on, "left_anti")
+    out = first.unionByName(rest.where(F.col(on).isNotNull()).join(right.where(~heavy).drop(weight).hint("merge"), on, how).select(names))
+    return out if how == "inner" else out.unionByName(rest.where(F.col(on).isNull()), allowMissingColumns=True)
