@@ -55,18 +55,19 @@ def join_bounded(left: DataFrame, right: DataFrame, on: str | list[str], how: st
     return left.join(F.broadcast(right) if small else right.hint("merge"), on, how)
 
 
-def join_weighed(left: DataFrame, right: DataFrame, on: str, weight: str, how: str = "inner", rows: int = BROADCAST_ROWS) -> DataFrame:
+def join_weighed(left: DataFrame, right: DataFrame, on: str, weight: str, how: str = "inner", rows: int = BROADCAST_ROWS, size: tuple[int, int] | None = None) -> DataFrame:
     """Joins ``left`` with a materialised ``right`` (one row per key) whose column ``weight`` tells how many rows of ``left`` have the key.
 
     A small ``right`` is broadcast. Of a large one only the heaviest keys are: those with over a
     100,000th of all rows, of which there can be no more than 100,000. What they do not take goes on
     to a shuffled join, so no key brings more rows than that to one task. Rows of ``left`` with a null
-    key match nothing and are not shuffled; ``how`` is inner or left. ``weight`` is left out.
+    key match nothing and are not shuffled; ``how`` is inner or left. ``weight`` is left out. ``size``
+    gives bounds of the rows of ``right`` and of their weights where the caller knows them.
     """
-    size = right.agg(F.count("*").alias("n"), F.sum(weight).alias("all")).first()
-    if size.n <= rows:
+    n, total = size or right.agg(F.count("*"), F.coalesce(F.sum(weight), F.lit(0))).first()
+    if n <= rows:
         return left.join(F.broadcast(right.drop(weight)), on, how)
-    heavy = F.col(weight) > max(1000.0, size.all / 100_000)
+    heavy = F.col(weight) > max(1000.0, total / 100_000)
     names = left.columns + [c for c in right.columns if c not in (on, weight)]
     hot = right.where(heavy).drop(weight)
     first = left.join(F.broadcast(hot), on).select(names)
