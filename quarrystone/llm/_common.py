@@ -3,7 +3,7 @@
 * ``text_batches``   -- keeps the Arrow batches of long texts small
 * ``components``     -- connected components by alternating large/small stars
 * ``star_edges``     -- links every bucket member with the bucket's smallest id
-* ``block_groups``   -- splits clusters of any size into bounded block pairs
+* ``block_groups``   -- splits clusters of any size into bounded groups
 * ``ShingleHasher``  -- word and word-shingle hashing over Arrow buffers
 """
 
@@ -15,13 +15,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..lineage import cut, join_bounded, shared_dir, written  # noqa: F401
+from ..lineage import cut, join_bounded, join_weighed, shared_dir, written  # noqa: F401
 
-def text_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Sets the session's Arrow batches to ``rows`` rows at most: texts are long, and a batch is held several times over."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > rows:
-        spark.conf.set(key, rows)
+
+def text_batches(spark: SparkSession, rows: int = 1000, size: int = 8 << 20) -> None:
+    """Sets the session's Arrow batches to ``rows`` rows and ``size`` bytes at most: texts are long, and a batch is held several times over."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
+        now = int(spark.conf.get(key).rstrip("bB"))
+        if not 0 < now <= most:
+            spark.conf.set(key, most)
 
 
 def hash_share(h: Column, share: float) -> Column:
@@ -41,23 +43,24 @@ def sample_keys(df: DataFrame, h: Column, n: int) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges`` (a, b: long): one row (node, component) per node, component the smallest id.
 
-    Alternating large-star / small-star rounds. Each round aggregates a minimum per node
-    (combined before the shuffle) and joins it back, so a hub is split by the skew join; no
-    neighbourhood is ever gathered. Null ids and loops are ignored; empty in, empty out.
+    Alternating large-star / small-star rounds. Each round aggregates a minimum per node (combined
+    before the shuffle) and joins it back; minima of nodes with many edges are broadcast, so no hub's
+    edges meet in one task and no neighbourhood is ever gathered. Null ids and loops are ignored;
+    empty in, empty out.
     """
     a, b = F.col("a"), F.col("b")
     now = cut(edges.where(a.isNotNull() & b.isNotNull() & (a != b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
-    mark = None
     while True:
-        new = now.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
-        if (new.n, new.x) == mark or not new.n:
+        both = now.select("u", "v", F.lit(1).alias("_up")).unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v"), F.lit(0).alias("_up")))
+        least = cut(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("degree"), F.sum("_up").alias("up")).select("u", F.least("u", "m").alias("m"), "degree", "up"))
+        # Done when every node is a root, or has one edge, which leads to a root.
+        nodes, ends, open_ = least.agg(F.count("*"), F.coalesce(F.sum("degree"), F.lit(0)), F.count_if((F.col("up") > 0) & (F.col("degree") > 1))).first()
+        if not open_:
             break
-        mark = (new.n, new.x)
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        lowest = large.groupBy("u").agg(F.min("v").alias("m"))
-        moved = large.join(lowest, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least, size = least.drop("up"), (nodes, ends)
+        large = cut(join_weighed(both.where("v > u").drop("_up"), least, "u", "degree", size=size).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        lowest = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("degree"))
+        moved = join_weighed(large, lowest, "u", "degree", size=size).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = cut(moved.unionByName(lowest.select("u", F.col("m").alias("v"))).distinct())
     roots = now.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
@@ -65,35 +68,39 @@ def components(edges: DataFrame) -> DataFrame:
 
 def star_edges(buckets: DataFrame) -> DataFrame:
     """Of rows (key, id): distinct edges (a, b) between each member of a bucket and its smallest id."""
-    heads = buckets.groupBy("key").agg(F.min("id").alias("b"), F.max("id").alias("_top")).where("b <> _top").select("key", "b")
-    return buckets.join(heads, "key").where("id <> b").select(F.col("id").alias("a"), "b").distinct()
+    heads = cut(buckets.groupBy("key").agg(F.min("id").alias("b"), F.max("id").alias("_top"), F.count("*").alias("size")).where("b <> _top").select("key", "b", "size"))
+    return join_weighed(buckets, heads, "key", "size").where("id <> b").select(F.col("id").alias("a"), "b").distinct()
 
 
-def block_groups(members: DataFrame, block: int) -> DataFrame:
-    """Deals clusters out to groups whose size is bounded, so that every comparable pair shares a group.
+def block_groups(members: DataFrame, block: int, volume: int = 1 << 62, pairs: bool = True) -> DataFrame:
+    """Deals clusters out to groups of bounded size, so that every comparable pair shares exactly one group.
 
-    ``members`` has (cluster, id, band); only ids in the same or adjacent bands need to meet. A
-    cluster of at most ``block`` rows is one group. A larger one is cut by band and, within a
-    band, by a hash of the id into sub-blocks of about ``block`` rows; a group is then a pair of
-    sub-blocks. Returns (id, cluster, band, grp, part): ``grp`` names the group and ``part`` is 0
-    or 1 for the sides of a pair, 2 where all rows are on one side.
+    ``members`` has (cluster, id, band) and, if wished, n (what the row weighs, else 1) and kind (0 or 1,
+    else 0); only ids in the same or adjacent bands need to meet, and two of kind 1 need not. A cluster of
+    at most ``block`` rows and ``volume`` weight is one group. A larger one is cut by band and kind
+    and then, by a hash of the id, into sub-blocks of about that size; a group is a pair of
+    sub-blocks, or without ``pairs`` one sub-block. Returns the rows with ``grp``, the group's name;
+    ``part``, 0 or 1 for the sides of a pair, 2 where all rows are on one side; and ``whole``, whether
+    the group is a whole cluster.
     """
-    size = members.groupBy("cluster").agg(F.count("*").alias("n_all"))
-    bands = members.groupBy("cluster", "band").agg(F.count("*").alias("n_band"))
-    above = bands.select("cluster", (F.col("band") - 1).alias("band"), F.col("n_band").alias("n_above"))
-    below = bands.select("cluster", (F.col("band") + 1).alias("band"), F.col("n_band").alias("n_below"))
-    bands = bands.join(above, ["cluster", "band"], "left").join(below, ["cluster", "band"], "left").join(size, "cluster")
-    parts = lambda n: F.greatest(F.lit(1), F.ceil(F.col(n) / block))
-    rows = members.join(bands, ["cluster", "band"]).withColumn("s", F.pmod(F.xxhash64("id"), parts("n_band")))
-    name = lambda b0, s0, b1, s1: F.xxhash64("cluster", b0, s0, b1, s1)
+    own = {"n": F.lit(1).cast("long"), "kind": F.lit(0)}
+    rows = members.withColumns({c: x for c, x in own.items() if c not in members.columns}).withColumn("_place", F.xxhash64("cluster", "band", "kind"))
+    parts = F.greatest(F.lit(1).cast("long"), F.ceil(F.col("rows") / block), F.ceil(F.col("weight") / volume))
+    units = cut(rows.groupBy("cluster", "band", "kind", "_place").agg(F.count("*").alias("rows"), F.sum("n").alias("weight")).withColumn("parts", parts))
+    whole = units.groupBy("cluster").agg(((F.sum("rows") <= block) & (F.sum("weight") <= volume)).alias("whole"))
+    # At most three bands of two kinds.
+    near = units.select("cluster", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("_at"), F.struct("band", "kind", "parts").alias("x")).groupBy("cluster", F.col("_at").alias("band")).agg(F.collect_list("x").alias("near"))
+    info = cut(units.join(near, ["cluster", "band"]).join(whole, "cluster").select("_place", "parts", "near", "whole", "rows"))
+    dealt = join_weighed(rows, info, "_place", "rows").withColumn("_s", F.pmod(F.xxhash64("id"), F.col("parts")))
+    me = F.struct(F.col("band").cast("long").alias("b"), F.col("kind").cast("int").alias("k"), F.col("_s").alias("s"))
     entry = lambda g, p: F.struct(g.alias("grp"), F.lit(p).alias("part"))
-    b, s = F.col("band"), F.col("s")
-    own = F.transform(F.sequence(F.lit(0).cast("long"), parts("n_band") - 1), lambda t: F.when(t == s, entry(name(b, s, b, s), 2)).when(t > s, entry(name(b, s, b, t), 0)).otherwise(entry(name(b, t, b, s), 1)))
-    up = F.when(F.col("n_above").isNotNull(), F.transform(F.sequence(F.lit(0).cast("long"), parts("n_above") - 1), lambda t: entry(name(b, s, b + 1, t), 0)))
-    down = F.when(F.col("n_below").isNotNull(), F.transform(F.sequence(F.lit(0).cast("long"), parts("n_below") - 1), lambda t: entry(name(b - 1, t, b, s), 1)))
-    none = F.array().cast("array<struct<grp:bigint,part:int>>")
-    groups = F.when(F.col("n_all") <= block, F.array(entry(F.xxhash64("cluster"), 2))).otherwise(F.concat(own, F.coalesce(up, none), F.coalesce(down, none)))
-    return rows.select("id", "cluster", "band", F.inline(groups))
+    if not pairs:
+        groups = F.array(entry(F.xxhash64("cluster", me), 2))
+    else:
+        met = F.filter("near", lambda x: (F.col("kind") == 0) | (x["kind"] == 0))
+        others = F.flatten(F.transform(met, lambda x: F.transform(F.sequence(F.lit(0).cast("long"), x["parts"] - 1), lambda t: F.struct(x["band"].cast("long").alias("b"), x["kind"].cast("int").alias("k"), t.alias("s")))))
+        groups = F.transform(others, lambda o: F.when(o == me, entry(F.xxhash64("cluster", me, me), 2)).when(o > me, entry(F.xxhash64("cluster", me, o), 0)).otherwise(entry(F.xxhash64("cluster", o, me), 1)))
+    return dealt.select(*members.columns, "whole", F.inline(F.when(F.col("whole"), F.array(entry(F.xxhash64("cluster"), 2))).otherwise(groups)))
 
 
 def grouped(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:

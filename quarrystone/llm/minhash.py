@@ -8,12 +8,20 @@ share a key. Pairs above the distance are found too unless all chunks have two e
 similarity 0.85 three in ten million are missed, at 0.8 two in a hundred thousand.
 
 Documents that share keys are not paired up. They form clusters (components of the stars "bucket
-member - bucket's smallest id"), and each cluster is compared on full shingle sets inside bounded
-blocks: a prefix filter on the rarest shingles picks the documents with any partner, posting lists
-give the exact overlaps, and only a spanning forest of confirmed links leaves the task. Documents
-of a cluster with more than BLOCK members are cut by set size (a band holds sizes within the
-threshold's ratio, so only adjacent bands meet) and by hash, so a cluster of any size is dealt out
-over bounded tasks.
+member - bucket's smallest id"), which are confirmed on full shingle sets in groups of bounded size:
+
+1. Every document is compared once, with the at most BLOCK documents of its sub-block. A cluster
+   that is no larger than a block is done.
+2. In larger clusters one document for each group found so far meets those of other blocks, again and
+   again while that halves their number.
+3. What still lies outside a cluster's largest group is compared with all of the cluster, first by
+   signatures; texts are read only of documents that have a partner within FAR symbols in the block.
+   Large groups of copies are not compared within themselves again.
+
+In a group a prefix filter on the rarest shingles picks the documents with any partner, posting
+lists give the exact overlaps, and only a spanning forest of confirmed links leaves the task.
+Documents are dealt out by set size (a band holds sizes within the threshold's ratio, so only
+adjacent bands meet) and by hash, so a cluster of any size goes over bounded tasks.
 """
 
 from __future__ import annotations
@@ -25,12 +33,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ._common import Forest, ShingleHasher, block_groups, components, cut, grouped, join_bounded, mix, star_edges, text_batches
+from ._common import Forest, ShingleHasher, block_groups, components, cut, grouped, join_bounded, join_weighed, mix, star_edges, text_batches
 
 CHUNKS, WIDTH = 10, 6
 SYMBOLS = CHUNKS * WIDTH
-BLOCK = 512
-SIGNED = "doc_id long, n_shingles long, digest binary, keys array<long>"
+#: Documents and shingles of a block, the symbols in which documents may differ to be read once more: a pair at
+#: similarity 0.85 differs in more with a probability of 1 in 100 million, one at 0.8 of 5 in a million.
+BLOCK, VOLUME, FAR = 512, 1 << 19, 27
+SIGNED = "doc_id long, n_shingles long, digest binary, sign binary"
 
 
 def _functions() -> tuple[np.ndarray, np.ndarray]:
@@ -68,21 +78,31 @@ def _sign(width: int):
         for batch in batches:
             for lo, hi, data, offs in hasher.chunks(batch.column(1)):
                 sets, at = hasher.shingles(data, offs)
-                keys = deletion_keys(signatures(sets, at)).view(np.int64)
-                n = np.diff(at)
                 digests = [xxhash.xxh3_128_digest(sets[a:b].tobytes()) for a, b in zip(at[:-1], at[1:])]
-                own = keys.reshape(-1)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(own) + 1, SYMBOLS), pa.int32()), pa.array(own))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), lists], ["doc_id", "n_shingles", "digest", "keys"])
+                signs = [x.tobytes() for x in signatures(sets, at)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(np.diff(at), pa.int64()), pa.array(digests, pa.binary()), pa.array(signs, pa.binary())], ["doc_id", "n_shingles", "digest", "sign"])
 
     return run
 
 
-def block_links(sets: list[np.ndarray], left: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
+def read_signs(signs: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(signs), np.uint16).reshape(len(signs), SYMBOLS)
+
+
+def _file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, sign) -> a row (key, id) for each key."""
+    for batch in batches:
+        if batch.num_rows:
+            keys = deletion_keys(read_signs(batch.column(1).to_pylist())).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1)), pa.array(np.repeat(batch.column(0).to_numpy(), SYMBOLS))], ["key", "id"])
+
+
+def block_links(sets: list[np.ndarray], left: np.ndarray, num: int, den: int, known: np.ndarray | None = None) -> list[tuple[int, int]]:
     """A spanning forest of the pairs with den * |a & b| >= num * |a | b|.
 
     ``left`` tells the sides apart: -1 marks rows that meet all rows, 0 and 1 rows that only meet
-    the other side. Exact; a pair is not evaluated once both ends are known to be connected.
+    the other side. Exact; a pair is not evaluated once both ends are connected, be it by ``known``,
+    which names each row's group so far.
     """
     n = np.array([len(s) for s in sets])
     shingles, code, freq = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
@@ -91,6 +111,9 @@ def block_links(sets: list[np.ndarray], left: np.ndarray, num: int, den: int) ->
     order = np.argsort(code, kind="stable")
     posting, begin = owner[order], np.concatenate(([0], np.cumsum(freq)))
     forest, links = Forest(len(sets)), []
+    if known is not None:
+        for x, y in enumerate(np.unique(known, return_index=True)[1][np.unique(known, return_inverse=True)[1]].tolist()):
+            forest.join(x, y)
     for x in np.flatnonzero(n).tolist():  # a blank text has no shingles
         codes = code[at[x] : at[x + 1]]
         prefix = n[x] - -(-num * n[x] // den) + 1  # an overlap of num/den of |x| leaves none of the prefix's complement
@@ -119,13 +142,15 @@ def _verify(width: int, num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = ShingleHasher(width)
         for group in grouped(batches, "grp"):
+            if group.num_rows < 2:
+                continue
             sets: list[np.ndarray] = []
             for text in group.column("text").chunks:
                 for _, _, data, offs in hasher.chunks(text):
                     flat, at = hasher.shingles(data, offs)
                     sets += [flat[a:b] for a, b in zip(at[:-1], at[1:])]
-            part, ids = group.column("part").to_numpy(), group.column("id").to_numpy()
-            links = block_links(sets, np.where(part == 2, -1, part), num, den) if len(sets) > 1 else []
+            part, ids, known = (group.column(c).to_numpy() for c in ("part", "id", "comp"))
+            links = block_links(sets, np.where(part == 2, -1, part), num, den, known)
             if links:
                 a, b = np.array(links).T
                 yield pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b])], ["a", "b"])
@@ -133,6 +158,69 @@ def _verify(width: int, num: int, den: int):
     return run
 
 
+def _partners(num: int, den: int):
+    """Of groups (grp, part, id, comp, n, sign): the rows with a partner that is near by signature, of like size and in another comp."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in grouped(batches, "grp"):
+            signs = read_signs(group.column("sign").to_pylist())
+            part, comp, n = (group.column(c).to_numpy() for c in ("part", "comp", "n"))
+            a, b = (np.flatnonzero(part != 1), np.flatnonzero(part != 0)) if (part != 2).any() else (np.arange(len(part)),) * 2
+            same = np.zeros((len(a), len(b)), np.uint8)
+            for k in range(SYMBOLS):
+                same += signs[a, k][:, None] == signs[b, k]
+            sizes = (n[a][:, None] * den >= num * n[b]) & (n[b] * den >= num * n[a][:, None])
+            near = (same >= SYMBOLS - FAR) & sizes & (comp[a][:, None] != comp[b])
+            found = np.zeros(len(part), bool)
+            found[a[near.any(1)]] = True
+            found[b[near.any(0)]] = True
+            rows = group.select(["id", "grp", "part", "comp"]).filter(pa.array(found)).combine_chunks()
+            yield from rows.to_batches()
+
+    return run
+
+
+def _confirm(classes: DataFrame, members: DataFrame, verify, block: int) -> DataFrame:
+    """Edges (a, b) that tie all linked ids of ``members`` (id, cluster, band, n); ``verify`` compares groups (id, grp, part, comp)."""
+    alone = F.col("id").alias("comp")
+    dealt = cut(block_groups(members, block, VOLUME, pairs=False))
+    links = cut(verify(dealt.select("id", "grp", "part", alone)))
+    rest = dealt.where("not whole").select(members.columns)
+    if rest.isEmpty():
+        return links
+    last = None
+    while True:
+        found = components(links).select(F.col("node").alias("id"), F.col("component").alias("comp"))
+        rows = cut(rest.join(found, "id", "left").withColumn("comp", F.coalesce("comp", "id")))
+        heads = cut(rows.groupBy("cluster", "band", "comp").agg(F.min(F.struct("id", "n")).alias("x")).select("cluster", "band", "x.id", "x.n"))
+        now = heads.count()
+        if last is not None and now > last / 2:
+            break
+        last = now
+        links = cut(links.unionByName(verify(block_groups(heads, block, VOLUME, pairs=False).select("id", "grp", "part", alone))))
+    sizes = rows.groupBy("cluster", "comp").agg(F.count("*").alias("k"))
+    largest = cut(sizes.groupBy("cluster").agg(F.max(F.struct("k", "comp")).alias("top"), F.sum("k").alias("size")).select("cluster", F.col("top.comp").alias("top"), "size"))
+    kinds = join_weighed(rows, largest, "cluster", "size").withColumn("kind", (F.col("comp") == F.col("top")).cast("int")).drop("top")
+    pairs = cut(block_groups(kinds, block, VOLUME).select("id", "grp", "part", "comp"))
+    if pairs.isEmpty():
+        return links
+    signed = pairs.join(classes.select("id", "n", "sign"), "id").select("grp", "part", "id", "comp", "n", "sign")
+    near = cut(signed.repartition("grp").sortWithinPartitions("grp").mapInArrow(_partners(num=verify.num, den=verify.den), "id long, grp long, part int, comp long"))
+    return links.unionByName(verify(near))
+
+
+class _Verify:
+    """Reads the texts of groups (id, grp, part, comp) and returns edges (a, b)."""
+
+    def __init__(self, rows: DataFrame, width: int, num: int, den: int):
+        self.rows = rows.withColumnRenamed("doc_id", "id").where("id is not null")
+        self.width, self.num, self.den = width, num, den
+
+    def __call__(self, dealt: DataFrame) -> DataFrame:
+        texts = join_bounded(self.rows, cut(dealt), "id").select("grp", "part", "id", "comp", "text")
+        return texts.repartition("grp").sortWithinPartitions("grp").mapInArrow(_verify(self.width, self.num, self.den), "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, num: int = 80, den: int = 100, width: int = 5, block: int = BLOCK) -> DataFrame:
     """Adds n_shingles, component_id and kept to each row of ``docs`` (doc_id, text); other columns are left out.
 
@@ -149,27 +237,34 @@ def near_duplicates(docs: DataFrame, num: int = 80, den: int = 100, width: int =
     signed = cut(rows.mapInArrow(_sign(width), SIGNED))
     filed = signed.where("doc_id is not null and n_shingles > 0")
     # Equal sets are one class; its smallest doc_id stands for it.
-    classes = cut(filed.groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys")))
-    clusters = components(star_edges(classes.select(F.explode("keys").alias("key"), "id")))
-    ratio = math.log(den / num)
-    members = cut(clusters.select(F.col("node").alias("id"), F.col("component").alias("cluster")).join(classes.select("id", F.floor(F.log(F.col("n").cast("double")) / ratio + 1e-9).alias("band"), F.col("digest").alias("_d")), "id"))
-    dealt = cut(block_groups(members.select("id", "cluster", "band").distinct(), block).select("id", "grp", "part"))
-    texts = join_bounded(rows.withColumnRenamed("doc_id", "id").where("id is not null"), dealt, "id").select("grp", "part", "id", "text")
-    found = texts.repartition("grp").sortWithinPartitions("grp").mapInArrow(_verify(width, num, den), "a long, b long")
+    classes = cut(filed.groupBy("digest").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"), F.first("n_shingles").alias("n"), F.first("sign").alias("sign")))
+    clusters = components(star_edges(classes.select("id", "sign").mapInArrow(_file, "key long, id long")))
+    band = F.floor(F.log(F.col("n").cast("double")) / math.log(den / num) + 1e-9).alias("band")
+    # An id that stands for several classes weighs as its largest in each of their bands.
+    sized = classes.groupBy("id", band).agg(F.max("n").alias("n"))
+    members = cut(clusters.select(F.col("node").alias("id"), F.col("component").alias("cluster")).join(sized, "id"))
+    links = _confirm(classes, members, _Verify(rows, width, num, den), block)
     # A doc_id with several texts ties their classes together.
-    placed = filed.select("doc_id", "digest").join(classes.select("digest", F.col("id").alias("class")), "digest")
-    twice = placed.groupBy("doc_id").agg(F.min("class").alias("b"), F.max("class").alias("a")).where("a <> b").select("doc_id", "b")
-    tied = placed.join(twice, "doc_id").select(F.col("class").alias("a"), "b")
-    linked = cut(components(found.unionByName(tied)))
-    reps = classes.select("digest", F.col("id").alias("node")).join(linked, "node", "left").select("digest", F.coalesce("component", "node").alias("component_id"))
-    alone = F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("digest"))
-    out = signed.select("doc_id", "n_shingles", alone.alias("digest")).join(reps, "digest", "left")
+    twice = cut(filed.groupBy("doc_id").agg(F.min("digest").alias("least"), F.max("digest").alias("most")).where("least <> most").select("doc_id"))
+    if not twice.isEmpty():
+        placed = cut(join_bounded(filed.select("doc_id", "digest"), twice, "doc_id").join(classes.select("digest", "id"), "digest"))
+        heads = placed.groupBy("doc_id").agg(F.min("id").alias("b"))
+        links = links.unionByName(placed.join(heads, "doc_id").select(F.col("id").alias("a"), "b"))
+    linked = components(links)
+    names = cut(classes.select("digest", "copies", F.col("id").alias("node")).join(linked, "node", "left").select("digest", F.coalesce("component", "node").alias("component_id"), "copies").where("copies > 1 or component_id <> node"))
+    filled = F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("digest"))
+    out = join_weighed(signed.select("doc_id", "n_shingles", filled.alias("digest")), names, "digest", "copies", "left")
     label = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", "n_shingles", label.alias("component_id"), F.coalesce(F.col("doc_id") == label, F.lit(True)).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, num: int = 80, den: int = 100, width: int = 5) -> DataFrame:
-    """``docs`` with one document of each group of near-duplicates, all columns as they were."""
+    """``docs`` with one document of each group of near-duplicates, all columns as they were.
+
+    The document with the smallest doc_id stays. Rows with a null doc_id, and null or blank texts, are
+    in no group and stay; rows that repeat a doc_id are one document and stay or go together. Very long
+    texts are read whole; column names cannot clash; an empty table gives an empty result.
+    """
     gone = cut(near_duplicates(docs, num, den, width).where("not kept").select(F.col("doc_id").alias("_gone")).distinct())
     small = gone.count() <= 400_000
     return docs.join(F.broadcast(gone) if small else gone, docs["doc_id"] == gone["_gone"], "left_anti")
