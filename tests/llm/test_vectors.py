@@ -1,4 +1,5 @@
 import math
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -85,26 +86,50 @@ def test_hash_keys_find_close_pairs():
 
 
 def brute_top(rows, k, every):
-    data = {(i, tuple(math.floor(1024 * float(np.float32(x))) for x in e)) for i, e, _ in rows if i is not None and e is not None and all(x is not None and math.isfinite(x) for x in e)}
-    out = {}
+    exact = lambda x: math.floor(Fraction(float(np.float32(x)) if abs(x) < 1e38 else float(x)) * 1024)
+    data = [(i, tuple(exact(x) for x in e)) for i, e, _ in rows if i is not None and e is not None and all(x is not None and math.isfinite(x) for x in e)]
+    queries = {}
     for q, v in data:
         if q % every == 0:
-            for d, w in data:
-                if d != q:
-                    s = sum(a * b for a, b in zip(v, w))
-                    out.setdefault(q, {})[d] = max(s, out.get(q, {}).get(d, s))
-    return sorted((q, r + 1, d, s) for q, found in out.items() for r, (s, d) in enumerate(sorted(((s, d) for d, s in found.items()), key=lambda x: (-x[0], x[1]))[:k]))
+            queries[q] = min(v, queries.get(q, v))
+    out = []
+    for q, v in queries.items():
+        found = sorted(((sum(a * b for a, b in zip(v, w)), d) for d, w in data if d != q), key=lambda x: (-x[0], x[1]))[:k]
+        out += [(q, r + 1, d, max(-(2**63), min(2**63 - 1, s))) for r, (s, d) in enumerate(found)]
+    return sorted(out)
+
+
+def top_of(spark, rows, schema=SCHEMA, k=10, every=20):
+    return sorted(map(tuple, topk.top_k(spark.createDataFrame(rows, schema), k, every).select("query_id", "rank", "vec_id", "score").collect()))
 
 
 @pytest.mark.parametrize("small", [True, False])
 def test_top_k_equals_brute_force(spark, small, monkeypatch):
     if small:
-        for name, value in (("QUERIES", 3), ("SLICE", 50)):
+        for name, value in (("QUERIES", 3), ("SLICE", 50), ("TILE", 7), ("RINGED", 4), ("PIVOTS", 9)):
             monkeypatch.setattr(topk, name, value)
     rows = clustered(3) + [(10_000, None, 1), (10_100, [1.0, None], 1), (10_200, [float("nan")] * 24, 1), (None, [1.0] * 24, 1), (10_300, [1.0] * 3, 0), (700, clustered(3)[5][1], 1)]
     rows += [(20_000 + i, [0.5] * 24, 0) for i in range(40)]  # ties
-    got = sorted(map(tuple, topk.top_k(spark.createDataFrame(rows, SCHEMA), 10, 20).select("query_id", "rank", "vec_id", "score").collect()))
-    assert got == brute_top(rows, 10, 20)
+    rows += [(20_001, [0.5] * 24, 0), (20_003, [9.0] * 24, 0), (33, [7.0] * 24, 0), (33, [7.0] * 24, 0)]  # repeated rows
+    assert top_of(spark, rows) == brute_top(rows, 10, 20)
+
+
+@pytest.mark.parametrize("size", [1e5, 1e9, 1e200, 1.7e308])
+def test_top_k_of_large_components_is_exact(spark, size):
+    rng = np.random.default_rng(4)
+    rows = [(i, (rng.normal(size=6) * (size / 10 if i % 3 else 1.0)).tolist(), 0) for i in range(120)] + [(500, [size, 1.0, -1.0, 0.25, 0.0, 3.0], 0), (501, [size] * 6, 0), (502, [size, size, size, size, size, size * (1 - 2**-50)], 0)]
+    assert top_of(spark, rows, "vec_id long, embedding array<double>, label int") == sorted(brute_doubles(rows, 10, 20))
+    assert top_of(spark, [(0, [1e5, 1.0], 0), (1, [1e5, 1.0], 0)], "vec_id long, embedding array<double>, label int") == [(0, 1, 1, 10485760001048576)]
+
+
+def brute_doubles(rows, k, every):
+    data = [(i, [math.floor(Fraction(x) * 1024) for x in e]) for i, e, _ in rows]
+    out = []
+    for q, v in data:
+        if q % every == 0:
+            found = sorted(((sum(a * b for a, b in zip(v, w)), d) for d, w in data if d != q), key=lambda x: (-x[0], x[1]))[:k]
+            out += [(q, r + 1, d, max(-(2**63), min(2**63 - 1, s))) for r, (s, d) in enumerate(found)]
+    return out
 
 
 def test_top_k_of_few_and_none(spark):
@@ -116,8 +141,23 @@ def test_top_k_of_few_and_none(spark):
 
 def test_cells_leave_out_what_cannot_matter():
     pivots = np.array([[1000.0, 0.0], [0.0, 1000.0]])
-    cells = topk.Cells(pivots, np.array([10.0, np.inf]), np.array([500_000.0, np.inf]), np.array([2000.0, 2000.0]))
-    assert cells.needed(np.array([[900.0, 0.0], [100.0, 5.0]]))[:, 0].tolist() == [True, False]
+    cells = topk.Cells(pivots, np.array([0]), np.array([10.0]), np.array([500_000.0]), np.array([0]), np.array([2000.0, 100.0]))
+    assert cells.needed(np.array([[900.0, 0.0], [100.0, 5.0]]), np.array([0, 0]))[:, 0].tolist() == [True, False]
+    assert cells.may.tolist() == [[True, False]] and cells.sizes(np.array([5, 9])).tolist() == [5]
+
+
+def test_little_is_replicated_in_clustered_data(monkeypatch):
+    """Counted on the summaries: clusters far apart meet only their own queries."""
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(40, 32)) * 2000
+    x = np.repeat(centres, 100, axis=0) + rng.normal(size=(4000, 32)) * 20
+    cell = topk.nearest(x, centres)
+    far = np.linalg.norm(x - centres[cell], axis=1)
+    reach = np.array([far[cell == c].max() for c in range(40)])
+    scores = x @ x.T
+    bound = np.partition(scores, -11, axis=1)[:, -11]
+    rings = topk.Cells(centres, np.arange(40), reach, np.array([bound[cell == c].min() for c in range(40)]), np.arange(40), reach)
+    assert rings.needed(x, cell).sum() < 3 * len(x)
 
 
 def test_top_k_sql(spark, sf_dir):
@@ -128,10 +168,10 @@ def test_near_duplicates_sql(spark, sf_dir):
     assert rows_of(embed_dedup.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))) == rows_of_sql(connection(sf_dir), embed_dedup.oracle())
 
 
-@pytest.mark.parametrize("block", [64, 1024])
-def test_near_duplicates_in_dense_data(spark, block):
+@pytest.mark.parametrize("block,usual", [(64, 0.6), (1024, 0.3), (1024, 0.5), (1024, 0.6), (1024, 0.7)])
+def test_near_duplicates_in_dense_data(spark, block, usual):
     rng = np.random.default_rng(8)
-    base = 0.8 * np.ones(64) / 8 + rng.normal(size=(1500, 64)) * 0.6 / 8  # one label, usual cosines of 0.64
+    base = math.sqrt(usual) * np.ones(64) / 8 + rng.normal(size=(1500, 64)) * math.sqrt(1 - usual) / 8  # one label, usual cosines of ``usual``
     close = base[:500] + rng.normal(size=(500, 64)) * 0.33 / 8
     rows = [(int(i), v.astype(np.float32).tolist(), 0) for i, v in zip(rng.permutation(2000), np.concatenate((base, close)))]
     got = {r.vec_id: (r.n_links, r.component_id) for r in embed_dedup.near_duplicates(spark.createDataFrame(rows, SCHEMA), 0.93, block).collect()}
