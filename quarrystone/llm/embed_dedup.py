@@ -24,7 +24,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ._common import Forest, block_groups, components, cut, grouped, join_bounded, mix
+from ._common import Forest, block_groups, components, cut, grouped, join_bounded, join_weighed, mix
 
 BLOCK = 1024
 #: Buckets of at most this many rows are compared row by row offset, others by matrix products.
@@ -283,13 +283,15 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, block: int = BL
     links = compared.groupBy("id").agg(F.sum("links").alias("links"))
     joined = components(compared.select(F.col("id").alias("a"), F.col("root").alias("b")))
     named = cut(classes.select("id", "vec_id", "copies").join(joined.withColumnRenamed("node", "id"), "id", "left").join(links, "id", "left").select("id", "vec_id", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "id").alias("component")))
-    least = named.groupBy("component").agg(F.min("vec_id").alias("component_id"))
-    found = named.join(least, "component").select("id", (F.col("links") + F.col("copies") - 1).alias("n_links"), "component_id")
-    placed = fit.select("vec_id", F.when(F.col("ok"), F.xxhash64("label", "v")).alias("id")).join(found, "id", "left")
+    least = cut(named.groupBy("component").agg(F.min("vec_id").alias("component_id"), F.count("*").alias("size")))
+    found = cut(join_weighed(named, least, "component", "size").select("id", "copies", (F.col("links") + F.col("copies") - 1).alias("n_links"), "component_id"))
+    placed = join_weighed(fit.select("vec_id", F.when(F.col("ok"), F.xxhash64("label", "v")).alias("id")), found, "id", "copies", "left")
     # A vec_id with several vectors ties their components together.
-    twice = placed.where("component_id is not null").groupBy("vec_id").agg(F.min("component_id").alias("b"), F.max("component_id").alias("_top")).where("b <> _top").select("vec_id", "b")
-    again = components(placed.join(twice, "vec_id").select(F.col("component_id").alias("a"), "b"))
-    out = placed.join(again.select(F.col("node").alias("component_id"), "component"), "component_id", "left")
+    twice = cut(placed.where("component_id is not null").groupBy("vec_id").agg(F.min("component_id").alias("b"), F.max("component_id").alias("_top")).where("b <> _top").select("vec_id", "b"))
+    out = placed.withColumn("component", F.lit(None).cast("long"))
+    if not twice.isEmpty():
+        again = components(join_bounded(placed, twice, "vec_id").select(F.col("component_id").alias("a"), "b"))
+        out = placed.join(again.select(F.col("node").alias("component_id"), "component"), "component_id", "left")
     label = F.coalesce("component", "component_id", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), label.alias("component_id"), F.coalesce(F.col("vec_id") == label, F.lit(True)).alias("kept"))
 
