@@ -2,8 +2,8 @@
 
 Every task streams its records into archives ``part-<task>-<n>.warc.zst``: a leading skippable frame
 (0x184D2A5D) holds the Zstandard dictionary, then each record is a frame of its own, so any record can
-be read alone. The dictionary is trained on a bounded sample of the records to be archived. Payloads
-that occur before are written as revisit records. Archives are written under a temporary name and
+be read alone. The dictionary is trained on a bounded sample of the records to be archived, headers and
+revisits included. Payloads that occur before are written as revisit records. Archives are written under a temporary name and
 moved when complete, so a task that is run again replaces its own files; the manifest of a finished
 write is what readers go by.
 """
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from ._common import cut, sample_keys, shared_dir, text_batches
+from ._common import cut, join_weighed, sample_keys, shared_dir, text_batches
 
 DICTIONARY_FRAME = 0x184D2A5D
 ARCHIVE_BYTES = 64 << 20  # compressed size at which a task starts its next archive
@@ -187,23 +187,38 @@ def _read(folder: str):
     return run
 
 
-def plan_records(pages: DataFrame) -> DataFrame:
-    """page_id, url, payload, digest, revisit and refers_to of each row of ``pages`` (page_id, url, html)."""
-    payload = F.coalesce(F.col("html").cast("string").cast("binary"), F.lit(b""))
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload")).withColumn("digest", F.sha2("payload", 256))
-    large = rows.where(F.octet_length("payload") >= LEAST_REVISIT)
-    firsts = large.groupBy("digest", "page_id").agg(F.count("*").alias("n")).groupBy("digest").agg(F.sum("n").alias("n"), F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "n"))).alias("first"))
-    copies = cut(firsts.where("n > 1").select("digest", F.col("first.page_id").alias("first"), F.coalesce(F.col("first.n"), "n").alias("n_first")))
-    seen = copies.agg(F.count("*").alias("n"), F.count_if(F.col("n_first") > 1).alias("tied")).first()
-    small = seen.n <= 100_000  # about 150 bytes a row
-    joined = rows.join(F.broadcast(copies) if small else copies.hint("merge"), "digest", "left")
-    joined = joined.withColumn("n_first", F.when(F.octet_length("payload") >= LEAST_REVISIT, F.col("n_first"))).withColumn("turn", F.lit(1))
-    if seen.tied:  # rows that repeat the first page_id with its payload: one of them is the response
-        many = F.coalesce(F.col("n_first") > 1, F.lit(False))
-        turn = F.row_number().over(Window.partitionBy("digest", "page_id").orderBy("url"))
-        joined = joined.where(~many).unionByName(joined.where(many).withColumn("turn", turn))
-    later = F.col("n_first").isNotNull() & (~F.col("page_id").eqNullSafe(F.col("first")) | (F.col("turn") > 1))
-    return joined.select("page_id", "url", "payload", "digest", later.alias("revisit"), F.when(later, F.col("first")).alias("refers_to"))
+class Plan:
+    """What becomes of each row of ``pages`` (page_id, url, html): the payloads that repeat are found once."""
+
+    def __init__(self, pages: DataFrame):
+        payload = F.coalesce(F.col("html").cast("string").cast("binary"), F.lit(b""))
+        self.rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"))
+        large = self.rows.where(F.octet_length("payload") >= LEAST_REVISIT).select("page_id", F.sha2("payload", 256).alias("digest"))
+        firsts = large.groupBy("digest", "page_id").agg(F.count("*").alias("n")).groupBy("digest").agg(F.sum("n").alias("n"), F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "n"))).alias("first"))
+        self.copies = cut(firsts.where("n > 1").select("digest", F.col("first.page_id").alias("first"), F.coalesce(F.col("first.n"), "n").alias("n_first"), "n"))
+        seen = self.copies.agg(F.count("*").alias("n"), F.coalesce(F.sum("n"), F.lit(0)).alias("all"), F.count_if(F.col("n_first") > 1).alias("tied")).first()
+        self.size, self.tied = (seen.n, seen["all"]), seen.tied
+
+    def records(self, rows: DataFrame) -> DataFrame:
+        """page_id, url, payload, digest, revisit and refers_to of some of ``rows``."""
+        rows = rows.withColumn("digest", F.sha2("payload", 256))
+        joined = join_weighed(rows, self.copies, "digest", "n", "left", rows=100_000, size=self.size)  # about 150 bytes a row
+        joined = joined.withColumn("n_first", F.when(F.octet_length("payload") >= LEAST_REVISIT, F.col("n_first"))).withColumn("turn", F.lit(1))
+        if self.tied:  # rows that repeat the first page_id with its payload: one of them is the response
+            many = F.coalesce(F.col("n_first") > 1, F.lit(False)) & F.col("page_id").eqNullSafe(F.col("first"))
+            turn = F.row_number().over(Window.partitionBy("digest", "page_id").orderBy("url"))
+            joined = joined.where(~many).unionByName(joined.where(many).withColumn("turn", turn))
+        later = F.col("n_first").isNotNull() & (~F.col("page_id").eqNullSafe(F.col("first")) | (F.col("turn") > 1))
+        return joined.select("page_id", "url", "payload", "digest", later.alias("revisit"), F.when(later, F.col("first")).alias("refers_to"))
+
+    def dictionary(self, date: str) -> bytes:
+        """Trained on the records, revisits included, of a sample of bounded number and size; a larger payload lends its beginning."""
+        h = F.xxhash64("page_id", "url")
+        keys = sample_keys(self.rows.select("page_id", "url"), h, SAMPLE_ROWS)
+        some = self.rows.withColumn("_h", h).join(F.broadcast(keys), "_h").drop("_h").limit(2 * SAMPLE_ROWS)  # SAMPLE_ROWS keys
+        shown = self.records(some).withColumn("payload", F.substring("payload", 1, SAMPLE_BYTES)).collect()
+        rows = sorted((r.asDict() for r in shown), key=lambda r: (r["digest"], str(r["page_id"]), str(r["url"])))
+        return train_dictionary([page_record(r | {"payload": bytes(r["payload"]), "url": (r["url"] or "")[:SAMPLE_BYTES]}, str(i), date) for i, r in enumerate(rows)])
 
 
 def write_archives(pages: DataFrame, folder: str, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
@@ -219,13 +234,9 @@ def write_archives(pages: DataFrame, folder: str, date: str = "2024-01-01T00:00:
     text_batches(spark)
     files, root = _filesystem(folder)
     files.create_dir(root, recursive=True)
-    rows = plan_records(pages)
-    # A sample of bounded number and size teaches the dictionary; all records are compressed with it.
-    named = pages.select(F.col("html").cast("string").cast("binary").alias("html"), F.xxhash64(F.col("page_id").cast("long"), F.col("url").cast("string")).alias("_h"))
-    keys = sample_keys(pages.select("page_id", "url"), F.xxhash64(F.col("page_id").cast("long"), F.col("url").cast("string")), SAMPLE_ROWS)
-    sample = named.where(F.octet_length("html").between(1, SAMPLE_BYTES)).join(F.broadcast(keys), "_h").limit(2 * SAMPLE_ROWS).collect()  # SAMPLE_ROWS keys
-    dictionary = spark.sparkContext.broadcast(train_dictionary([HTTP + bytes(r.html) for r in sample]))
-    return cut(rows.mapInArrow(_write(folder, dictionary, date), "archive string, n_records long, n_bytes long"))
+    plan = Plan(pages)
+    dictionary = spark.sparkContext.broadcast(plan.dictionary(date))  # at most DICTIONARY_BYTES
+    return cut(plan.records(plan.rows).mapInArrow(_write(folder, dictionary, date), "archive string, n_records long, n_bytes long"))
 
 
 def read_archives(spark: SparkSession, manifest: DataFrame, folder: str) -> DataFrame:
