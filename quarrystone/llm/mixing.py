@@ -16,7 +16,7 @@ import logging
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ._common import cut, join_bounded, written
+from ._common import cut, join_weighed, written
 
 log = logging.getLogger(__name__)
 DIMENSIONS = ("source", "lang", "topic")
@@ -33,19 +33,23 @@ def tempered(cells: DataFrame, dimension: str, alpha: float) -> DataFrame:
     return power.crossJoin(F.broadcast(power.agg(F.sum("p").alias("all")))).select("category", (F.col("p") / F.col("all")).alias("share"))  # one row on the right
 
 
-def rake(cells: DataFrame, targets: dict[str, DataFrame], keep: float, rounds: int = 25, within: float = 1e-4, local_cells: int = LOCAL_CELLS) -> DataFrame:
-    """Adds ``weight`` to ``cells`` (source, lang, topic, tokens), raked to ``targets`` (category, share) by dimension.
+def rake(cells: DataFrame, targets: dict[str, DataFrame], keep: float, rounds: int = 100, within: float = 1e-4, local_cells: int = LOCAL_CELLS) -> DataFrame:
+    """Adds ``weight`` to ``cells`` (source, lang, topic, tokens), raked to ``targets`` (category, share) by dimension, and ``gap``.
 
     Categories without a target get weight 0; a dimension without targets is left alone. Ends when
     every marginal is within ``within`` of its target, when weights are trimmed and the largest deviation
-    does not fall by a hundredth, or after ``rounds``; a remaining deviation is logged. At most ``local_cells`` cells, counted first, are
-    raked on the driver; more of them by the same steps as joins and sums over the cluster.
+    does not fall by a hundredth, or after ``rounds``. ``gap`` is the largest relative deviation of a
+    marginal then; one beyond ``within`` is logged too. At most ``local_cells`` cells, with no more targets,
+    all counted first, are raked on the driver; more of them by the same steps as joins and sums over
+    the cluster.
     """
     size = cells.agg(F.count("*").alias("n"), F.sum("tokens").alias("tokens")).first()
     goals = {d: t.select("category", (F.col("share") * float(size.tokens or 0)).alias("goal")) for d, t in targets.items()}
     if not size.tokens:
-        return cells.withColumn("weight", F.lit(1.0))
-    return (_rake_here if size.n <= local_cells else _rake_there)(cells, goals, keep, rounds, within)
+        return cells.withColumn("weight", F.lit(1.0)).withColumn("gap", F.lit(0.0))
+    goals = {d: cut(g) for d, g in goals.items()}
+    small = size.n <= local_cells and all(g.count() <= local_cells for g in goals.values())
+    return (_rake_here if small else _rake_there)(cells, goals, keep, rounds, within)
 
 
 class _Progress:
@@ -87,13 +91,12 @@ def _rake_here(cells: DataFrame, goals: dict[str, DataFrame], keep: float, round
         weight = np.minimum(weight, 1 / keep)
         if progress.over(gap, trimmed):
             break
-    schema = ", ".join(f"{d} string" for d in DIMENSIONS) + ", tokens long, weight double"
-    return cells.sparkSession.createDataFrame([(*(r[d] for d in DIMENSIONS), r.tokens, float(w)) for r, w in zip(rows, weight)], schema)
+    schema = ", ".join(f"{d} string" for d in DIMENSIONS) + ", tokens long, weight double, gap double"
+    return cells.sparkSession.createDataFrame([(*(r[d] for d in DIMENSIONS), r.tokens, float(w), progress.last or 0.0) for r, w in zip(rows, weight)], schema)
 
 
 def _rake_there(cells: DataFrame, goals: dict[str, DataFrame], keep: float, rounds: int, within: float) -> DataFrame:
     now, drop = written(cells.withColumn("weight", F.lit(1.0)))
-    goals = {d: cut(g) for d, g in goals.items()}
     progress = _Progress(within, rounds)
     for _ in range(rounds):
         off = []
@@ -110,40 +113,45 @@ def _rake_there(cells: DataFrame, goals: dict[str, DataFrame], keep: float, roun
         now = now.drop(*off, "_over")
         if progress.over(gap, bool(trimmed)):
             break
-    return now.select(*DIMENSIONS, "tokens", "weight")
+    return now.select(*DIMENSIONS, "tokens", "weight", F.lit(progress.last or 0.0).alias("gap"))
 
 
-def chance(doc_id: str = "doc_id", text: str = "text", seed: int = 9) -> Column:
+def chance(doc_id: Column, text: Column, seed: int = 9) -> Column:
     """A number in [0, 1) from the doc_id, or from the text where that is null."""
-    h = F.coalesce(F.when(F.col(doc_id).isNotNull(), F.xxhash64(F.lit(seed), doc_id)), F.xxhash64(F.lit(seed), F.lit("text"), text))
+    h = F.coalesce(F.when(doc_id.isNotNull(), F.xxhash64(F.lit(seed), doc_id)), F.xxhash64(F.lit(seed), F.lit("text"), text))
     return F.shiftrightunsigned(h, 11).cast("double") * F.lit(2.0**-53)
 
 
 def mix_documents(docs: DataFrame, topics: DataFrame | None = None, targets: dict[str, DataFrame] | None = None, alpha: float = 0.7, keep: float = 0.8) -> DataFrame:
-    """A struct ``row`` of all columns of ``docs`` (doc_id, text, lang, source) with topic, tokens, weight, probability and sampled.
+    """A struct ``row`` of all columns of ``docs`` (doc_id, text, lang, source) with topic, tokens, weight, probability, sampled and gap.
 
     ``topics`` has (doc_id, topic); of several topics of a document the smallest counts. ``targets``
     has (category, share) for any of source, lang and topic; others follow ``tempered`` shares.
-    Null sources, languages and topics are categories of their own; null and blank texts have no
-    tokens and are drawn by their cell's weight, 1 in a cell without tokens (then they are kept with
-    probability ``keep``). Rows that repeat a doc_id are drawn alike; the input's columns stay
-    inside ``row``, so no name can clash; an empty table gives an empty result.
+    ``gap`` is the largest deviation of a marginal of the weights from its target: near 0 where the
+    targets are met, more where trimming or missing categories do not allow that. Null sources,
+    languages and topics are categories of their own; null and blank texts have no tokens and are drawn
+    by their cell's weight, 1 in a cell without tokens (then they are kept with probability ``keep``).
+    Rows that repeat a doc_id are drawn alike; the input's columns stay inside ``row``, so no name can
+    clash; an empty table gives an empty result.
     """
+    text = F.col("text").cast("string")
     rows = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"),
         *(F.coalesce(F.col(c).cast("string"), F.lit(MISSING)).alias(c) for c in ("source", "lang")),
-        F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(r"\S+")), F.lit(0)).cast("long").alias("tokens"),
+        F.coalesce(F.regexp_count(text, F.lit(r"\S+")), F.lit(0)).cast("long").alias("tokens"), chance(F.col("doc_id").cast("long"), text).alias("chance"),
     )
     if topics is None:
         rows = rows.withColumn("topic", F.lit(MISSING))
     else:
-        named = cut(topics.where("doc_id is not null and topic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(F.col("topic").cast("string")).alias("topic")))
-        rows = join_bounded(rows, named, "doc_id", "left").withColumn("topic", F.coalesce("topic", F.lit(MISSING)))
-    cells = cut(rows.groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens")))
+        named = cut(topics.where("doc_id is not null and topic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(F.col("topic").cast("string")).alias("topic"), F.count("*").alias("_n")))
+        rows = join_weighed(rows, named, "doc_id", "_n", "left").withColumn("topic", F.coalesce("topic", F.lit(MISSING)))
+    rows = rows.withColumn("cell", F.concat_ws("\u0001", *DIMENSIONS))
+    cells = cut(rows.groupBy("cell", *DIMENSIONS).agg(F.sum("tokens").alias("tokens"), F.count("*").alias("docs")))
     goals = {d: (targets or {}).get(d) or tempered(cells, d, alpha) for d in DIMENSIONS}
-    weights = cut(rake(cells, goals, keep).select(*DIMENSIONS, F.when(F.col("tokens") > 0, F.col("weight")).otherwise(1.0).alias("weight")))
-    drawn = join_bounded(rows, weights, list(DIMENSIONS)).withColumn("probability", F.least(F.lit(1.0), F.col("weight") * keep))
-    return drawn.select("row", F.nullif("topic", F.lit(MISSING)).alias("topic"), "tokens", "weight", "probability", (chance() < F.col("probability")).alias("sampled"))
+    raked = rake(cells.select(*DIMENSIONS, "tokens"), goals, keep).select(*DIMENSIONS, F.when(F.col("tokens") > 0, F.col("weight")).otherwise(1.0).alias("weight"), "gap")
+    weights = cut(cells.select("cell", *DIMENSIONS, "docs").join(raked, list(DIMENSIONS)).select("cell", "docs", "weight", "gap"))
+    drawn = join_weighed(rows, weights, "cell", "docs").withColumn("probability", F.least(F.lit(1.0), F.col("weight") * keep))
+    return drawn.select("row", F.nullif("topic", F.lit(MISSING)).alias("topic"), "tokens", "weight", "probability", (F.col("chance") < F.col("probability")).alias("sampled"), "gap")
 
 
 def topics_of_vectors(vectors: DataFrame) -> DataFrame:

@@ -55,7 +55,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weights and a draw for every document, by source, language and the label of its vector."""
     topics = mixing.topics_of_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
     mixed = mixing.mix_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), topics)
-    return mixed.select("row.doc_id", "row.source", "row.lang", "topic", "tokens", "weight", "probability", "sampled")
+    return mixed.select("row.doc_id", "row.source", "row.lang", "topic", "tokens", "weight", "probability", "sampled", "gap")
 
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
