@@ -1,4 +1,5 @@
 import random
+import re
 
 import numpy as np
 import pytest
@@ -22,12 +23,30 @@ def found(spark, model, texts):
     return {r.doc_id: r for r in L.scan(docs, model).collect()}
 
 
+def named(family):
+    return L.UNKNOWN if family == L.BSD else family  # its opening sentence alone names neither licence
+
+
 def test_held_out_variants(spark, model, prose):
     texts, classes = L.variants(prose[1500:], seed=77, each=9)
     got = found(spark, model, texts)
-    right = [L.FAMILIES[c] in got[i].families for i, c in enumerate(classes)]
+    right = [named(L.FAMILIES[c]) in got[i].families for i, c in enumerate(classes)]
     wrong = [bool(set(got[i].families) - {L.FAMILIES[c], L.UNKNOWN}) for i, c in enumerate(classes)]
-    assert np.mean(right) > 0.85 and np.mean(wrong) < 0.05
+    assert np.mean(right) > 0.8 and np.mean(wrong) < 0.02
+
+
+def test_probabilities_are_calibrated(model, prose):
+    """On variants, prose and licences that neither training nor calibration saw."""
+    others = ("Licensed under the Q Public License, version 1.0.", "Released under the terms of the Sleepycat License.", "You may use and redistribute this work under the terms of the Lucent Public License 1.02.")
+    clean = [p for p in prose[1500:] if not any(x.lower() in p.lower() for ps in L.TEMPLATES.values() for x in ps)][:300]
+    texts, classes = L.variants(prose[1500:], 78, 9, others)
+    texts, classes = texts + clean, np.array(classes + [len(L.CLASSES) - 1] * len(clean))
+    grams, _, row, words = L.Features().of_texts(texts)
+    p = model.probabilities(model.logits(grams, row, len(words)))
+    sure, right = p.max(1), p.argmax(1) == classes
+    assert abs(sure.mean() - right.mean()) < 0.08 and right.mean() > 0.85
+    unknown = np.flatnonzero(classes == len(L.FAMILIES))
+    assert p[unknown, -2].mean() > 0.4
 
 
 def test_prose_is_left_alone(spark, model, prose):
@@ -42,13 +61,14 @@ def test_every_template_and_position(spark, model):
     cases = [(f, p) for f, ps in L.TEMPLATES.items() for p in ps]
     got = found(spark, model, [f"some words first\n\n{p}\nlast line" for _, p in cases])
     for i, (family, p) in enumerate(cases):
-        assert family in got[i].families, p
-        assert got[i].n_paragraphs == 3 and got[i].positions[list(got[i].families).index(family)] == 2
+        assert named(family) in got[i].families, p
+        assert got[i].n_paragraphs == 3 and got[i].positions[list(got[i].families).index(named(family))] == 2
 
 
 def test_unlike_notices_are_unknown(spark, model):
-    got = found(spark, model, ["Licensed under the Foo License, version 7 of the License, a Foo license"])
-    assert not set(got[0].families) - {L.UNKNOWN}
+    got = found(spark, model, ["Licensed under the Foo License, version 7 of the License, a Foo license", *L.HELD_OUT, *L.OTHERS])
+    assert all(set(r.families) <= {L.UNKNOWN} for r in got.values())
+    assert np.mean([list(got[i].families) == [L.UNKNOWN] for i in range(len(got))]) > 0.8
 
 
 MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
@@ -62,23 +82,74 @@ the Free Software Foundation, either version 3 of the License, or
 (at your option) any later version."""
 
 
-@pytest.mark.parametrize("prefix", ["", "# ", " * "])
-def test_wrapped_notices(spark, model, prefix):
-    bodies = [MIT, BSD, GPL]
-    got = found(spark, model, [f"some words first\n\n{prefix}" + b.replace("\n", "\n" + prefix) + "\n\nlast line" for b in bodies])
-    for i, family in enumerate(("mit", "bsd-3-clause", "gpl-3.0")):
-        assert list(got[i].families) == [family] and list(got[i].positions) == [2]
-    assert [got[i].n_paragraphs for i in range(3)] == [5, 4, 6]
+ISC = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies."""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0"""
 
 
-def test_other_versions_are_unknown(spark, model):
+@pytest.mark.parametrize("prefix", ["", "# ", " * "])
+def test_wrapped_notices(spark, model, prefix):
     two = "1. Redistributions of source code must retain the above copyright notice.\n2. Redistributions in binary form must reproduce the above copyright\n   notice in the documentation."
     three = "3. Neither the name of the holder may be used to endorse or\n   promote products derived from this software."
-    others = [GPL.replace("version 3", "version 2"), GPL.replace("GNU General", "GNU Lesser General"), GPL.replace("GNU General", "GNU Affero General"), f"{BSD}\n\n{two}"]
-    others += [x.replace("\n", " ") for x in others[:3]]
-    got = found(spark, model, others + [f"{BSD}\n\n{two}\n{three}"])
-    assert all(set(got[i].families) == {L.UNKNOWN} for i in range(len(others)))
-    assert "bsd-3-clause" in got[len(others)].families
+    gpl2, lgpl2, lgpl3, agpl = GPL.replace("version 3", "version 2"), GPL.replace("GNU General", "GNU Lesser General").replace("version 3", "version 2.1"), GPL.replace("GNU General", "GNU Lesser General"), GPL.replace("GNU General", "GNU Affero General")
+    cases = [(MIT, "mit"), (GPL, "gpl-3.0"), (gpl2, "gpl-2.0"), (lgpl2, "lgpl-2.1"), (lgpl3, "lgpl-3.0"), (agpl, "agpl-3.0"), (ISC, "isc"), (APACHE, "apache-2.0"), (BSD, L.UNKNOWN), (f"{BSD}\n\n{two}", "bsd-2-clause"), (f"{BSD}\n\n{two}\n{three}", "bsd-3-clause"), (GPL.replace("version 3", "version 4"), L.UNKNOWN)]
+    got = found(spark, model, [f"some words first\n\n{prefix}" + b.replace("\n", "\n" + prefix) + "\n\nlast line" for b, _ in cases])
+    for i, (body, family) in enumerate(cases):
+        assert family in got[i].families and not set(got[i].families) - {family, L.UNKNOWN}, body
+        assert got[i].positions[list(got[i].families).index(family)] == 2 and got[i].n_paragraphs == 2 + sum(bool(x) for x in body.split("\n"))
+    assert all(len(got[i].families) == 1 for i in range(7))
+    flat = found(spark, model, [b.replace("\n", " ") for b, _ in cases[:9]])
+    assert [list(flat[i].families) for i in range(9)] == [[f] for _, f in cases[:9]]
+
+
+def longest_common(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        out = [0]
+        for j, y in enumerate(b):
+            out.append(row[j] + 1 if x == y else max(row[j + 1], out[j]))
+        row = out
+    return row[-1]
+
+
+def plain_families(model, text):
+    """Families by judging every line and every run of up to eight lines of a block, with plain alignment."""
+    out, features = set(), L.Features()
+    for block in re.split(r"(?:\n[^A-Za-z0-9\n]*)+\n", text):
+        lines = block.split("\n")
+        for i in range(len(lines)):
+            for j in range(i + 1, min(len(lines), i + 8) + 1):
+                run = "\n".join(lines[i:j])
+                words = L.words_of(run)
+                grams, _, row, n = features.of_texts([run])
+                p = model.probabilities(model.logits(grams, row, 1))[0]
+                family = int(p[:-2].argmax())
+                if 1 - p[-1] < L.LOOKS or p[family] < p[-2]:
+                    continue
+                for t in L.ALL:
+                    if t.family == family and longest_common(words, t.words) >= L.CONFIRMED * len(t.words) and t.needed <= set(words) and not t.barred & set(words):
+                        out.add(L.FAMILIES[family])
+    return out
+
+
+def test_equals_judging_every_run_of_lines(spark, model, prose):
+    pick = random.Random(6)
+    texts = []
+    for i in range(60):
+        lines = [" ".join(pick.choice(prose[1500:]).split()[:12]) for _ in range(pick.randint(1, 3))]
+        notice = pick.choice([p for ps in L.TEMPLATES.values() for p in ps]).split()
+        cut = sorted(pick.sample(range(1, len(notice)), min(len(notice) - 1, pick.choice((0, 1, 2, 3)))))
+        wrapped = [" ".join(notice[a:b]) for a, b in zip([0, *cut], [*cut, len(notice)])]
+        glue = pick.choice(("\n", "\n\n"))
+        texts.append(glue.join(["\n".join(lines), "\n".join(pick.choice(("", "# ", " * ")) + x for x in wrapped), "the end of it"]))
+    got = found(spark, model, texts)
+    same = [set(got[i].families) - {L.UNKNOWN} == {f for f in plain_families(model, t) if f != L.BSD} for i, t in enumerate(texts)]
+    assert np.mean(same) == 1.0, [(t, got[i].families, plain_families(model, t)) for i, t in enumerate(texts) if not same[i]][:2]
 
 
 def test_paragraphs_and_documents_part_notices(spark, model):
