@@ -15,7 +15,6 @@ import hashlib
 import os
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,10 +22,11 @@ from pyspark.sql import DataFrame, functions as F
 
 from ._common import text_batches
 
-#: Characters per call of the library; a longer match is encoded alone and whole.
-CALL_CHARS = 1 << 18
-#: Matches whose ids a worker remembers; beyond that it starts afresh.
-KNOWN = 300_000
+#: Characters and matches per call of the library; a longer match is encoded alone and whole.
+CALL_CHARS, CALL_MATCHES = 1 << 16, 4096
+#: Bytes that a worker's remembered matches may take (about 130 for each and its characters); beyond that it starts
+#: afresh. Matches over LONGEST characters are never remembered.
+KNOWN_BYTES, LONGEST = 24 << 20, 64
 
 
 def byte_characters() -> dict[int, str]:
@@ -56,7 +56,8 @@ class Codec:
         self.tokenizer = Tokenizer(models.BPE(vocab={name[t]: r for t, r in ranks.items()}, merges=merges, ignore_merges=True))
         self.tokenizer.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.pattern = regex.compile(pattern)
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known: dict[str, bytes] = {}
+        self.known_bytes = 0
         top = max(ranks.values(), default=-1) + 1
         by_id = [b""] * top
         for t, r in ranks.items():
@@ -71,21 +72,34 @@ class Codec:
         Texts are cut into the pattern's matches; each distinct match that is not known yet goes to
         the library once, and the ids of a text are those of its matches in order.
         """
-        cut = [self.pattern.findall(t) for t in texts]
-        fresh = [m for m in set(chain.from_iterable(cut)) if m not in self.known]
-        if len(self.known) + len(fresh) > KNOWN:
-            self.known.clear()
-            fresh = list(set(chain.from_iterable(cut)))
-        lo = 0
+        out = []
+        for text in texts:
+            matches = self.pattern.findall(text)
+            if self.known_bytes > KNOWN_BYTES:
+                self.known.clear()
+                self.known_bytes = 0
+            own = self._learn(list({m for m in matches if m not in self.known}))
+            ids = b"".join([self.known[m] if m in self.known else own[m] for m in matches]) if own else b"".join(map(self.known.__getitem__, matches))
+            out.append(np.frombuffer(ids, "<u4"))
+        return out
+
+    def _learn(self, fresh: list[str]) -> dict[str, bytes]:
+        """Encodes ``fresh`` and remembers it; returns what is too long for that."""
+        own, lo = {}, 0
         while lo < len(fresh):
             hi, size = lo, 0
-            while hi < len(fresh) and (hi == lo or size + len(fresh[hi]) <= CALL_CHARS):
+            while hi < len(fresh) and hi < lo + CALL_MATCHES and (hi == lo or size + len(fresh[hi]) <= CALL_CHARS):
                 size += len(fresh[hi])
                 hi += 1
-            self.known.update(zip(fresh[lo:hi], (tuple(e.ids) for e in self.tokenizer.encode_batch(fresh[lo:hi], add_special_tokens=False))))
+            for m, e in zip(fresh[lo:hi], self.tokenizer.encode_batch(fresh[lo:hi], add_special_tokens=False)):
+                ids = np.array(e.ids, "<u4").tobytes()
+                if len(m) > LONGEST:
+                    own[m] = ids
+                else:
+                    self.known[m] = ids
+                    self.known_bytes += 130 + 4 * len(m)
             lo = hi
-        ids = self.known.__getitem__
-        return [np.fromiter(chain.from_iterable(map(ids, c)), "<u4") for c in cut]
+        return own
 
     def offsets(self, text: str, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """First and last + 1 character of each token; a token inside a character covers the whole character."""
