@@ -1,8 +1,8 @@
 """Secret scans with a trigram inverted index, in DataFrame expressions only.
 
 Each rule's regular expression is reduced to a Boolean query over trigrams: an OR of clauses, each
-an AND of trigrams that every match of that alternative holds. One pass over a text lists which of
-the queries' trigrams it holds; exploded, these are the postings (trigram, text). Intersecting the
+an AND of trigrams that every match of that alternative holds. Which of the queries' trigrams a text
+holds, exploded, are the postings (trigram, text). Intersecting the
 postings of each clause gives the candidates, which alone are verified with the full expression.
 Rules without mandatory trigrams scan every text. Texts are known by a 64-bit hash in the postings,
 so copies share their postings; a hash collision could only add a candidate, never lose one.
@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ._common import cut
 
 #: Alternatives and characters of a class beyond which a part of an expression is left open.
-SPREAD, CLASS = 64, 4
+SPREAD, CLASS = 64, 8
 
 
 @dataclass(frozen=True)
@@ -94,21 +94,15 @@ def trigram_query(rule: Rule) -> list[frozenset[str]] | None:
     return sorted((c for c in clauses if not any(d < c for d in clauses)), key=sorted)
 
 
-def _finder(grams: dict[str, bool]) -> str:
-    """A look-ahead that yields, at each position, the trigram of ``grams`` there; True: in either case."""
-    show = lambda c, either: f"[{c}{c.upper()}]" if either and c.isalpha() else f"\\x{ord(c):02x}"
-    tree: dict[str, dict[str, list[str]]] = {}
-    for g, either in sorted(grams.items()):
-        a, b, c = (show(x, either) for x in g)
-        tree.setdefault(a, {}).setdefault(b, []).append(c)
-    return "(?=(" + "|".join(a + "(?:" + "|".join(b + "(?:" + "|".join(cs) + ")" for b, cs in below.items()) + ")" for a, below in tree.items()) + "))"
-
-
 def postings(docs: DataFrame, grams: dict[str, bool]) -> DataFrame:
-    """(gram, key) for the given trigrams over all texts; ``key`` is the text's hash."""
-    found = F.regexp_extract_all("text", F.lit(_finder(grams)), F.lit(1))
-    folded = F.array_distinct(F.concat(found, F.transform(F.array_distinct(found), F.lower)))
-    return docs.select(F.xxhash64("text").alias("key"), F.explode(folded).alias("gram"))
+    """(gram, key) for the given trigrams (True: in either case) over all texts; ``key`` is the text's hash.
+
+    Each of the few trigrams that the queries need is looked for in the text or its lower-case form, so
+    a text of any length brings at most one posting for each. Lower case is that of A-Z, as in the rules.
+    """
+    low = docs.select("text", F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz").alias("low"))
+    held = F.array(*(F.when(F.contains("low" if either else "text", F.lit(g)), F.lit(g)) for g, either in sorted(grams.items())))
+    return low.select(F.xxhash64("text").alias("key"), F.explode(F.array_compact(held)).alias("gram"))
 
 
 def candidates(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -172,7 +166,12 @@ def digest(scanned: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """``docs`` with each secret in ``text`` replaced by its kind in brackets; overlapping ones by the first's."""
+    """``docs`` with each secret in ``text`` replaced by its kind in brackets; overlapping ones by the first's.
+
+    ``n_chars``, if there is such a column, follows the text; all other columns, null texts and texts
+    without secrets stay as they are. Repeated rows are redacted each; texts of any length are read
+    whole; empty in, empty out.
+    """
     text = F.col("text")
     piece = lambda a, s: F.concat(a["out"], F.substring(text, a["at"] + 1, s["start"] - a["at"]), F.concat(F.lit("["), s["kind"], F.lit("]")))
     step = lambda a, s: F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.when(s["start"] >= a["at"], piece(a, s)).otherwise(a["out"]).alias("out"))
