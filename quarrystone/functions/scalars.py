@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+from ..lineage import cut, join_weighed
 
 
 def nan_to_null(x: Column | str) -> Column:
@@ -15,10 +17,21 @@ def sigmoid(x: Column) -> Column:
     return 1 / (1 + F.exp(-x))
 
 
-def share_of_max(x: str, *by: str) -> Column:
-    """The value divided by its group's greatest; 0 where that is not positive."""
-    top = F.max(x).over(Window.partitionBy(*by))
-    return F.when(top > 0, F.col(x) / top).otherwise(0.0)
+def share_of_max(rows: DataFrame, x: str, by: str) -> DataFrame:
+    """Adds ``share``, the value divided by its group's greatest; 0 where that is not positive.
+
+    The maxima are combined before the shuffle and joined back, so a group of any size is no task's work.
+    Rows with a null group are a group of their own.
+    """
+    name = F.coalesce(F.col(by).cast("string"), F.lit("\u0000"))
+    tops = cut(rows.groupBy(name.alias("_by")).agg(F.max(x).alias("_top"), F.count("*").alias("_n")))
+    joined = join_weighed(rows.withColumn("_by", name), tops, "_by", "_n")
+    return joined.withColumn("share", F.when(F.col("_top") > 0, F.col(x) / F.col("_top")).otherwise(0.0)).drop("_by", "_top")
+
+
+def new_id() -> Column:
+    """A random identifier of a row (UUID version 4)."""
+    return F.uuid()
 
 
 def n_batches(n: Column, size: int) -> Column:

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import text as T
+from ..lineage import cut
 
 ARRIVAL = ("variant_ix", "hit_ix")
 
@@ -43,22 +43,22 @@ def dedup_hits(hits: DataFrame, by: Sequence[str] = ("query_id",)) -> DataFrame:
 def dedup_hits_strict(hits: DataFrame, by: str = "query_id") -> DataFrame:
     """The greedy pass itself: a hit stays if neither its id nor its title key was seen on a hit that stayed.
 
-    One query's hits are gathered in one task: a search returns a few hundred.
+    In rounds: of the hits that are left, those stay that come first of their id and of their title, and
+    all hits with an id or title that stayed go. Ends after as many rounds as the longest chain of hits that
+    wait for each other, few in practice; no query's hits are gathered in one task.
     """
-    keyed = usable_hits(hits).withColumn("_key", T.title_key("title"))
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        ids, titles, keep = set(), set(), []
-        rows = rows.sort_values(list(ARRIVAL), kind="stable")
-        for paper, title in zip(rows["paper_id"], rows["_key"]):
-            fresh = paper not in ids and title not in titles
-            keep.append(fresh)
-            if fresh:
-                ids.add(paper)
-                titles.add(title)
-        return rows[keep]
-
-    return keyed.groupBy(by).applyInPandas(run, keyed.schema).drop("_key")
+    left = cut(usable_hits(hits).withColumn("_key", T.title_key("title")))
+    place = lambda c: F.row_number().over(Window.partitionBy(by, c).orderBy(*ARRIVAL, "paper_id", "_key"))
+    kept: list[DataFrame] = []
+    while not left.isEmpty():
+        kept.append(cut(left.withColumn("_a", place("paper_id")).withColumn("_b", place("_key")).where("_a = 1 and _b = 1").drop("_a", "_b")))
+        for c in ("paper_id", "_key"):
+            left = left.join(kept[-1].select(by, c), [by, c], "left_anti")
+        left = cut(left)
+    out = left
+    for part in kept:
+        out = out.unionByName(part)
+    return out.drop("_key")
 
 
 def without(hits: DataFrame, seen: DataFrame, on: Sequence[str]) -> DataFrame:

@@ -7,6 +7,8 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ..lineage import BROADCAST_ROWS, cut
+
 
 def sliding_count(events: DataFrame, seconds: int = 3600) -> DataFrame:
     """Adds n_recent: the user's events in the window that ends with each event, itself included."""
@@ -46,5 +48,18 @@ def admit(events: DataFrame, limit: int = 5, seconds: float = 3600, cooldown: fl
 
 
 def queue_positions(requests: DataFrame, by: str) -> DataFrame:
-    """Adds position, counted from 1 in order of arrival within ``by``."""
-    return requests.withColumn("position", F.row_number().over(Window.partitionBy(by).orderBy("ts", "event_id")))
+    """Adds position, counted from 1 in order of arrival within ``by``.
+
+    Requests are dealt out by ranges of (queue, time); each range counts for itself and starts from
+    what the ranges before it hold, so that a queue of any length goes over many tasks.
+    """
+    order = ("ts", "event_id")
+    tasks = int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = cut(requests.repartitionByRange(tasks, by, *order).withColumn("_range", F.spark_partition_id()))
+    sizes = dealt.groupBy(by, "_range").agg(F.count("*").alias("_size"))  # a row for each range, and for each queue within one
+    before = Window.partitionBy(by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = cut(sizes.select(F.col(by).alias("_by"), F.col("_range").alias("_at"), F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start")))
+    own = dealt.withColumn("_own", F.row_number().over(Window.partitionBy("_range", by).orderBy(*order)))
+    side = F.broadcast(starts) if starts.count() <= BROADCAST_ROWS else starts
+    placed = own.join(side, (F.col("_range") == F.col("_at")) & F.col(by).eqNullSafe(F.col("_by")))
+    return placed.select(*requests.columns, (F.col("_start") + F.col("_own")).alias("position"))

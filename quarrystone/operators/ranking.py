@@ -39,9 +39,10 @@ def authority(papers: DataFrame) -> DataFrame:
     return papers.withColumn("authority", F.log10(F.greatest(count("influential_citation_count"), count("citation_count") * 0.3) + 1))
 
 
-def recency(papers: DataFrame, this_year: int = 2025, decay: float = 0.1) -> DataFrame:
-    """Adds recency = exp(-decay x age), 0 without a year; its rank does not depend on ``this_year``."""
-    return papers.withColumn("recency", F.coalesce(F.exp((F.col("year") - this_year) * decay), F.lit(0.0)))
+def recency(papers: DataFrame, this_year: int | None = None, decay: float = 0.1) -> DataFrame:
+    """Adds recency = exp(-decay x age), 0 without a year; by default age counts from the current year. Its rank does not depend on that."""
+    now = F.year(F.current_date()) if this_year is None else F.lit(this_year)
+    return papers.withColumn("recency", F.coalesce(F.exp((F.col("year") - now) * decay), F.lit(0.0)))
 
 
 def spread(column: str, by: str = "query_id") -> Column:
@@ -73,14 +74,17 @@ def relevance(ranked: DataFrame, names: tuple[str, ...] = RELEVANCE, rrf_k: int
     return ranked.withColumn("rrf_score", total).withColumn("rrf_rank", dense("rrf_score"))
 
 
-def composite(ranked: DataFrame, top_k: int = 50) -> DataFrame:
+def composite(ranked: DataFrame, top_k: int = 50, weights: dict[str, float] | None = None) -> DataFrame:
     """The ``top_k`` hits of each query by weighted relevance, authority and recency, ties to the smaller ix.
 
-    Weights come from the column ``intent`` if there is one, else they are the general ones.
+    ``weights`` may give any of relevance, authority and recency, the others being the general ones.
+    Without it weights come from the column ``intent`` if there is one, else they are the general ones.
     """
     intent = F.col("intent") if "intent" in ranked.columns else F.lit("general")
 
     def weight(i: int) -> Column:
+        if weights is not None:
+            return F.lit(float(weights.get(("relevance", "authority", "recency")[i], INTENT_WEIGHTS["general"][i])))
         chosen = F.lit(INTENT_WEIGHTS["general"][i])
         for name, w in INTENT_WEIGHTS.items():
             chosen = F.when(intent == name, F.lit(w[i])).otherwise(chosen)
@@ -94,9 +98,9 @@ def composite(ranked: DataFrame, top_k: int = 50) -> DataFrame:
     return ranked.withColumn("final_score", total).withColumn("final_rank", place).where(F.col("final_rank") <= top_k)
 
 
-def rank_papers(hits: DataFrame, queries: DataFrame, top_k: int = 50) -> DataFrame:
+def rank_papers(hits: DataFrame, queries: DataFrame, top_k: int = 50, weights: dict[str, float] | None = None) -> DataFrame:
     """The full ranker: hits (query_id, ix, title, abstract, year, citation counts, embedding) against queries (query_id, query)."""
-    return composite(relevance(signals(hits, queries)), top_k)
+    return composite(relevance(signals(hits, queries)), top_k, weights)
 
 
 def stratified(ranked: DataFrame, total: int = 50) -> DataFrame:

@@ -3,24 +3,36 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import vectors as V
+from ..lineage import cut
 
-#: Query vectors per block: at 64 dimensions half a megabyte.
-QUERY_BLOCK = 1024
+#: Query vectors per matrix product, and on the driver at a time (at 64 dimensions 25 MB).
+QUERY_BLOCK, HELD = 1024, 50_000
 
 
 def knn(queries: DataFrame, data: DataFrame, k: int) -> DataFrame:
     """(query_id, doc, score, rank): the ``k`` nearest of ``data`` (doc, embedding) by cosine for each of ``queries`` (query_id, embedding).
 
     The stated queries go in blocks against all rows: each task keeps its k best per query by one
-    matrix product per batch, so k rows per task and query are shuffled. Ties go to the smaller doc;
-    zero vectors score 0; rows whose length differs from the queries' are left out.
+    matrix product per batch, so k rows per task and query are shuffled. Beyond HELD queries, counted
+    first, that many at a time are answered and written out. Ties go to the smaller doc; zero vectors
+    score 0; rows whose length differs from the queries' are left out.
     """
+    parts = -(-queries.count() // HELD)
+    if parts > 1:
+        share = lambda i: queries.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == i)
+        done = [cut(_knn(share(i), data, k)) for i in range(parts)]
+        return reduce(DataFrame.unionByName, done)
+    return _knn(queries, data, k)
+
+
+def _knn(queries: DataFrame, data: DataFrame, k: int) -> DataFrame:
     rows = [(r.query_id, r.embedding) for r in queries.where("embedding is not null").orderBy("query_id").toLocalIterator()]
     out: DataFrame | None = None
     spark = data.sparkSession

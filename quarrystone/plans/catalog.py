@@ -74,10 +74,23 @@ def public_dump(spark: SparkSession, sf_dir: str) -> DataFrame:
 def scalar_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sigmoid, share of the group's maximum, and NaN as null."""
     value = F.when(F.col("value") == 0, float("nan")).otherwise(F.col("value"))
-    return table(spark, sf_dir, "events").select("event_id", F.round(scalars.sigmoid(scalars.nan_to_null(value) / 100), 6).alias("squashed"), F.round(scalars.share_of_max("value", "event_type"), 6).alias("share"))
+    rows = scalars.share_of_max(table(spark, sf_dir, "events"), "value", "event_type")
+    return rows.select("event_id", F.round(scalars.sigmoid(scalars.nan_to_null(value) / 100), 6).alias("squashed"), F.round("share", 6).alias("share"))
 
 
-@query()
+def _html_sql() -> str:
+    hidden = r"(?is)<!--.*?-->|" + "|".join(rf"<{t}\b.*?</{t}\s*>" for t in ("script", "style", "head", "nav"))
+    x = "html"
+    for pattern, new in ((hidden, " "), (r"(?i)</?(p|div|br|h[1-6]|li|ul|ol|tr|table|article|section)\b[^>]*>", "\n"), ("<[^>]*>", "")):
+        x = f"regexp_replace({x}, '{pattern}', '{new}', 'g')"
+    for name, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&amp;", "&")):
+        x = f"replace({x}, '{name}', '{char}')"
+    for pattern, new in ((r"[ \t\r]+", " "), (r" ?\n[ \n]*", "\n"), (r"^\s+|\s+$", "")):
+        x = f"regexp_replace({x}, '{pattern}', '{new}', 'g')"
+    return f"with t as (select page_id, {x} as text from pages) select page_id, text, case when text is null or length(regexp_replace(text, '\\s', '', 'g')) = 0 then 'empty' when length(text) < 500 then 'too_short' else 'ok' end as status from t"
+
+
+@query(_html_sql())
 def html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text of each page and whether it is long enough."""
     rows = table(spark, sf_dir, "pages").select("page_id", T.html_text("html").alias("text"))
@@ -167,7 +180,7 @@ def quality_metrics_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""with {_METRICS} select venue, paper_count >= 25 and abstract_coverage >= 0.6 as passed,
 case when paper_count >= 25 and abstract_coverage >= 0.6 then 'Quality gate passed' else
-concat_ws('; ', case when paper_count < 25 then 'paper count ' || paper_count || ' < 25' end, case when abstract_coverage < 0.6 then printf('abstract coverage %.2f%% < 60%%', abstract_coverage * 100) end) end as reason from m""")
+concat_ws('; ', case when paper_count < 25 then 'insufficient paper count (' || paper_count || ' < 25)' end, case when abstract_coverage < 0.6 then printf('low abstract coverage (%.2f%% < 60%%)', abstract_coverage * 100) end) end as reason from m""")
 def quality_gate_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The gate's verdict and reasons by venue."""
     return gate.verdict(_measured(spark, sf_dir)).select("venue", "passed", "reason")
@@ -198,7 +211,10 @@ def term_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return posted.groupBy("term").agg(F.count("*").alias("n_docs"), F.sum("tf").alias("n"))
 
 
-@query(f"with {S.QUESTIONS}, {S.OKAPI} select w as term, round(idf, 6) as idf from oidf")
+@query(f"""with t as materialized (select doc_id, unnest({S.tok('text')}) as w from documents),
+f as materialized (select w, count(distinct doc_id) as df from t group by w),
+r as materialized (select w, ln((select count(*) from documents) - df + 0.5) - ln(df + 0.5) as raw from f)
+select w as term, round(case when raw < 0 then 0.25 * (select avg(raw) from r) else raw end, 6) as idf from r""")
 def term_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Inverse document frequencies of all terms."""
     docs = table(spark, sf_dir, "documents")
@@ -250,7 +266,7 @@ def centroid_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def lsa_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Latent-semantic similarity and dense rank of each hit."""
-    scored = retrieval.lsa_of_hits(_hits(spark, sf_dir), questions(spark, sf_dir, None))
+    scored = retrieval.lsa_of_hits(_hits(spark, sf_dir), questions(spark, sf_dir))
     return scored.select("query_id", "ix", F.round("score", 6).alias("score"), ranking.dense("score").cast("long").alias("lsa_rank"))
 
 
@@ -278,9 +294,9 @@ fused as (select coalesce(a.query_id, b.query_id) as query_id, coalesce(a.doc, b
 placed as (select *, row_number() over (partition by query_id order by score desc, rank_a nulls last, rank_b nulls last) as rank from fused)"""
 
 
-def _fused(spark: SparkSession, sf_dir: str, n_words: int | None = 8) -> DataFrame:
+def _fused(spark: SparkSession, sf_dir: str) -> DataFrame:
     near = vector.knn(_query_vectors(spark, sf_dir), _vectors(spark, sf_dir), 20)
-    keys = keyword.okapi_topk(table(spark, sf_dir, "documents"), questions(spark, sf_dir, n_words), 20, "doc_id")
+    keys = keyword.okapi_topk(table(spark, sf_dir, "documents"), questions(spark, sf_dir), 20, "doc_id")
     return ranking.fuse(near, keys, 10)
 
 
@@ -301,12 +317,29 @@ def hybrid_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---------------------------------------------------------------- composite ranking
 
-#: The signals of relevance in the SQL of the queries below, which lacks the latent-semantic one.
-SQL_SIGNALS = ("bm25_rank", "tfidf_rank", "centroid_rank")
+#: The signals that SQL can express; the ranker's own also has the latent-semantic one.
+THREE = ("bm25_rank", "tfidf_rank", "centroid_rank")
+
 
+def _relevance(spark: SparkSession, sf_dir: str, names: tuple[str, ...] = ranking.RELEVANCE) -> DataFrame:
+    return ranking.relevance(ranking.signals(_hits(spark, sf_dir), questions(spark, sf_dir), names), names)
 
-def _relevance_of_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ranking.relevance(ranking.signals(_hits(spark, sf_dir), questions(spark, sf_dir), SQL_SIGNALS), SQL_SIGNALS)
+
+def _fused_ranks(rows: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    return rows.select("query_id", "ix", *(F.col(c).cast("long").alias(c) for c in names), F.round("rrf_score", 9).alias("rrf_score"), F.col("rrf_rank").cast("long").alias("rrf_rank"))
+
+
+def _spreads(rows: DataFrame) -> DataFrame:
+    names = {"relevance_score": "rrf_rank", "authority_score": "authority_rank", "recency_score": "recency_rank"}
+    return rows.select("query_id", "ix", *(F.round(ranking.spread(r), 6).alias(n) for n, r in names.items()))
+
+
+def _finals(rows: DataFrame, k: int = 50) -> DataFrame:
+    return ranking.composite(rows, k).select("query_id", "ix", F.round("final_score", 6).alias("final_score"), F.col("final_rank").cast("long").alias("final_rank"))
+
+
+def _with_intent(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("intent", F.element_at(F.array(F.lit("general"), F.lit("news"), F.lit("foundational")), (F.col("query_id") % 3 + 1).cast("int")))
 
 
 @query(f"with {S.BASE}, {S.PRIORS} select query_id, ix, round(authority, 6) as authority, authority_rank from priors")
@@ -318,52 +351,58 @@ def authority_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"with {S.BASE}, {S.PRIORS} select query_id, ix, round(recency, 6) as recency, recency_rank from priors")
 def recency_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recency and its dense rank."""
-    return ranking.recency(_hits(spark, sf_dir)).select("query_id", "ix", F.round("recency", 6).alias("recency"), ranking.dense("recency").cast("long").alias("recency_rank"))
+    return ranking.recency(_hits(spark, sf_dir), 2025).select("query_id", "ix", F.round("recency", 6).alias("recency"), ranking.dense("recency").cast("long").alias("recency_rank"))
 
 
-@query(f"with {S.SIGNALS}, {S.RELEVANCE} select query_id, ix, bm25_rank, tfidf_rank, centroid_rank, round(rrf_score, 9) as rrf_score, rrf_rank from rel")
+@query()
 def rrf_multi_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The three signals that the SQL has, of each hit, fused into one relevance rank."""
-    rows = _relevance_of_sql(spark, sf_dir)
-    return rows.select("query_id", "ix", *(F.col(c).cast("long").alias(c) for c in ("bm25_rank", "tfidf_rank", "centroid_rank")), F.round("rrf_score", 9).alias("rrf_score"), F.col("rrf_rank").cast("long").alias("rrf_rank"))
+    """The four signals of each hit, fused into one relevance rank."""
+    return _fused_ranks(_relevance(spark, sf_dir), ranking.RELEVANCE)
 
 
-@query(f"with {S.SIGNALS}, {S.RELEVANCE}, {S.SPREADS} select query_id, ix, round(relevance_score, 6) as relevance_score, round(authority_score, 6) as authority_score, round(recency_score, 6) as recency_score from spreads")
+@query()
 def minmax_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The three ranks on a scale from 0 to 1."""
-    rows = _relevance_of_sql(spark, sf_dir)
-    names = {"relevance_score": "rrf_rank", "authority_score": "authority_rank", "recency_score": "recency_rank"}
-    return rows.select("query_id", "ix", *(F.round(ranking.spread(r), 6).alias(n) for n, r in names.items()))
+    """The ranks of relevance, authority and recency on a scale from 0 to 1."""
+    return _spreads(_relevance(spark, sf_dir))
 
 
-@query(f"with {S.SIGNALS}, {S.RELEVANCE}, {S.SPREADS}, {S.composite()}")
+@query()
 def composite_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ranker with general weights, on the three signals that the SQL has."""
-    return ranking.composite(_relevance_of_sql(spark, sf_dir)).select("query_id", "ix", F.round("final_score", 6).alias("final_score"), F.col("final_rank").cast("long").alias("final_rank"))
+    """The full ranker with general weights."""
+    return _finals(_relevance(spark, sf_dir))
 
 
-_INTENTS = ", ".join(f"case query_id % 3 when 0 then {w[0]}::double when 1 then {w[1]}::double else {w[2]}::double end as {n}" for n, w in (("wr", (0.6, 0.5, 0.4)), ("wa", (0.35, 0.0, 0.6)), ("wc", (0.05, 0.5, 0.0))))
+@query()
+def composite_rank_by_intent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The full ranker with weights by the query's intent."""
+    return _finals(_with_intent(_relevance(spark, sf_dir)), 20)
 
 
-@query(f"with {S.SIGNALS}, {S.RELEVANCE}, {S.SPREADS}, {S.composite(_INTENTS, 20)}")
-def composite_rank_by_intent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ranker with weights by the query's intent, on the three signals that the SQL has."""
-    intent = F.element_at(F.array(F.lit("general"), F.lit("news"), F.lit("foundational")), (F.col("query_id") % 3 + 1).cast("int"))
-    rows = _relevance_of_sql(spark, sf_dir)
-    return ranking.composite(rows.withColumn("intent", intent), 20).select("query_id", "ix", F.round("final_score", 6).alias("final_score"), F.col("final_rank").cast("long").alias("final_rank"))
+@query(f"with {S.SIGNALS}, {S.RELEVANCE} select query_id, ix, bm25_rank, tfidf_rank, centroid_rank, round(rrf_score, 9) as rrf_score, rrf_rank from rel")
+def rrf_three_way(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three signals that SQL can express, of each hit, fused into one relevance rank."""
+    return _fused_ranks(_relevance(spark, sf_dir, THREE), THREE)
 
 
-@query()
-def rrf_four_way(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All four signals of each hit fused into one relevance rank."""
-    rows = ranking.relevance(ranking.signals(_hits(spark, sf_dir), questions(spark, sf_dir, None)))
-    return rows.select("query_id", "ix", *(F.col(c).cast("long").alias(c) for c in ranking.RELEVANCE), F.round("rrf_score", 9).alias("rrf_score"), F.col("rrf_rank").cast("long").alias("rrf_rank"))
+@query(f"with {S.SIGNALS}, {S.RELEVANCE}, {S.SPREADS} select query_id, ix, round(relevance_score, 6) as relevance_score, round(authority_score, 6) as authority_score, round(recency_score, 6) as recency_score from spreads")
+def minmax_three_way(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ranks on a scale from 0 to 1, relevance from three signals."""
+    return _spreads(_relevance(spark, sf_dir, THREE))
 
 
-@query()
-def composite_four_way(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The full ranker with general weights."""
-    return ranking.rank_papers(_hits(spark, sf_dir), questions(spark, sf_dir, None)).select("query_id", "ix", F.round("final_score", 6).alias("final_score"), F.col("final_rank").cast("long").alias("final_rank"))
+@query(f"with {S.SIGNALS}, {S.RELEVANCE}, {S.SPREADS}, {S.composite()}")
+def composite_three_way(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ranker with general weights on three signals."""
+    return _finals(_relevance(spark, sf_dir, THREE))
+
+
+_INTENTS = ", ".join(f"case query_id % 3 when 0 then {w[0]}::double when 1 then {w[1]}::double else {w[2]}::double end as {n}" for n, w in (("wr", (0.6, 0.5, 0.4)), ("wa", (0.35, 0.0, 0.6)), ("wc", (0.05, 0.5, 0.0))))
+
+
+@query(f"with {S.SIGNALS}, {S.RELEVANCE}, {S.SPREADS}, {S.composite(_INTENTS, 20)}")
+def composite_three_way_by_intent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ranker with weights by intent on three signals."""
+    return _finals(_with_intent(_relevance(spark, sf_dir, THREE)), 20)
 
 
 # ---------------------------------------------------------------- selection
@@ -386,8 +425,12 @@ k as (select *, row_number() over (partition by query_id, paper_id order by rank
 select query_id, paper_id, doc_id, final_rank from (select *, row_number() over (partition by query_id order by n > 3, rank) as final_rank from k) where final_rank <= 40""")
 def diverse_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The longest documents of each language, three of a source first."""
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n_chars"), "doc_id"))
-    ranked = table(spark, sf_dir, "documents").select(F.col("lang").alias("query_id"), F.col("source").alias("paper_id"), "doc_id", rank.alias("rank"))
+    docs = table(spark, sf_dir, "documents").select(F.col("lang").alias("query_id"), F.col("source").alias("paper_id"), "doc_id", "n_chars")
+    order = (F.desc("n_chars"), "doc_id")
+    # Only the 40 longest of a language and the 3 longest of each source can be chosen; both are cut before the shuffle.
+    first = lambda n, *by: docs.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("_n") <= n).drop("_n")
+    some = first(40, "query_id").unionByName(first(3, "query_id", "paper_id")).distinct()
+    ranked = some.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)))
     return ranking.diverse(ranked, 40, 3).select("query_id", "paper_id", "doc_id", F.col("final_rank").cast("long").alias("final_rank"))
 
 
@@ -401,24 +444,14 @@ ok as (select query_id, paper_id, text from (select query_id, paper_id, text, ro
 
 
 @query(f"""with {_UPGRADE}
-select query_id, paper_id, case when text is not null then 'pdf' else 'abstract' end as text_source, length(coalesce(text, substr(abstract, 1, 300))) as n_chars from ranked left join ok using (query_id, paper_id)""")
+select query_id, paper_id, case when text is not null then 'pdf' else 'abstract' end as text_source, length(coalesce(text, abstract)) as n_chars from ranked left join ok using (query_id, paper_id)""")
 def base_bonus_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The beginnings of abstracts upgraded to full texts for the first usable candidates of each venue."""
-    return _upserted(spark, sf_dir, F.substring("abstract", 1, 300))
-
-
-@query()
-def whole_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whole abstracts upgraded to full texts for the first usable candidates of each venue."""
-    return _upserted(spark, sf_dir, F.col("abstract"))
-
-
-def _upserted(spark: SparkSession, sf_dir: str, abstract: Column) -> DataFrame:
+    """Abstracts upgraded to full texts for the first usable candidates of each venue."""
     p = papers(spark, sf_dir)
     rank = F.row_number().over(Window.partitionBy("venue").orderBy(F.desc("influential_citation_count"), "ix"))
     ranked = p.select(F.col("venue").alias("query_id"), "paper_id", "pdf_url", rank.alias("rank"))
     full = ingest.choose_full_text(ranked, p.select("paper_id", F.col("abstract").alias("text")), min_chars=1500)
-    base = p.select(F.col("venue").alias("query_id"), "paper_id", abstract.alias("text"))
+    base = p.select(F.col("venue").alias("query_id"), "paper_id", F.col("abstract").alias("text"))
     return ingest.upsert_full_text(base, full).select("query_id", "paper_id", "text_source", F.length("text").cast("long").alias("n_chars"))
 
 
@@ -466,37 +499,24 @@ def _rerank_sql() -> str:
 select query_id, doc, round(rerank_score, 6) as rerank_score, rerank_rank from (select *, row_number() over (partition by query_id order by rerank_score desc, rank) as rerank_rank from s) where rerank_rank <= 5"""
 
 
-def _retrieved(spark: SparkSession, sf_dir: str, n_words: int | None = 8) -> DataFrame:
+def _retrieved(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "text", "source")
-    return _fused(spark, sf_dir, n_words).select("query_id", "doc", "rank").join(texts, "doc").join(questions(spark, sf_dir, n_words), "query_id")
+    return _fused(spark, sf_dir).select("query_id", "doc", "rank").join(texts, "doc").join(questions(spark, sf_dir), "query_id")
 
 
 @query(_rerank_sql())
 def rerank_standin(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fused lists reranked by word overlap."""
-    return ingest.rerank(_retrieved(spark, sf_dir), 5).select("query_id", "doc", F.round("rerank_score", 6).alias("rerank_score"), F.col("rerank_rank").cast("long").alias("rerank_rank"))
+    return ingest.rerank(_retrieved(spark, sf_dir), 5, ingest.overlap_score("query", "text")).select("query_id", "doc", F.round("rerank_score", 6).alias("rerank_score"), F.col("rerank_rank").cast("long").alias("rerank_rank"))
 
 
 # ---------------------------------------------------------------- answers
 
 
-@query(f"""with {_FUSED} select query_id, string_agg('[' || rank || '] ' || substr(text, 1, 200), '\n---\n' order by rank) as context from placed join documents on doc_id = doc where rank <= 5 group by query_id""")
+@query(f"""with {_FUSED} select query_id, string_agg('[' || rank || '] ' || text, '\n---\n' order by rank) as context from placed join documents on doc_id = doc where rank <= 5 group by query_id""")
 def context_string(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The beginnings of the five first passages of each query as numbered context."""
-    rows = _retrieved(spark, sf_dir).where("rank <= 5").select("query_id", "rank", F.substring("text", 1, 200).alias("text"))
-    return answers.context(rows)
-
-
-@query()
-def whole_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The five first passages of each whole question as numbered context, all of their text."""
-    return answers.context(_retrieved(spark, sf_dir, None).where("rank <= 5").select("query_id", "rank", "text"))
-
-
-@query()
-def whole_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The fused lists of the whole questions reranked by word overlap."""
-    return ingest.rerank(_retrieved(spark, sf_dir, None), 5).select("query_id", "doc", F.round("rerank_score", 6).alias("rerank_score"), F.col("rerank_rank").cast("long").alias("rerank_rank"))
+    """The five first passages of each query as numbered context, all of their text."""
+    return answers.context(_retrieved(spark, sf_dir).where("rank <= 5").select("query_id", "rank", "text"))
 
 
 @query(f"""with {_FUSED} select query_id, string_agg(rank || '. ' || coalesce(nullif(title, ''), 'Unknown title') || ' (' || coalesce(pdf_url, '') || ')', '\n' order by rank) as sources
@@ -536,7 +556,7 @@ _VERIFIED = f"{_ANSWERED}, bad as (select *, list_filter(found, lambda x: x <= 0
 
 
 @query(f"""with {_VERIFIED} select conv_id, turn, len(invalid) = 0 as valid, array_to_string(invalid, ',') as invalid,
-case when len(found) = 0 then 'No citations found in answer.' when len(invalid) = 0 then 'All citations are valid.' else 'Invalid citations: [' || array_to_string(invalid, ', ') || ']. Valid range is 1-' || n_passages || '.' end as reason from bad""")
+case when len(found) = 0 then 'No citations found in answer.' when len(invalid) = 0 then 'All ' || len(found) || ' citation(s) are valid.' else 'Found invalid citations: [' || array_to_string(invalid, ', ') || ']' end as reason from bad""")
 def citations_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether citations lie within the passages."""
     return answers.verify(_answered(spark, sf_dir)).select("conv_id", "turn", "valid", F.array_join(F.transform("invalid", lambda x: x.cast("string")), ",").alias("invalid"), "reason")
@@ -555,9 +575,9 @@ when 1 then 'Here it is: {{''strategy'': ''expansion'', ''final_rephrase'': ''r{
 when 2 then '{{"strategy": "decomposition", "final_rephrase": "r{0}", "sub_queries": ["s{0}", "t{0}"]}}' else 'no json' end"""
 
 
-def _optimized(spark: SparkSession, sf_dir: str, n_words: int | None = 8) -> DataFrame:
+def _optimized(spark: SparkSession, sf_dir: str) -> DataFrame:
     reply = _REPLY.replace("''", "\\'").replace("{{", "{").replace("}}", "}")
-    parts = questions(spark, sf_dir, n_words).withColumn("reply", F.replace(F.expr(reply), F.lit("{0}"), F.col("query_id").cast("string")))
+    parts = questions(spark, sf_dir).withColumn("reply", F.replace(F.expr(reply), F.lit("{0}"), F.col("query_id").cast("string")))
     return answers.parse_optimized(parts)
 
 
@@ -653,4 +673,31 @@ def event_session(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def answer_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole dataflow, from optimised queries to cited context."""
-    return retrieval.answer_queries(_optimized(spark, sf_dir, None), _hits(spark, sf_dir), dims=64)
+    return retrieval.answer_queries(_optimized(spark, sf_dir), _hits(spark, sf_dir), dims=64)
+
+
+def _searched(spark: SparkSession, sf_dir: str) -> Callable[[DataFrame], DataFrame]:
+    """A search over the papers: each variant of a query finds its venue's papers of one language."""
+    p = papers(spark, sf_dir).withColumn("pdf_url", F.coalesce("pdf_url", F.lit("https://papers.example.org/none")))
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("_e"), "embedding")
+    langs = F.array(*map(F.lit, ("en", "de", "fr", "es")))
+
+    def search(variants: DataFrame) -> DataFrame:
+        asked = variants.select("query_id", "variant_ix", F.concat(F.lit("src"), (F.col("query_id") % 20).cast("string")).alias("venue"), F.element_at(langs, (F.pmod("variant_ix", F.lit(4)) + 1).cast("int")).alias("lang"))
+        return asked.join(p, ["venue", "lang"]).join(e, F.col("ix") == F.col("_e"), "left").drop("_e").withColumn("hit_ix", F.col("ix"))
+
+    return search
+
+
+@query()
+def discover_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Searches by variant, the gate with one refinement, and the ranking, by sub-query for decompositions."""
+    ranked, verdict = retrieval.discover(_optimized(spark, sf_dir), _searched(spark, sf_dir), 64)
+    return verdict.select("query_id", "passed", "refined").join(ranked.select("query_id", "paper_id", F.col("final_rank").cast("long").alias("final_rank")), "query_id", "left")
+
+
+@query()
+def answer_searches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From searches to cited context, with full texts for the first usable papers."""
+    texts = papers(spark, sf_dir).select("paper_id", F.col("abstract").alias("text"))
+    return retrieval.answer_searches(_optimized(spark, sf_dir), _searched(spark, sf_dir), 64, texts)

@@ -29,7 +29,7 @@ PAPERS = """papers as (
          case when doc_id % 13 <> 0 then doc_id * 7919 % 5000 end as citation_count, doc_id * 31 % 300 as influential_citation_count,
          case when doc_id % 4 <> 0 then 'https://papers.example.org/' || doc_id || '.pdf' end as pdf_url, source as venue, lang
   from documents)"""
-QUESTIONS = f"questions as (select item_id as query_id, array_to_string({tok('text')}[1:8], ' ') as query from benchmark)"
+QUESTIONS = f"questions as (select item_id as query_id, array_to_string({tok('text')}, ' ') as query from benchmark)"
 HITS = "hits as (select q.query_id, p.*, e.embedding from questions q join papers p on p.venue = 'src' || (q.query_id % 20) left join embeddings e on e.vec_id = p.ix)"
 BASE = f"{PAPERS},\n{QUESTIONS},\n{HITS}"
 

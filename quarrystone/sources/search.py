@@ -22,26 +22,32 @@ class SearchFailed(Exception):
     """The service refused a request for good."""
 
 
-def file_fetch(path: str, variant: int) -> tuple[int, list[dict]]:
-    """The page of one variant; a missing file is an unknown status."""
+def file_fetch(path: str, variant: int) -> tuple[int, list[dict], float]:
+    """(status, data, seconds to wait before another try) of one variant; a missing file is an unknown status."""
+    from pyarrow import fs
+
+    files, root = fs.FileSystem.from_uri(path if "://" in path else f"file://{path.removeprefix('file:')}")
     try:
-        with open(f"{path}/{variant}.json") as f:
-            page = json.load(f)
+        with files.open_input_stream(f"{root}/{variant}.json") as f:
+            page = json.loads(f.read())
     except FileNotFoundError:
-        return 404, []
-    return int(page.get("status", 200)), page.get("data") or []
+        return 404, [], 0.0
+    return int(page.get("status", 200)), page.get("data") or [], float(page.get("retry_after") or 0)
+
 
+def search_page(fetch: Callable[[str, int], tuple[int, list[dict], float]], path: str, variant: int, attempts: int = 3, pause: float = 2.0) -> list[dict]:
+    """One page: data for status 200, up to ``attempts`` tries for 429 and 503, nothing for other statuses.
 
-def search_page(fetch: Callable[[str, int], tuple[int, list[dict]]], path: str, variant: int, attempts: int = 3, pause: float = 2.0) -> list[dict]:
-    """One page: data for status 200, up to ``attempts`` tries for 429 and 503, nothing for other statuses."""
+    Between tries it waits as long as the service asks, if it does, and then the pause, which doubles.
+    """
     for attempt in range(attempts):
-        status, data = fetch(path, variant)
+        status, data, wait = fetch(path, variant)
         if status == 200:
             return data
         if status not in RETRY_STATUS:
             return []
         if attempt + 1 < attempts:
-            time.sleep(pause * 2**attempt)
+            time.sleep(max(wait, 0.0) + pause * 2**attempt)
     raise SearchFailed(f"variant {variant}: status {status}")
 
 

@@ -39,8 +39,6 @@ def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def questions(spark: SparkSession, sf_dir: str, n_words: int | None = 8) -> DataFrame:
-    """Benchmark texts as queries: query_id and the first ``n_words`` words, or with None all words."""
-    words = T.tokens("text")
-    first = F.array_join(words if n_words is None else F.slice(words, 1, n_words), " ")
-    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), first.alias("query"))
+def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark texts as queries: query_id and all words of the text."""
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(T.tokens("text"), " ").alias("query"))

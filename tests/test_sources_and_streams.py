@@ -76,6 +76,8 @@ def test_admission_on_a_stream_equals_batch(spark, sf_dir, tmp_path):
     want = limits.admit(events, 1, 86_400)
     show = lambda df: sorted((r.event_id, r.admitted) for r in df.collect())
     assert show(got) == show(want) and len({a for _, a in show(got)}) == 2
+    cool = run_stream(spark, admission.admit_stream(stream, 3, 86_400, cooldown=3 * 86_400), "cooled")
+    assert show(cool) == show(limits.admit(events, 3, 86_400, cooldown=3 * 86_400)) != show(limits.admit(events, 3, 86_400))
 
 
 def test_queue_goes_on_after_a_failure(spark, sf_dir, tmp_path):
@@ -87,9 +89,10 @@ def test_queue_goes_on_after_a_failure(spark, sf_dir, tmp_path):
         if number == 0:
             raise ValueError("no")
 
-    q = admission.run_queue(stream, handle, str(tmp_path / "checkpoint"), available_now=True)
+    failed = []
+    q = admission.run_queue(stream, handle, str(tmp_path / "checkpoint"), available_now=True, failed=lambda n, e: failed.append((n, str(e))))
     q.awaitTermination(60)
-    assert len(seen) == 2 and sum(seen) == 400
+    assert len(seen) == 2 and sum(seen) == 400 and failed == [(0, "no")]
 
 
 def test_search_source(spark, tmp_path):
@@ -103,7 +106,7 @@ def test_search_source(spark, tmp_path):
     assert [(r.variant_ix, r.hit_ix, r.paper_id, r.citation_count) for r in got] == [(0, 0, "P1", 0), (0, 1, "P5", 0)]
     assert search.search(spark, str(tmp_path), 1, minYear=0, openAccess="false").count() == 6
     tries = []
-    assert search.search_page(lambda p, v: (tries.append(1), (200, [1]) if len(tries) == 3 else (429, []))[1], "", 0, pause=0) == [1] and len(tries) == 3
+    assert search.search_page(lambda p, v: (tries.append(1), (200, [1], 0.0) if len(tries) == 3 else (429, [], 0.01))[1], "", 0, pause=0) == [1] and len(tries) == 3
 
 
 def test_generated_inputs(spark):
