@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Rows of a join side that may be broadcast (at about 100 bytes a row: 40 MB).
 BROADCAST_ROWS = 400_000
+#: Rows of a weighed side that may be broadcast whole; of a larger one only its heaviest keys are, fewer than as many.
+WEIGHED_ROWS = 100_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -55,7 +57,7 @@ def join_bounded(left: DataFrame, right: DataFrame, on: str | list[str], how: st
     return left.join(F.broadcast(right) if small else right.hint("merge"), on, how)
 
 
-def join_weighed(left: DataFrame, right: DataFrame, on: str, weight: str, how: str = "inner", rows: int = BROADCAST_ROWS, size: tuple[int, int] | None = None) -> DataFrame:
+def join_weighed(left: DataFrame, right: DataFrame, on: str, weight: str, how: str = "inner", rows: int = WEIGHED_ROWS, size: tuple[int, int] | None = None) -> DataFrame:
     """Joins ``left`` with a materialised ``right`` (one row per key) whose column ``weight`` tells how many rows of ``left`` have the key.
 
     A small ``right`` is broadcast. Of a large one only the heaviest keys are: those with over a

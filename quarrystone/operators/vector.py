@@ -16,14 +16,18 @@ from ..lineage import cut
 QUERY_BLOCK, HELD = 1024, 50_000
 
 
-def knn(queries: DataFrame, data: DataFrame, k: int) -> DataFrame:
+def knn(queries: DataFrame, data: DataFrame, k: int, strict: bool = False) -> DataFrame:
     """(query_id, doc, score, rank): the ``k`` nearest of ``data`` (doc, embedding) by cosine for each of ``queries`` (query_id, embedding).
 
     The stated queries go in blocks against all rows: each task keeps its k best per query by one
     matrix product per batch, so k rows per task and query are shuffled. Beyond HELD queries, counted
     first, that many at a time are answered and written out. Ties go to the smaller doc; zero vectors
-    score 0; rows whose length differs from the queries' are left out.
+    score 0; rows whose length differs from the queries' are left out, or with ``strict`` end the job.
     """
+    if strict:
+        dims = queries.where("embedding is not null").agg(F.max(F.size("embedding"))).first()[0]
+        fits = F.when(F.size("embedding") == F.lit(dims), True).otherwise(F.raise_error(F.lit("a vector has another length than the queries'")).cast("boolean"))
+        data = data.where(F.col("embedding").isNull() | fits)
     parts = -(-queries.count() // HELD)
     if parts > 1:
         share = lambda i: queries.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == i)

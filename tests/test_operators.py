@@ -379,7 +379,9 @@ def test_many_queries_of_vectors_go_in_parts(spark, monkeypatch):
     show = lambda df: sorted((r.query_id, r["rank"], r.doc) for r in df.collect())
     got = show(vector.knn(q, data, 4))
     monkeypatch.setattr(vector, "HELD", 100)
-    assert got == show(vector.knn(q, data, 4)) and len(got) == 32
+    assert got == show(vector.knn(q, data, 4, strict=True)) and len(got) == 32
+    with pytest.raises(Exception, match="length"):
+        vector.knn(q, data.unionByName(spark.createDataFrame([(99, [1.0])], data.schema)), 4, strict=True).collect()
 
 
 def test_discovery_refines_once_and_ranks_by_sub_query(spark):
