@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..lineage import BROADCAST_ROWS
-from ._common import cut
+from ._common import cut, join_weighed
 
 MAX_BLOCKS = 1 << 19
 BITS_PER_KEY, PROBES = 16, 8
@@ -128,17 +128,17 @@ def judge(pages: DataFrame, rules: DataFrame, listed: DataFrame) -> DataFrame:
     host, path = host_and_path(F.col("url"))
     # Dealt out again, for the few bytes of distinct URLs would be coalesced into few tasks.
     tasks = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    urls = pages.select(F.col("url").cast("string").alias("url")).where("url is not null").distinct().repartition(tasks).select("url", host.alias("host"), path.alias("path"))
+    urls = pages.select(F.col("url").cast("string").alias("url")).where("url is not null").groupBy("url").agg(F.count("*").alias("n")).repartition(tasks).select("url", "n", host.alias("host"), path.alias("path"))
     labels = F.split("host", r"\.")
     # One key per shape of rule: few, so the explosion is linear in the URLs.
     suffixes = F.transform(F.filter(numbers(sizes), lambda n: n <= F.size(labels)), lambda n: F.array_join(F.slice(labels, F.size(labels) - n + 1, n), "."))
     prefixes = F.transform(F.filter(numbers(lengths), lambda n: n <= F.length("path")), lambda n: F.substr("path", F.lit(1), n))
     keys = F.flatten(F.transform(suffixes, lambda s: F.transform(prefixes, lambda p: F.concat(s, p))))
-    asked = urls.select("url", F.explode(F.concat(keys, F.array(F.concat(F.lit("="), *canonical(F.col("host"), F.col("path")))))).alias("key"))
+    asked = urls.select("url", "n", F.explode(F.concat(keys, F.array(F.concat(F.lit("="), *canonical(F.col("host"), F.col("path")))))).alias("key"))
     possible = possible_hits(asked, bloom_filter(keyed.select("key"), count))
     hits = possible.join(F.broadcast(keyed) if count <= BROADCAST_ROWS else keyed.hint("shuffle_hash"), "key")
-    best = hits.groupBy("url").agg(F.max(F.when(F.col("rule").isNotNull(), F.struct(F.length("rule").alias("n"), "rule", "verdict"))).alias("best"), F.max(F.col("rule").isNull()).alias("listed"))
-    out = pages.select("page_id", F.col("url").cast("string").alias("url")).join(best, "url", "left")
+    best = cut(hits.groupBy("url", "n").agg(F.max(F.when(F.col("rule").isNotNull(), F.struct(F.length("rule").alias("n"), "rule", "verdict"))).alias("best"), F.max(F.col("rule").isNull()).alias("listed")))
+    out = join_weighed(pages.select("page_id", F.col("url").cast("string").alias("url")), best, "url", "n", "left")
     own = F.coalesce("listed", F.lit(False))
     verdict = F.coalesce("best.verdict", F.when(own, "block").otherwise("allow"))
     return out.select("page_id", host.alias("host"), path.alias("path"), F.col("best.rule").alias("rule"), verdict.alias("verdict"), own.alias("listed"))
