@@ -18,7 +18,7 @@ from itertools import product
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ._common import cut
+from ._common import cut, join_weighed
 
 #: Alternatives and characters of a class beyond which a part of an expression is left open.
 SPREAD, CLASS = 64, 8
@@ -106,19 +106,19 @@ def postings(docs: DataFrame, grams: dict[str, bool]) -> DataFrame:
 
 
 def candidates(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """(key, kinds): the texts that satisfy the Boolean query of each indexed rule."""
+    """(key, kinds, rows): the texts that satisfy the Boolean query of each indexed rule, and at least how many rows have them."""
     queries = {r.kind: q for r in rules if (q := trigram_query(r))}
     either = {g: r.any_case for r in sorted(rules, key=lambda r: r.any_case) for c in queries.get(r.kind, ()) for g in c}
     if not either:
-        return docs.select(F.xxhash64("text").alias("key"), F.array().cast("array<string>").alias("kinds")).limit(0)
+        return docs.select(F.xxhash64("text").alias("key"), F.array().cast("array<string>").alias("kinds"), F.lit(0).cast("long").alias("rows")).limit(0)
     clauses = [(kind, n, sorted(c)) for kind, q in queries.items() for n, c in enumerate(q)]
     entry = lambda kind, n, bit, full: F.struct(F.lit(kind).alias("kind"), F.lit(n).alias("clause"), F.lit(bit).cast("long").alias("bit"), F.lit(full).cast("long").alias("full"))
     uses = {g: F.array(*(entry(kind, n, 1 << c.index(g), (1 << len(c)) - 1) for kind, n, c in clauses if g in c)) for g in either}
     # The queries' side of the join is this constant: gram -> clauses that need it.
     table = F.create_map(*(x for g, u in uses.items() for x in (F.lit(g), u)))
     needed = postings(docs, either).where(F.col("gram").isin(*uses)).select("key", F.inline(F.element_at(table, F.col("gram"))))
-    met = needed.groupBy("key", "kind", "clause", "full").agg(F.bit_or("bit").alias("has")).where("has = full")
-    return met.groupBy("key").agg(F.collect_set("kind").alias("kinds"))  # at most one entry per rule
+    met = needed.groupBy("key", "kind", "clause", "full").agg(F.bit_or("bit").alias("has"), F.count("*").alias("n")).where("has = full")
+    return met.groupBy("key").agg(F.collect_set("kind").alias("kinds"), F.max("n").alias("rows"))  # at most one entry per rule
 
 
 def _spans(text: Column, rule: Rule, rank: int) -> Column:
@@ -142,9 +142,8 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, broadcast_rows: int =
     """
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     chosen = cut(candidates(rows.select("text"), rules))
-    small = chosen.count() <= broadcast_rows  # 24 bytes and up to seven short names a row
-    keyed = rows.withColumn("key", F.xxhash64("text"))
-    marked = keyed.join(F.broadcast(chosen) if small else chosen.hint("merge"), "key", "left")
+    # 24 bytes and up to seven short names a row; a text that many rows share is broadcast in any case.
+    marked = join_weighed(rows.withColumn("key", F.xxhash64("text")), chosen, "key", "rows", "left", rows=broadcast_rows)
     none = F.array().cast("array<struct<start:int,rank:int,end:int,kind:string>>")
     text = F.col("text")
     parts = []
