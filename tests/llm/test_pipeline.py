@@ -31,6 +31,15 @@ def test_stages_take_effect(spark, sf_dir):
     assert {r.doc_id for r in last} == drawn and all(len(r.ids) == r.n_tokens for r in last)
 
 
+def test_run_goes_on_from_written_stages(spark, sf_dir, monkeypatch):
+    """Each stage runs once: the last one reads a table in the shared folder, not the documents."""
+    calls = []
+    wrap = lambda n, f: (n, lambda *a: (calls.append(n), f(*a))[1])
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [wrap(n, f) for n, f in corpus_pipeline.STAGES])
+    out = corpus_pipeline.run(spark, sf_dir)
+    assert len(calls) == 5 and all("/table-" in f for f in out.inputFiles()) and out.inputFiles() and out.count() > 0
+
+
 def test_empty_documents(spark, sf_dir, no_docs):
     docs = no_docs
     for _, stage in corpus_pipeline.STAGES:
