@@ -39,7 +39,7 @@ CHUNKS, WIDTH = 10, 6
 SYMBOLS = CHUNKS * WIDTH
 #: Documents and shingles of a block, the symbols in which documents may differ to be read once more: a pair at
 #: similarity 0.85 differs in more with a probability of 1 in 100 million, one at 0.8 of 5 in a million.
-BLOCK, VOLUME, FAR = 512, 1 << 19, 27
+BLOCK, VOLUME, FAR = 256, 1 << 19, 27
 SIGNED = "doc_id long, n_shingles long, digest binary, sign binary"
 
 
