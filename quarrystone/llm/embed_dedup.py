@@ -24,7 +24,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ._common import Forest, block_groups, components, cut, grouped, join_bounded, join_weighed, mix
+from ._common import block_groups, components, cut, grouped, join_bounded, join_weighed, mix
 
 BLOCK = 1024
 #: Buckets of at most this many rows are compared row by row offset, others by matrix products.
@@ -209,6 +209,21 @@ def _ended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]
     yield None
 
 
+def _classes(near: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(rows, columns) of each set of rows and columns that the true cells of ``near`` tie together; each row and column is looked at once."""
+    left = near.any(1)
+    while left.any():
+        row, column = np.arange(len(left)) == left.argmax(), np.zeros(near.shape[1], bool)
+        front = row
+        while front.any():
+            reached = near[front].any(0) & ~column
+            column |= reached
+            front = near[:, reached].any(1) & ~row
+            row = row | front
+        left &= ~row
+        yield np.flatnonzero(row), np.flatnonzero(column)
+
+
 def _compare(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in grouped(batches, "grp"):
@@ -224,11 +239,10 @@ def _compare(threshold: float):
             links[a] += near @ copies[b]
             if not one:
                 links[b] += near.T @ copies[a]
-            forest = Forest(len(ids))
-            for x, row in zip(a.tolist(), near):
-                for y in b[np.flatnonzero(row)].tolist():
-                    forest.join(x, y)
-            root = np.array([forest.find(x) for x in range(len(ids))])
+            root = np.arange(len(ids))
+            for rows, columns in _classes(near):
+                found = np.concatenate((a[rows], b[columns]))
+                root[found] = found.min()
             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(links), pa.array(ids[root])], ["id", "links", "root"])
 
     return run

@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 
 from quarrystone.llm import embed_dedup, topk
+from quarrystone.llm._common import Forest
 from tests.comparing import connection, rows_of, rows_of_sql
 
 SCHEMA = "vec_id long, embedding array<float>, label int"
@@ -179,3 +180,22 @@ def test_near_duplicates_in_dense_data(spark, block, usual):
     assert sum(n for n, _ in want.values()) > 500
     assert sum(n for n, _ in got.values()) >= 0.99 * sum(n for n, _ in want.values())
     assert all(got[i][0] <= want[i][0] for i in want)
+
+
+@pytest.mark.parametrize("shape, share", [((1, 1), 1.0), ((40, 40), 0.02), ((30, 55), 0.02), ((55, 30), 0.01), ((20, 20), 0.5), ((7, 9), 0.0)])
+def test_classes_of_a_block(shape, share):
+    rng = np.random.default_rng(7)
+    for _ in range(20):
+        near = rng.random(shape) < share
+        forest = Forest(sum(shape))
+        for x, y in zip(*np.nonzero(near)):
+            forest.join(int(x), shape[0] + int(y))
+        wanted = {}
+        for x in range(shape[0]):
+            if near[x].any():
+                wanted.setdefault(forest.find(x), (set(), set()))[0].add(x)
+        for y in range(shape[1]):
+            if near[:, y].any():
+                wanted[forest.find(shape[0] + y)][1].add(y)
+        found = [(set(r.tolist()), set(c.tolist())) for r, c in embed_dedup._classes(near)]
+        assert sorted(map(repr, found)) == sorted(map(repr, wanted.values()))
