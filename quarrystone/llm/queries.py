@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, embed_dedup, langid, licenses, merkle, minhash, mixing, secret_scan, topk, url_filter, warc
+from . import bpe, embed_dedup, langid, licenses, merkle, minhash, mixing, secret_scan, templates, topk, url_filter, warc
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,12 +64,17 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op11_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page, by the templates of the hosts."""
+    return templates.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The Merkle manifest of all documents, checked after some of them are tampered with."""
     return merkle.verify_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filter, op2_minhash_near_dedup, op3_embedding_near_dedup, op4_warc, op5_secret_scan, op6_exact_top_k, op7_license_scan, op8_language_id, op9_mixing, op10_byte_bpe, op12_merkle_manifest)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filter, op2_minhash_near_dedup, op3_embedding_near_dedup, op4_warc, op5_secret_scan, op6_exact_top_k, op7_license_scan, op8_language_id, op9_mixing, op10_byte_bpe, op11_html_extraction, op12_merkle_manifest)}
 ORACLE: dict[str, str] = {
     "op1_url_filter": url_filter.oracle(),
     "op2_minhash_near_dedup": minhash.oracle(),
@@ -77,5 +82,6 @@ ORACLE: dict[str, str] = {
     "op4_warc": warc.oracle(),
     "op5_secret_scan": secret_scan.oracle(),
     "op6_exact_top_k": topk.oracle(),
+    "op11_html_extraction": templates.oracle(),
     "op12_merkle_manifest": merkle.oracle(),
 }
