@@ -160,7 +160,7 @@ def unseen_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---------------------------------------------------------------- quality gate
 
-_METRICS = """m as (select source as venue, count(*) as paper_count,
+METRICS = """m as (select source as venue, count(*) as paper_count,
   avg(case when embedding is not null and len(embedding) = 64 then 1.0::double else 0.0::double end) as embedding_coverage,
   avg(case when length(regexp_replace(text, '\\s', '', 'g')) > 0 and length(text) >= 900 then 1.0::double else 0.0::double end) as abstract_coverage
   from documents left join embeddings on vec_id = doc_id group by source)"""
@@ -172,13 +172,13 @@ def _measured(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gate.metrics(rows.join(e, "ix", "left"), ["venue"], (64,))
 
 
-@query(f"with {_METRICS} select venue, paper_count, round(embedding_coverage, 6) as embedding_coverage, round(abstract_coverage, 6) as abstract_coverage from m")
+@query(f"with {METRICS} select venue, paper_count, round(embedding_coverage, 6) as embedding_coverage, round(abstract_coverage, 6) as abstract_coverage from m")
 def quality_metrics_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Coverage of abstracts (long ones) and vectors by venue."""
     return _measured(spark, sf_dir).select("venue", "paper_count", *(F.round(c, 6).alias(c) for c in ("embedding_coverage", "abstract_coverage")))
 
 
-@query(f"""with {_METRICS} select venue, paper_count >= 25 and abstract_coverage >= 0.6 as passed,
+@query(f"""with {METRICS} select venue, paper_count >= 25 and abstract_coverage >= 0.6 as passed,
 case when paper_count >= 25 and abstract_coverage >= 0.6 then 'Quality gate passed' else
 concat_ws('; ', case when paper_count < 25 then 'insufficient paper count (' || paper_count || ' < 25)' end, case when abstract_coverage < 0.6 then printf('low abstract coverage (%.2f%% < 60%%)', abstract_coverage * 100) end) end as reason from m""")
 def quality_gate_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -186,7 +186,7 @@ def quality_gate_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gate.verdict(_measured(spark, sf_dir)).select("venue", "passed", "reason")
 
 
-@query(f"""with {_METRICS}, {S.PAPERS} select venue, ix from papers join m using (venue) where case when paper_count >= 25 and abstract_coverage >= 0.6 then year < 2010 else year >= 2010 end""")
+@query(f"""with {METRICS}, {S.PAPERS} select venue, ix from papers join m using (venue) where case when paper_count >= 25 and abstract_coverage >= 0.6 then year < 2010 else year >= 2010 end""")
 def refinement_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Venues that failed the gate get a second search's hits instead."""
     p = papers(spark, sf_dir).select("venue", "ix", "year")
@@ -288,7 +288,7 @@ def knn_cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector.knn(_query_vectors(spark, sf_dir), _vectors(spark, sf_dir), 20).select("query_id", "doc", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
-_FUSED = f"""{S.QUESTIONS}, {S.okapi(20)}, {S.knn(20)},
+FUSED = f"""{S.QUESTIONS}, {S.okapi(20)}, {S.knn(20)},
 fused as (select coalesce(a.query_id, b.query_id) as query_id, coalesce(a.doc, b.doc) as doc, a.rank as rank_a, b.rank as rank_b,
   coalesce(1.0::double / (60 + a.rank), 0) + coalesce(1.0::double / (60 + b.rank), 0) as score from knn a full join okapi b on a.query_id = b.query_id and a.doc = b.doc),
 placed as (select *, row_number() over (partition by query_id order by score desc, rank_a nulls last, rank_b nulls last) as rank from fused)"""
@@ -300,13 +300,13 @@ def _fused(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.fuse(near, keys, 10)
 
 
-@query(f"with {_FUSED} select query_id, doc, rank_a as vector_rank, rank_b as bm25_rank, round(score, 9) as rrf_score, rank from placed where rank <= 10")
+@query(f"with {FUSED} select query_id, doc, rank_a as vector_rank, rank_b as bm25_rank, round(score, 9) as rrf_score, rank from placed where rank <= 10")
 def rrf_two_way(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vector and keyword lists fused by reciprocal rank."""
     return _fused(spark, sf_dir).select("query_id", "doc", F.col("rank_a").cast("long").alias("vector_rank"), F.col("rank_b").cast("long").alias("bm25_rank"), F.round("score", 9).alias("rrf_score"), F.col("rank").cast("long").alias("rank"))
 
 
-@query(f"""with {_FUSED},
+@query(f"""with {FUSED},
 grouped as (select query_id, doc, score, rank, source, row_number() over (partition by query_id, source order by rank) as k from placed join documents on doc_id = doc where rank <= 10)
 select query_id, doc, source, final_rank from (select *, row_number() over (partition by query_id order by k > 3, rank) as final_rank from grouped) where final_rank <= 6""")
 def hybrid_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -495,7 +495,7 @@ def embed_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _rerank_sql() -> str:
     a, b = f"list_distinct({S.tok('query')})", f"list_distinct({S.tok('text')})"
     share = f"(len(list_intersect({a}, {b}))::double / len({a}))"
-    return f"""with {_FUSED}, s as (select query_id, doc, rank, 1 / (1 + exp(-({share} * 8 - 4))) as rerank_score from placed join questions using (query_id) join documents on doc_id = doc where rank <= 10)
+    return f"""with {FUSED}, s as (select query_id, doc, rank, 1 / (1 + exp(-({share} * 8 - 4))) as rerank_score from placed join questions using (query_id) join documents on doc_id = doc where rank <= 10)
 select query_id, doc, round(rerank_score, 6) as rerank_score, rerank_rank from (select *, row_number() over (partition by query_id order by rerank_score desc, rank) as rerank_rank from s) where rerank_rank <= 5"""
 
 
@@ -513,13 +513,13 @@ def rerank_standin(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------- answers
 
 
-@query(f"""with {_FUSED} select query_id, string_agg('[' || rank || '] ' || text, '\n---\n' order by rank) as context from placed join documents on doc_id = doc where rank <= 5 group by query_id""")
+@query(f"""with {FUSED} select query_id, string_agg('[' || rank || '] ' || text, '\n---\n' order by rank) as context from placed join documents on doc_id = doc where rank <= 5 group by query_id""")
 def context_string(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five first passages of each query as numbered context, all of their text."""
     return answers.context(_retrieved(spark, sf_dir).where("rank <= 5").select("query_id", "rank", "text"))
 
 
-@query(f"""with {_FUSED} select query_id, string_agg(rank || '. ' || coalesce(nullif(title, ''), 'Unknown title') || ' (' || coalesce(pdf_url, '') || ')', '\n' order by rank) as sources
+@query(f"""with {FUSED} select query_id, string_agg(rank || '. ' || coalesce(nullif(title, ''), 'Unknown title') || ' (' || coalesce(pdf_url, '') || ')', '\n' order by rank) as sources
 from placed join (with {S.PAPERS} select * from papers) p on p.ix = doc where rank <= 10 group by query_id""")
 def source_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The numbered list of sources of each query."""

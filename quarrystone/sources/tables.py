@@ -21,11 +21,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
+def as_papers(documents: DataFrame) -> DataFrame:
     """Documents as papers. Attributes that the table lacks are derived from the id by formula."""
     d = F.col("doc_id")
     first = F.regexp_extract("text", r"^[^\n.]*", 0)
-    return table(spark, sf_dir, "documents").select(
+    return documents.select(
         d.alias("ix"),
         F.concat(F.lit("P"), d.cast("string")).alias("paper_id"),
         F.substring(first, 1, 80).alias("title"),
@@ -39,6 +39,11 @@ def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents of ``sf_dir`` as papers."""
+    return as_papers(table(spark, sf_dir, "documents"))
+
+
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark texts as queries: query_id and all words of the text."""
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(T.tokens("text"), " ").alias("query"))
