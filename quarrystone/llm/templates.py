@@ -40,8 +40,9 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 CLOSES = {"li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr td th", "table"), "td": ("td th", "tr table"), "th": ("td th", "tr table"), "option": ("option", "select"), "tbody": ("thead tbody tfoot tr td th", "table"), "tfoot": ("thead tbody tr td th", "table")}
 CLOSES = {t: (frozenset(a.split()), frozenset(b.split())) for t, (a, b) in CLOSES.items()}
+NONE: tuple[frozenset, frozenset] = (frozenset(), frozenset())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-RAW = frozenset("script style textarea title xmp".split())
+RAW = "script style textarea title xmp".split()
 DROPPED = frozenset("head script style title noscript template nav aside footer form button select option textarea label legend fieldset dialog menu svg canvas iframe object audio video map".split())
 BOXES = frozenset("article main div section td center body html".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar".split())
@@ -50,9 +51,12 @@ ASIDE = frozenset("ad ads advert adverts advertisement advertising alert aside b
 NAMES = frozenset("article articlebody body content entry main post story text".split())
 MODIFIERS = frozenset("has is js no with without".split())
 
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>", re.S)
+_INSIDE = r"((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
+#: A comment or declaration; an element whose content is no markup, up to its end; any other tag.
+TAG = re.compile(rf"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<({'|'.join(RAW)})(?![^\s/>]){_INSIDE}.*?(?:</\1(?![^\s/>])[^>]*>|\Z)|<(/?)([A-Za-z][^\s/>]*){_INSIDE}", re.S | re.I)
 ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+TELLING = re.compile(r"class|id|role|hidden|style", re.I)
 DIGITS = re.compile(r"\d+")
 M64 = (1 << 64) - 1
 
@@ -76,7 +80,7 @@ class Run:
 
 
 class Element:
-    __slots__ = ("tag", "path", "hard", "soft", "boxes", "box", "weight", "linked", "heading", "head_only")
+    __slots__ = ("tag", "path", "hard", "soft", "boxes", "box", "weight", "linked", "heading", "head_only", "end", "below")
 
 
 class Page:
@@ -84,10 +88,11 @@ class Page:
 
     ``tokens`` are 64-bit numbers in page order, ``parts`` the element that a text token stands in, 0
     for tags. A run's ``box`` is the container it counts for: the outermost article, else main, else the
-    innermost box named as content, else the innermost box.
+    innermost box named as content, else the innermost box. Without ``words`` text gives runs but no tokens.
     """
 
-    def __init__(self, source: str):
+    def __init__(self, source: str, words: bool = True):
+        self.words = words
         self.tokens: list[int] = []
         self.parts: list[int] = []
         self.runs: list[Run] = []
@@ -96,34 +101,33 @@ class Page:
         self.breaks, self.articles = True, 0
         self._push("", {}, 0)
         at = 0
-        while True:
-            m = TAG.search(source, at)
-            if m is None:
-                break
+        for m in TAG.finditer(source):
             if m.start() > at:
                 self._text(source[at : m.start()])
             at = m.end()
-            if m[2] is None:
-                continue
-            tag = m[2].lower()
-            if m[1]:
-                self._end(tag)
-                continue
-            self._start(tag, m[3])
-            if tag in RAW:
-                close = re.compile(rf"</{tag}\b[^>]*>", re.I).search(source, at)
-                at = close.end() if close else len(source)
-                self._end(tag)
+            raw, _, end, tag, attributes = m.groups()
+            if tag is not None:
+                if end:
+                    self._end(tag.lower())
+                else:
+                    self._start(tag.lower(), attributes)
+            elif raw is not None:
+                path = hash_of(raw.lower(), self.stack[-1].path)
+                self.tokens += [path, hash_of("/", path)]
+                self.parts += [0, 0]
+                self.breaks = True
         if at < len(source):
             self._text(source[at:])
 
     def _push(self, tag: str, found: dict[str, str], path: int) -> None:
         up = self.stack[-1] if self.stack else None
         e = Element()
-        e.tag, e.path = tag, path
+        e.tag, e.path, e.end, e.below = tag, path, hash_of("/", path), {}
         inside = bool(self.open.get("article") or self.open.get("main"))
-        hidden = "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
-        e.hard = bool(up and up.hard) or tag in DROPPED or hidden or found.get("role", "").lower() in ROLES or tag == "header" and not inside
+        e.hard = bool(up and up.hard) or tag in DROPPED or tag == "header" and not inside
+        if found:
+            hidden = "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
+            e.hard = e.hard or hidden or found.get("role", "").lower() in ROLES
         e.head_only = bool(up and up.head_only) or tag == "header" and inside
         e.heading = tag if tag in HEADINGS else up.heading if up else ""
         e.linked = bool(up and up.linked) or tag == "a"
@@ -132,9 +136,11 @@ class Page:
         if tag == "main" or tag == "article" and not self.articles:
             for flag in e.soft:
                 flag[0] = False
-        words = [[p.lower() for p in PARTS.findall(n)] for n in (found.get("class", "") + " " + found.get("id", "")).split()] if tag not in ("html", "body") else []
-        if any(_marks_aside(w) for w in words):
-            e.soft = e.soft + ([True],)
+        words = []
+        if found and tag not in ("html", "body"):
+            words = [[p.lower() for p in PARTS.findall(n)] for n in (found.get("class", "") + " " + found.get("id", "")).split()]
+            if any(_marks_aside(w) for w in words):
+                e.soft = e.soft + ([True],)
         if tag in BOXES or not up:
             e.boxes = e.boxes | {path}
             weight = 10 if tag == "article" else 5 if tag == "main" else 3 if any(NAMES & set(w) for w in words) else 1
@@ -151,10 +157,10 @@ class Page:
     def _start(self, tag: str, attributes: str) -> None:
         if tag not in INLINE:
             self.breaks = True
-        close, stop = CLOSES.get(tag, (frozenset(), frozenset()))
-        if tag in CLOSES_P and self.open.get("p"):
+        close, stop = CLOSES.get(tag, NONE)
+        if self.open.get("p") and tag in CLOSES_P:
             close, stop = close | {"p"}, stop | BOXES | {"table", "button", "object"}
-        if any(self.open.get(t) for t in close):
+        if close and any(self.open.get(t) for t in close):
             for i in range(len(self.stack) - 1, 0, -1):
                 if self.stack[i].tag in stop:
                     break
@@ -164,14 +170,26 @@ class Page:
                     if tag not in ("tr", "tbody", "tfoot"):
                         break
         found: dict[str, str] = {}
-        for m in ATTRIBUTE.finditer(attributes) if attributes else ():
-            found.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
+        if attributes and TELLING.search(attributes):
+            for m in ATTRIBUTE.finditer(attributes):
+                found.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
+        up = self.stack[-1]
+        known = up.below.get(tag) if not found else None
+        if known is not None:
+            # The same element again: a paragraph or item after another.
+            self.tokens.append(known.path)
+            self.parts.append(0)
+            self.stack.append(known)
+            self.open[tag] += 1
+            return
         named = DIGITS.sub("0", found.get("class", "") + " " + found.get("id", "")) if found else ""
-        path = hash_of(f"{tag} {named}", self.stack[-1].path)
+        path = hash_of(f"{tag} {named}", up.path)
         self.tokens.append(path)
         self.parts.append(0)
         if tag not in VOID and not (attributes.endswith("/") and tag in ("path", "circle", "rect", "use")):
             self._push(tag, found, path)
+            if not found and tag not in ("article", "main", "header"):
+                up.below[tag] = self.stack[-1]
 
     def _end(self, tag: str) -> None:
         if tag not in INLINE:
@@ -185,22 +203,20 @@ class Page:
             if tag in INLINE and self.stack[i].tag not in INLINE:
                 return
             i -= 1
-        self.tokens.append(hash_of("/", self.stack[i].path))
+        self.tokens.append(self.stack[i].end)
         self.parts.append(0)
         while len(self.stack) > i:
             self._pop()
 
     def _text(self, text: str) -> None:
-        words = text.split()
-        if not words:
-            self.breaks = self.breaks or bool(text)
+        if text.isspace():
+            self.breaks = True
             return
         e, first = self.stack[-1], len(self.tokens)
-        if len(words) <= SHORT:
-            self.tokens += [hash_of(w, e.path) for w in words]
-        else:
-            self.tokens.append(hash_of(" ".join(words), e.path))
-        self.parts += [e.path] * (len(self.tokens) - first)
+        if self.words:
+            words = text.split(None, SHORT)
+            self.tokens += [hash_of(w, e.path) for w in words] if len(words) <= SHORT else [hash_of(text.strip(), e.path)]
+            self.parts += [e.path] * (len(self.tokens) - first)
         dropped = e.hard or e.head_only and not e.heading
         self.runs.append(Run(first, len(self.tokens), text, e, dropped, self.breaks))
         self.breaks = False
@@ -223,7 +239,7 @@ def place(tokens: list[int], known: dict[int, tuple[int, int, int]]) -> tuple[se
     """How the classes of ``known`` (token: class, place in it, its size) lie on a page.
 
     Returns tokens out of order, classes that cross others, how often each (class, parent, gap) occurs,
-    and for every token the slot (class, gap) that it stands in or closes; (0, 0) outside all.
+    and for every token, and the page's end, the slot (class, gap) that it stands in or closes; (0, 0) outside all.
     """
     bad, crossing, at, slots = set(), set(), {}, []
     stack: list[list[int]] = []
@@ -254,6 +270,7 @@ def place(tokens: list[int], known: dict[int, tuple[int, int, int]]) -> tuple[se
         if order == size - 1:
             stack.pop()
             depth[c] -= 1
+    slots.append((stack[-1][0], stack[-1][1]) if stack else (0, 0))
     return bad, crossing, at, slots
 
 
@@ -375,7 +392,8 @@ def _layout(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if host not in known:
                 known[host] = {} if token is None else {int(t): (int(c), int(o), int(s)) for t, c, o, s in zip(token, cls, order, size)}
                 texts[host] = {} if token is None else {int(t): int(c) for t, c, x in zip(token, cls, is_text) if x}
-            page, text = Page(source), texts[host]
+            text = texts[host]
+            page = Page(source, bool(text))
             bad, crossing, placed, slots = place(page.tokens, known[host])
             rows += [(host, BAD, t, 0, 0, 0, 0, 1, 0) for t in bad]
             rows += [(host, CROSSING, c, 0, 0, 0, 0, 1, 0) for c in crossing]
@@ -384,7 +402,7 @@ def _layout(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for r in page.runs:
                 if is_out(r) or r.linked:
                     continue
-                found = {text.get(t) for t in page.tokens[r.first : r.last]}
+                found = {text.get(t) for t in page.tokens[r.first : r.last]} if text else ()
                 cls_of = found.pop() if len(found) == 1 else None
                 key = (r.box, cls_of or 0, *slots[r.first], r.weight)
                 own[key] = own.get(key, 0) + len(r.text)
@@ -444,7 +462,7 @@ def main_text(source: str, boxes: list[int], constant: set[int]) -> str:
     is left that way gives all text outside scripts, forms and the like. Character references are decoded,
     white space becomes one space, blocks are joined by one.
     """
-    page = Page(source)
+    page = Page(source, bool(constant))
     inside = [r for r in page.runs if not is_out(r)]
     if not inside:
         inside = [r for r in page.runs if not r.hard]
@@ -462,7 +480,7 @@ def main_text(source: str, boxes: list[int], constant: set[int]) -> str:
         # A title that stands before its text, in an element around it.
         chosen = [r for r in inside if r.heading == "h1" and r.first < chosen[0].first and r.boxes < chosen[0].boxes and not r.linked] + chosen
     whole = sum(len(r.text) for r in chosen)
-    fixed = [r for r in chosen if all(t in constant for t in page.tokens[r.first : r.last])]
+    fixed = [r for r in chosen if all(t in constant for t in page.tokens[r.first : r.last])] if constant else []
     if fixed and sum(len(r.text) for r in fixed) <= CONSTANT_MOST * whole:
         gone = {id(r) for r in fixed}
         chosen = [r for r in chosen if id(r) not in gone]
