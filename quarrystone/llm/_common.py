@@ -144,9 +144,23 @@ class Forest:
 
 # ---------------------------------------------------------------- hashing of words
 
-_R, _GOLD = 0x9E3779B97F4A7C15 | 1, np.uint64(0x9E3779B97F4A7C15)
-_RI = pow(_R, -1, 1 << 64)
-_ALL = (1 << 64) - 1
+_P, _GOLD = (1 << 61) - 1, np.uint64(0x9E3779B97F4A7C15)
+_R = 0x1E3779B97F4A7C15 % _P
+_RI = pow(_R, -1, _P)
+
+
+def _fold(x: np.ndarray) -> np.ndarray:
+    """``x`` modulo 2^61 - 1, up to the modulus itself once."""
+    return (x & np.uint64(_P)) + (x >> np.uint64(61))
+
+
+def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a * b modulo 2^61 - 1, of numbers below it, by halves of 31 bits."""
+    half = np.uint64((1 << 31) - 1)
+    au, ad, bu, bd = a >> np.uint64(31), a & half, b >> np.uint64(31), b & half
+    mid = ad * bu + au * bd
+    out = _fold(((au * bu) << np.uint64(1)) + (mid >> np.uint64(30)) + ((mid & np.uint64((1 << 30) - 1)) << np.uint64(31)) + ad * bd)
+    return np.where(out >= np.uint64(_P), out - np.uint64(_P), out)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -162,7 +176,7 @@ def _powers(r: int, n: int) -> np.ndarray:
     k = 1
     while k < n:
         m = min(k, n - k)
-        out[k : k + m] = out[:m] * np.uint64(pow(r, k, 1 << 64))
+        out[k : k + m] = _times(out[:m], np.uint64(pow(r, k, _P)))
         k += m
     return out
 
@@ -171,7 +185,8 @@ class ShingleHasher:
     """64-bit hashes of the words and word shingles of texts, computed on whole Arrow buffers.
 
     A word is a run of bytes other than space and \\x09-\\x0D; A-Z count as a-z. A word's hash is a
-    polynomial over its bytes, taken as a difference of prefix sums, then mixed; a shingle's hash
+    polynomial over its bytes modulo the prime 2^61 - 1 (modulo a power of two, words that alternate like
+    Thue's would collide), taken as a difference of prefix sums, then mixed; a shingle's hash
     combines its words' hashes by position. All steps are array operations.
     """
 
@@ -183,7 +198,7 @@ class ShingleHasher:
         self.fold[65:91] += 32
         self.blank = np.zeros(256, bool)
         self.blank[[32, *range(9, 14)]] = True
-        self.pow = self.inv = np.empty(0, np.uint64)
+        self.high = self.low = self.inv = np.empty(0, np.uint64)
         self.place = mix(np.arange(1, 64, dtype=np.uint64) * _GOLD) | np.uint64(1)
 
     def chunks(self, texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -201,10 +216,11 @@ class ShingleHasher:
     def words(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(word hashes, first word of each row and the total) of the rows ``offs`` in ``data``."""
         n = len(data)
-        if n + 1 > len(self.pow):
+        if n + 1 > len(self.inv):
             size = max(self.CHUNK + 1, n + 1)
-            self.pow, self.inv = _powers(_R, size), _powers(_RI, size)
-        low = self.fold[data]
+            power, self.inv = _powers(_R, size), _powers(_RI, size)
+            self.high, self.low = power >> np.uint64(30), power & np.uint64((1 << 30) - 1)
+        byte = self.fold[data].astype(np.uint64) + np.uint64(1)
         word = ~self.blank[data]
         edge = np.zeros(n + 1, bool)
         edge[offs] = True
@@ -214,8 +230,13 @@ class ShingleHasher:
         last[:-1] &= ~word[1:] | edge[1:n]
         start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
         sums = np.zeros(n + 1, np.uint64)
-        np.cumsum((low.astype(np.uint64) + np.uint64(1)) * self.pow[:n], out=sums[1:])
-        h = (sums[end] - sums[start]) * self.inv[start]
+        parts = []
+        for half in (self.high, self.low):  # sums of a word's halves stay below 2^64, however long the text is
+            np.cumsum(byte * half[:n], out=sums[1:])
+            parts.append(_fold(sums[end] - sums[start]))
+        high = _fold(parts[0])
+        whole = _fold(_fold(((high << np.uint64(30)) & np.uint64(_P)) + (high >> np.uint64(31))) + parts[1])
+        h = _times(_fold(whole), self.inv[start])
         return mix(h + (end - start).astype(np.uint64) * _GOLD), np.searchsorted(start, offs)
 
     def shingles(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -73,3 +73,15 @@ def test_words_and_shingles_against_strings():
 def test_grouped_joins_runs_across_batches():
     batches = [pa.RecordBatch.from_arrays([pa.array(k), pa.array(np.arange(len(k)))], ["k", "x"]) for k in ([1, 1], [], [1, 2], [2], [3])]
     assert [(t.column("k")[0].as_py(), t.num_rows) for t in C.grouped(iter(batches), "k")] == [(1, 3), (2, 2), (3, 1)]
+
+
+def test_word_hashes_are_polynomials_modulo_a_prime():
+    hasher = C.ShingleHasher()
+    words = ["a", "zebra", "ab" * 3000, "é漢", "x" * 70_000, "a"]
+    data = np.frombuffer(" ".join(words).encode(), np.uint8)
+    got, _ = hasher.words(data, np.array([0, len(data)]))
+    p = (1 << 61) - 1
+    for word, h in zip(words, got):
+        raw = word.encode()
+        value = sum((b + 1) * pow(C._R, i, p) for i, b in enumerate(raw)) % p
+        assert int(C.mix(np.array([(value + len(raw) * int(C._GOLD)) % (1 << 64)], np.uint64))[0]) == int(h)

@@ -115,3 +115,15 @@ def test_a_repeated_doc_id_may_have_a_blank_text(spark):
     got = {(r.doc_id, r.n_shingles): (r.component_id, r.kept) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 80, 100).collect()}
     want = brute([(i, t) for i, t in rows if t and t.strip()], 80, 100)
     assert len(got) == 6 and all(got[i, n][0] == want[i] for i, n in got if n)
+
+
+def thue(n, a="a", b="b"):
+    return "".join(b if bin(i).count("1") % 2 else a for i in range(n))
+
+
+def test_words_that_collide_modulo_powers_of_two_are_unlike(spark):
+    """The Thue-Morse word and its complement have equal polynomials modulo 2^64, whatever the base."""
+    rows = [(i, thue(n, *letters)) for i, (n, letters) in enumerate((n, x) for n in (1024, 2048, 4096) for x in ("ab", "ba"))]
+    rows += [(10, thue(2048) + " one two three four"), (11, thue(2048, "b", "a") + " one two three four"), (12, thue(2048).upper() + " one two three four")]
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 85, 100).collect()}
+    assert got == brute(rows, 85, 100) and got[12] == 10 and len(set(got.values())) == 8
