@@ -589,6 +589,26 @@ def optimizer_json_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _optimized(spark, sf_dir).select("query_id", "parsed", "strategy", "intent_type", "final_rephrase", "primary", F.array_join("sub_queries", ",").alias("sub_queries"))
 
 
+# Further forms of replies: a list, None and a trailing comma, a tuple, one sub-query, escapes in a fence, numbers for text.
+_FORMS = r"""case query_id % 6 when 0 then '{"final_rephrase": "r#", "primary": ["p#", "q", 7], "broad": [], "alternative": "a#"}'
+when 1 then "{'strategy': None, 'intent_type': None, 'final_rephrase': 'r#', 'primary': 'p#', 'broad': 'b#', 'alternative': 'a#',}"
+when 2 then "It is {'final_rephrase': 'r#', 'primary': ('p#', 'q', True), 'broad': 'b#', 'alternative': 'a#'} so"
+when 3 then '{"strategy": "decomposition", "intent_type": "news", "final_rephrase": "r#", "sub_queries": ["s#"]}'
+when 4 then concat('```json', chr(10), '{"final_rephrase": "r\\u00e9#", "primary": "p\\"#\\"", "broad": "b#", "alternative": ""}', chr(10), '```')
+else '{"final_rephrase": "r#", "primary": 1, "broad": "b#", "alternative": "a#"}' end"""
+
+
+@query(f"""with {S.QUESTIONS}, k as (select query_id, query, query_id % 6 as k, cast(query_id as varchar) as i from questions)
+select query_id, k <> 5 as parsed, case when k = 3 then 'decomposition' else 'expansion' end as strategy, case when k = 3 then 'news' else 'general' end as intent_type,
+case k when 5 then query when 4 then 'ré' || i else 'r' || i end as final_rephrase,
+case k when 0 then 'p' || i || ' q 7' when 1 then 'p' || i when 2 then 'p' || i || ' q True' when 4 then 'p"' || i || '"' else query end as primary,
+case when k in (1, 2, 4) then 'b' || i else query end as broad, case when k in (0, 1, 2) then 'a' || i else query end as alternative, case when k = 3 then 's' || i else '' end as sub_queries from k""")
+def optimizer_reply_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Replies as JSON and as Python literals, with lists and tuples, escapes, fences, and one sub-query."""
+    replies = questions(spark, sf_dir).withColumn("reply", F.replace(F.expr(_FORMS), F.lit("#"), F.col("query_id").cast("string")))
+    return answers.parse_optimized(replies).drop("query", "reply").withColumn("sub_queries", F.array_join("sub_queries", ","))
+
+
 @query(f"""with {S.QUESTIONS} select query_id, v.i as variant_ix, case when query_id % 4 = 3 then query when query_id % 4 = 2 then ['s', 't'][v.i + 1] || query_id else ['p', 'b', 'a'][v.i + 1] || query_id end as query
 from questions, (select unnest(range(3)) as i) v where query_id % 4 <> 2 or v.i < 2""")
 def search_variants(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,6 @@
 """Operators on small cases with known results."""
 
+import json
 import math
 import random
 
@@ -167,12 +168,27 @@ def test_optimised_query(spark):
     good = '{"strategy":"expansion","intent_type":"news","final_rephrase":"r","primary":"p","broad":"b","alternative":"a"}'
     rows = [("q0", good), ("q1", f"text ```json {good} ``` more"), ("q2", f"```json\n{good}\n```"), ("q3", "broken {"), ("q4", None), ("q5", ""), ("q6", '{"strategy":"decomposition","final_rephrase":"r","sub_queries":["x","y"]}'), ("q7", '{"strategy":"decomposition","final_rephrase":"r","sub_queries":["x"]}')]
     got = {r.query: r for r in answers.parse_optimized(spark.createDataFrame(rows, "query string, reply string")).collect()}
-    assert [got[q].parsed for q, _ in rows] == [True, True, True, False, False, False, True, False]
+    assert [got[q].parsed for q, _ in rows] == [True, True, True, False, False, False, True, True]
     assert got["q3"].primary == "q3" and got["q0"].intent_type == "news" and got["q6"].sub_queries == ["x", "y"] and got["q6"].intent_type == "general"
     asked = answers.search_variants(answers.parse_optimized(spark.createDataFrame([(1, *rows[0]), (2, *rows[6])], "query_id long, query string, reply string")))
     assert sorted((r.query_id, r.variant_ix, r.query) for r in asked.collect()) == [(1, 0, "p"), (1, 1, "b"), (1, 2, "a"), (2, 0, "x"), (2, 1, "y")]
 
 
+def test_replies_in_many_forms():
+    fields = {"final_rephrase": "r", "primary": "p", "broad": "b", "alternative": "a"}
+    read = lambda x: answers.optimised(x)
+    whole = (None, None, "r", "p", "b", "a", [])
+    assert read(json.dumps(fields)) == read(repr(fields)) == read(f"so: {fields!r}.") == read("{'final_rephrase': 'r', 'primary': 'p', 'broad': 'b', 'alternative': 'a',}") == whole
+    assert read(json.dumps(fields | {"primary": ["a", "b", 1, None]}))[3] == "a b 1 None" and read(repr(fields | {"broad": ("x", "y")}))[4] == "x y"
+    assert read(repr(fields | {"strategy": None, "intent_type": "news"}))[:2] == (None, "news")
+    assert read("{'final_rephrase': 'it\\'s \\u00e9\\n', 'primary': 'p', 'broad': 'b', 'alternative': 'a'}")[2] == "it's \u00e9\n"
+    one = {"strategy": "decomposition", "final_rephrase": "r", "sub_queries": ["s"]}
+    assert read(json.dumps(one))[6] == ["s"] and read(repr(one | {"sub_queries": ("s", "t")}))[6] == ["s", "t"]
+    nothing = (None,) * 7
+    for bad in (None, "", "{", "}{", "[1]", "7", "{'a': null}", json.dumps(one | {"sub_queries": []}), json.dumps(one | {"sub_queries": ["s", 1]}), json.dumps(fields | {"broad": 3}), json.dumps(fields | {"final_rephrase": None}), "{" * 5000, "{'a': __import__('os')}", "{" + "[" * 3000):
+        assert read(bad) == nothing, bad
+
+
 def test_context(spark):
     rows = spark.createDataFrame([(1, 2, "b"), (1, 1, "a"), (1, 3, "c")], "query_id long, rank int, text string")
     assert answers.context(rows).first().context == "[1] a\n---\n[2] b\n---\n[3] c"
