@@ -1,12 +1,12 @@
 """Mixing sources to target weights: iterative proportional fitting, then calibrated sampling.
 
 Documents are added up to cells of (source, language, topic). Raking scales the cells' token weights
-to the target share of each source, each language and each topic in turn until all three agree;
-after each round weights above 1 / keep are trimmed, for no document can be taken more than once. A
-document's probability is ``keep`` times its cell's weight, so the expected tokens of the sample have
-the target marginals wherever trimming leaves that possible, and are at most ``keep`` of all; categories
-that are too rare for their targets bring the total down rather than the shares. The draw is a hash of the doc_id against
-the probability: repeatable, and independent of partitioning.
+to the target share of each source, each language and each topic in turn until all three agree. No
+document can be taken more than once, so a document's probability is its cell's weight times one factor
+for all: ``keep``, or less where the largest weight would otherwise lead to a probability above 1. The
+expected tokens of the sample then have the target marginals. Only weights above 1 / ``least``, where
+almost nothing could be taken besides the rarest category, are trimmed in each round; the remaining gap is
+returned. The draw is a hash of the doc_id against the probability: repeatable, and independent of partitioning.
 """
 
 from __future__ import annotations
@@ -122,15 +122,16 @@ def chance(doc_id: Column, text: Column, seed: int = 9) -> Column:
     return F.shiftrightunsigned(h, 11).cast("double") * F.lit(2.0**-53)
 
 
-def mix_documents(docs: DataFrame, topics: DataFrame | None = None, targets: dict[str, DataFrame] | None = None, alpha: float = 0.7, keep: float = 0.8) -> DataFrame:
+def mix_documents(docs: DataFrame, topics: DataFrame | None = None, targets: dict[str, DataFrame] | None = None, alpha: float = 0.7, keep: float = 0.8, least: float = 0.05) -> DataFrame:
     """A struct ``row`` of all columns of ``docs`` (doc_id, text, lang, source) with topic, tokens, weight, probability, sampled and gap.
 
     ``topics`` has (doc_id, topic); of several topics of a document the smallest counts. ``targets``
     has (category, share) for any of source, lang and topic; others follow ``tempered`` shares.
-    ``gap`` is the largest deviation of a marginal of the weights from its target: near 0 where the
-    targets are met, more where trimming or missing categories do not allow that. Null sources,
-    languages and topics are categories of their own; null and blank texts have no tokens and are drawn
-    by their cell's weight, 1 in a cell without tokens (then they are kept with probability ``keep``).
+    The expected share of all tokens that is taken is the largest up to ``keep`` for which the targets are
+    met, but at least ``least`` before trimming. ``gap`` is the largest deviation of a marginal of the
+    weights from its target: near 0 where the targets are met, more where trimming or missing categories
+    do not allow that. Null sources, languages and topics are categories of their own; null and blank
+    texts have no tokens and are drawn by their cell's weight, 1 in a cell without tokens.
     Rows that repeat a doc_id are drawn alike; the input's columns stay inside ``row``, so no name can
     clash; an empty table gives an empty result.
     """
@@ -148,9 +149,12 @@ def mix_documents(docs: DataFrame, topics: DataFrame | None = None, targets: dic
     rows = rows.withColumn("cell", F.concat_ws("\u0001", *DIMENSIONS))
     cells = cut(rows.groupBy("cell", *DIMENSIONS).agg(F.sum("tokens").alias("tokens"), F.count("*").alias("docs")))
     goals = {d: (targets or {}).get(d) or tempered(cells, d, alpha) for d in DIMENSIONS}
-    raked = rake(cells.select(*DIMENSIONS, "tokens"), goals, keep).select(*DIMENSIONS, F.when(F.col("tokens") > 0, F.col("weight")).otherwise(1.0).alias("weight"), "gap")
+    raked = rake(cells.select(*DIMENSIONS, "tokens"), goals, least)
+    most = raked.where("tokens > 0").agg(F.max("weight")).first()[0] or 1.0
+    factor = min(keep, 1.0 / max(most, 1.0))
+    raked = raked.select(*DIMENSIONS, F.when(F.col("tokens") > 0, F.col("weight")).otherwise(1.0).alias("weight"), "gap")
     weights = cut(cells.select("cell", *DIMENSIONS, "docs").join(raked, list(DIMENSIONS)).select("cell", "docs", "weight", "gap"))
-    drawn = join_weighed(rows, weights, "cell", "docs").withColumn("probability", F.least(F.lit(1.0), F.col("weight") * keep))
+    drawn = join_weighed(rows, weights, "cell", "docs").withColumn("probability", F.least(F.lit(1.0), F.col("weight") * factor))
     return drawn.select("row", F.nullif("topic", F.lit(MISSING)).alias("topic"), "tokens", "weight", "probability", (F.col("chance") < F.col("probability")).alias("sampled"), "gap")
 
 

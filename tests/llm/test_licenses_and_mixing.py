@@ -214,6 +214,29 @@ def test_sample_meets_the_targets(spark):
     assert abs(got[got.sampled].tokens.sum() / (got.tokens * got.probability).sum() - 1) < 0.05 and got.probability.between(0, 1).all()
 
 
+def test_query_meets_its_targets(spark, sf_dir):
+    """Shares of the expected sample against targets that are computed here, for every source, language and topic."""
+    from quarrystone.llm.queries import op9_mixing
+
+    got = op9_mixing(spark, sf_dir).toPandas()
+    assert (got.gap < 1e-3).all() and got.probability.between(0, 1).all() and got.probability.max() > 0.99
+    for name in ("source", "lang", "topic"):
+        tokens = got.tokens.groupby(got[name].fillna("none")).sum()
+        goal = tokens[tokens > 0] ** 0.7 / (tokens[tokens > 0] ** 0.7).sum()
+        expected = (got.tokens * got.probability).groupby(got[name].fillna("none")).sum() / (got.tokens * got.probability).sum()
+        assert all(abs(expected[c] / g - 1) < 1e-3 for c, g in goal.items())
+    # The draw itself: as many tokens as expected, within four standard deviations.
+    spread = (got.tokens**2 * got.probability * (1 - got.probability)).sum() ** 0.5
+    assert abs(got.tokens[got.sampled].sum() - (got.tokens * got.probability).sum()) < 4 * spread
+
+
+def test_targets_out_of_reach_are_trimmed_and_reported(spark):
+    docs = spark.createDataFrame([(i, "word " * 10, "en" if i else "xx", "s") for i in range(400)], "doc_id long, text string, lang string, source string")
+    targets = {"lang": spark.createDataFrame([("en", 0.5), ("xx", 0.5)], "category string, share double")}
+    got = M.mix_documents(docs, targets=targets, least=0.2).collect()
+    assert got[0].gap > 0.5 and all(r.probability <= 1 for r in got) and sum(r.tokens * r.probability for r in got) > 0.1 * 4000
+
+
 def test_mixing_messy_rows(spark, messy, no_docs):
     topics = spark.createDataFrame([(1, "x"), (1, "a"), (None, "q"), (7, None)], "doc_id long, topic string")
     rows = M.mix_documents(messy, topics)
