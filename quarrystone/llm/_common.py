@@ -213,13 +213,24 @@ class ShingleHasher:
             yield lo, hi, data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo]
             lo = hi
 
-    def words(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(word hashes, first word of each row and the total) of the rows ``offs`` in ``data``."""
-        n = len(data)
+    def polynomials(self, byte: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The polynomial of each run ``start`` to ``end`` of the numbers ``byte``, modulo 2^61 - 1."""
+        n = len(byte)
         if n + 1 > len(self.inv):
             size = max(self.CHUNK + 1, n + 1)
             power, self.inv = _powers(_R, size), _powers(_RI, size)
             self.high, self.low = power >> np.uint64(30), power & np.uint64((1 << 30) - 1)
+        sums, parts = np.zeros(n + 1, np.uint64), []
+        for half in (self.high, self.low):  # sums of a word's halves stay below 2^64, however long the text is
+            np.cumsum(byte * half[:n], out=sums[1:])
+            parts.append(_fold(sums[end] - sums[start]))
+        high = _fold(parts[0])
+        whole = _fold(_fold(((high << np.uint64(30)) & np.uint64(_P)) + (high >> np.uint64(31))) + parts[1])
+        return _times(_fold(whole), self.inv[start])
+
+    def words(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(word hashes, first word of each row and the total) of the rows ``offs`` in ``data``."""
+        n = len(data)
         byte = self.fold[data].astype(np.uint64) + np.uint64(1)
         word = ~self.blank[data]
         edge = np.zeros(n + 1, bool)
@@ -229,14 +240,7 @@ class ShingleHasher:
         last = word.copy()
         last[:-1] &= ~word[1:] | edge[1:n]
         start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
-        sums = np.zeros(n + 1, np.uint64)
-        parts = []
-        for half in (self.high, self.low):  # sums of a word's halves stay below 2^64, however long the text is
-            np.cumsum(byte * half[:n], out=sums[1:])
-            parts.append(_fold(sums[end] - sums[start]))
-        high = _fold(parts[0])
-        whole = _fold(_fold(((high << np.uint64(30)) & np.uint64(_P)) + (high >> np.uint64(31))) + parts[1])
-        h = _times(_fold(whole), self.inv[start])
+        h = self.polynomials(byte, start, end)
         return mix(h + (end - start).astype(np.uint64) * _GOLD), np.searchsorted(start, offs)
 
     def shingles(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -143,11 +143,26 @@ class Template:
 ALL = [Template(f, p) for f, phrases in enumerate(TEMPLATES.values()) for p in phrases]
 
 
+class FeatureHasher(ShingleHasher):
+    """Word hashes for features, by polynomials modulo 2^64: two words that collide share a feature, which is no more than any two of DIMS do."""
+
+    RATIO = 0x9E3779B97F4A7C15
+
+    def polynomials(self, byte: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        power = np.full(len(byte) + 1, self.RATIO, np.uint64)
+        power[0] = 1
+        np.cumprod(power, out=power)
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(byte * power[:-1], dtype=np.uint64)))
+        back = np.full(len(byte) + 1, pow(self.RATIO, -1, 1 << 64), np.uint64)
+        back[0] = 1
+        return (sums[end] - sums[start]) * np.cumprod(back, out=back)[start]
+
+
 class Features:
     """Hashed word n-grams of paragraphs; words are runs of letters and digits, A-Z as a-z."""
 
     def __init__(self):
-        self.hasher = ShingleHasher()
+        self.hasher = FeatureHasher()
         self.hasher.blank = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 
     def of(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
