@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Rows of a join side that may be broadcast (at about 100 bytes a row: 40 MB).
 BROADCAST_ROWS = 400_000
+#: Rows of a partition of a table that is known to be small, and the partitions that it keeps at least.
+COMPACT_ROWS, COMPACT_PARTS = 1 << 16, 8
 #: Rows of a weighed side that may be broadcast whole; of a larger one only its heaviest keys are, fewer than as many.
 WEIGHED_ROWS = 100_000
 
@@ -31,9 +33,15 @@ def shared_dir(spark: SparkSession) -> str:
     return set_dir.get()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Writes ``df`` to the shared checkpoint folder and goes on from there."""
+def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """Writes ``df`` to the shared checkpoint folder and goes on from there.
+
+    ``rows`` is a bound of its rows, where the caller knows one and the last step is cheap: partitions are then
+    merged to about COMPACT_ROWS each, so that rounds over a small table write no file for each shuffle partition.
+    """
     shared_dir(df.sparkSession)
+    if rows is not None:
+        df = df.coalesce(max(COMPACT_PARTS, -(-rows // COMPACT_ROWS)))
     return df.checkpoint(eager=True)
 
 
