@@ -40,28 +40,29 @@ def sample_keys(df: DataFrame, h: Column, n: int) -> DataFrame:
     return df.select(h.alias("_h")).where(hash_share(F.col("_h"), 2 * n / max(count, 1))).distinct().orderBy("_h").limit(n)
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, rows: int | None = None) -> DataFrame:
     """Connected components of ``edges`` (a, b: long): one row (node, component) per node, component the smallest id.
 
     Alternating large-star / small-star rounds. Each round aggregates a minimum per node (combined
     before the shuffle) and joins it back; minima of nodes with many edges are broadcast, so no hub's
     edges meet in one task and no neighbourhood is ever gathered. Null ids and loops are ignored;
-    empty in, empty out.
+    empty in, empty out. ``rows`` is a bound of the edges where the caller knows one (see ``cut``).
     """
     a, b = F.col("a"), F.col("b")
-    now = cut(edges.where(a.isNotNull() & b.isNotNull() & (a != b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
+    now = cut(edges.where(a.isNotNull() & b.isNotNull() & (a != b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), rows)
+    most = now.count()  # no round has more edges than the one before, nor more nodes than twice as many
     while True:
         both = now.select("u", "v", F.lit(1).alias("_up")).unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v"), F.lit(0).alias("_up")))
-        least = cut(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("degree"), F.sum("_up").alias("up")).select("u", F.least("u", "m").alias("m"), "degree", "up"))
+        least = cut(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("degree"), F.sum("_up").alias("up")).select("u", F.least("u", "m").alias("m"), "degree", "up"), 2 * most)
         # Done when every node is a root, or has one edge, which leads to a root.
         nodes, ends, open_ = least.agg(F.count("*"), F.coalesce(F.sum("degree"), F.lit(0)), F.count_if((F.col("up") > 0) & (F.col("degree") > 1))).first()
         if not open_:
             break
         least, size = least.drop("up"), (nodes, ends)
-        large = cut(join_weighed(both.where("v > u").drop("_up"), least, "u", "degree", size=size).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        large = cut(join_weighed(both.where("v > u").drop("_up"), least, "u", "degree", size=size).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), most)
         lowest = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("degree"))
         moved = join_weighed(large, lowest, "u", "degree", size=size).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = cut(moved.unionByName(lowest.select("u", F.col("m").alias("v"))).distinct())
+        now = cut(moved.unionByName(lowest.select("u", F.col("m").alias("v"))).distinct(), most)
     roots = now.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
 
@@ -90,7 +91,7 @@ def block_groups(members: DataFrame, block: int, volume: int = 1 << 62, pairs: b
     whole = units.groupBy("cluster").agg(((F.sum("rows") <= block) & (F.sum("weight") <= volume)).alias("whole"))
     # At most three bands of two kinds.
     near = units.select("cluster", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("_at"), F.struct("band", "kind", "parts").alias("x")).groupBy("cluster", F.col("_at").alias("band")).agg(F.collect_list("x").alias("near"))
-    info = cut(units.join(near, ["cluster", "band"]).join(whole, "cluster").select("_place", "parts", "near", "whole", "rows"))
+    info = cut(units.join(near, ["cluster", "band"]).join(whole, "cluster").select("_place", "parts", "near", "whole", "rows"), units.count())
     dealt = join_weighed(rows, info, "_place", "rows").withColumn("_s", F.pmod(F.xxhash64("id"), F.col("parts")))
     me = F.struct(F.col("band").cast("long").alias("b"), F.col("kind").cast("int").alias("k"), F.col("_s").alias("s"))
     entry = lambda g, p: F.struct(g.alias("grp"), F.lit(p).alias("part"))

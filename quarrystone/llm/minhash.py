@@ -188,18 +188,18 @@ def _confirm(classes: DataFrame, members: DataFrame, verify, block: int) -> Data
     rest = dealt.where("not whole").select(members.columns)
     if rest.isEmpty():
         return links
-    last = None
+    last, most = None, rest.count()
     while True:
-        found = components(links).select(F.col("node").alias("id"), F.col("component").alias("comp"))
-        rows = cut(rest.join(found, "id", "left").withColumn("comp", F.coalesce("comp", "id")))
-        heads = cut(rows.groupBy("cluster", "band", "comp").agg(F.min(F.struct("id", "n")).alias("x")).select("cluster", "band", "x.id", "x.n"))
+        found = components(links, links.count()).select(F.col("node").alias("id"), F.col("component").alias("comp"))
+        rows = cut(rest.join(found, "id", "left").withColumn("comp", F.coalesce("comp", "id")), most)
+        heads = cut(rows.groupBy("cluster", "band", "comp").agg(F.min(F.struct("id", "n")).alias("x")).select("cluster", "band", "x.id", "x.n"), most)
         now = heads.count()
         if last is not None and now > last / 2:
             break
         last = now
         links = cut(links.unionByName(verify(block_groups(heads, block, VOLUME, pairs=False).select("id", "grp", "part", alone))))
     sizes = rows.groupBy("cluster", "comp").agg(F.count("*").alias("k"))
-    largest = cut(sizes.groupBy("cluster").agg(F.max(F.struct("k", "comp")).alias("top"), F.sum("k").alias("size")).select("cluster", F.col("top.comp").alias("top"), "size"))
+    largest = cut(sizes.groupBy("cluster").agg(F.max(F.struct("k", "comp")).alias("top"), F.sum("k").alias("size")).select("cluster", F.col("top.comp").alias("top"), "size"), most)
     kinds = join_weighed(rows, largest, "cluster", "size").withColumn("kind", (F.col("comp") == F.col("top")).cast("int")).drop("top")
     pairs = cut(block_groups(kinds, block, VOLUME).select("id", "grp", "part", "comp"))
     if pairs.isEmpty():
