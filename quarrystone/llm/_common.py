@@ -69,7 +69,7 @@ def components(edges: DataFrame, rows: int | None = None) -> DataFrame:
 
 def star_edges(buckets: DataFrame) -> DataFrame:
     """Of rows (key, id): distinct edges (a, b) between each member of a bucket and its smallest id."""
-    heads = cut(buckets.groupBy("key").agg(F.min("id").alias("b"), F.max("id").alias("_top"), F.count("*").alias("size")).where("b <> _top").select("key", "b", "size"))
+    heads = cut(buckets.groupBy("key").agg(F.min("id").alias("b"), F.count("*").alias("size")).where("size > 1"))
     return join_weighed(buckets, heads, "key", "size").where("id <> b").select(F.col("id").alias("a"), "b").distinct()
 
 
