@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions import text as T
 from ..lineage import cut
 from . import keyword, latent, vector
 
@@ -52,19 +53,19 @@ def spread(column: str, by: str = "query_id") -> Column:
     return 1 - F.when(high == low, 0.5).otherwise((F.col(column) - low) / (high - low))
 
 
-def signals(hits: DataFrame, queries: DataFrame, names: tuple[str, ...] = RELEVANCE) -> DataFrame:
+def signals(hits: DataFrame, queries: DataFrame, names: tuple[str, ...] = RELEVANCE, stop: tuple[str, ...] = T.STOP_WORDS) -> DataFrame:
     """hits with the dense ranks bm25_rank, tfidf_rank, centroid_rank, authority_rank, recency_rank and, if in ``names``, lsa_rank.
 
     One row per (query_id, ix); all windows are by query_id. The hits are cut from their lineage
-    first, for every signal reads them.
+    first, for every signal reads them. ``stop`` are the stop words of the TF-IDF and latent-semantic signals.
     """
     hits = cut(hits)
     bm25 = keyword.lucene_of_hits(hits, queries).withColumn("bm25_rank", dense("score")).drop("score")
-    tfidf = keyword.tfidf_of_hits(hits, queries).withColumn("tfidf_rank", dense("score")).drop("score")
+    tfidf = keyword.tfidf_of_hits(hits, queries, stop).withColumn("tfidf_rank", dense("score")).drop("score")
     near = vector.centroid_scores(hits, bm25.select("query_id", "ix", F.col("bm25_rank").alias("rank"))).withColumn("centroid_rank", dense("score")).drop("score")
     rows = recency(authority(hits)).join(bm25, ["query_id", "ix"]).join(tfidf, ["query_id", "ix"]).join(near, ["query_id", "ix"])
     if "lsa_rank" in names:
-        rows = rows.join(latent.lsa_of_hits(hits, queries).withColumn("lsa_rank", dense("score")).drop("score"), ["query_id", "ix"])
+        rows = rows.join(latent.lsa_of_hits(hits, queries, stop=stop).withColumn("lsa_rank", dense("score")).drop("score"), ["query_id", "ix"])
     return rows.withColumn("authority_rank", dense("authority")).withColumn("recency_rank", dense("recency"))
 
 
