@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quarrystone.functions import text as T
 from quarrystone.operators import latent, ranking
@@ -91,10 +92,11 @@ def test_sizes_and_settings(spark, small_blocks):
     """Sizes, by which blocks are dealt out, are those of the weights; the batch size is restored."""
     texts = corpus(600, 4, 30, 5, 12)
     rows = spark.createDataFrame([(1, i, t, "") for i, t in enumerate(texts)], SCHEMA)
-    q = spark.createDataFrame([(1, "t0w1")], "query_id long, query string")
-    weights, sizes = latent.weights_of_hits(rows, q)
+    found = rows.select("query_id", F.lit(False).alias("asked"), "ix", T.content_words("title").alias("t"))
+    weights, sizes = latent.weights_of_hits(found)
     size = sizes.first()
-    assert size.hits == 600 and size.entries == weights.where("not asked").selectExpr("sum(size(js))").first()[0]
+    assert size.hits == 600 and size.entries == weights.selectExpr("sum(size(js))").first()[0]
+    assert weights.selectExpr("max(abs(aggregate(xs, 0d, (s, x) -> s + x * x) - 1))").first()[0] < 1e-9
     before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert np.abs(scores(spark, texts, "t0w1", 4) - dense(texts, "t0w1", 4)).max() < 1e-6
     assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
