@@ -2,7 +2,7 @@
 
 * ``text_batches``   -- keeps the Arrow batches of long texts small
 * ``components``     -- connected components by alternating large/small stars
-* ``star_edges``     -- links every bucket member with the bucket's smallest id
+* ``star_edges``     -- ties the members of every bucket together
 * ``block_groups``   -- splits clusters of any size into bounded groups
 * ``ShingleHasher``  -- word and word-shingle hashing over Arrow buffers
 """
@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..lineage import cut, join_bounded, join_weighed, shared_dir, written  # noqa: F401
 
@@ -68,9 +68,14 @@ def components(edges: DataFrame, rows: int | None = None) -> DataFrame:
 
 
 def star_edges(buckets: DataFrame) -> DataFrame:
-    """Of rows (key, id): distinct edges (a, b) between each member of a bucket and its smallest id."""
-    heads = cut(buckets.groupBy("key").agg(F.min("id").alias("b"), F.count("*").alias("size")).where("size > 1"))
-    return join_weighed(buckets, heads, "key", "size").where("id <> b").select(F.col("id").alias("a"), "b").distinct()
+    """Of rows (key, id, b): edges (a, b), some repeated, that tie all ids of a key together; a row with ``b`` is such an edge itself.
+
+    Rows are shuffled once, whatever their number: no counted table of keys is joined back to them. So that no key's
+    rows pile up in one task, whoever makes them ties ids of a key that it holds at a time by edges of its own, which
+    have keys of their own, and sends on one id of them.
+    """
+    head = F.min(F.when(F.col("b").isNull(), F.col("id"))).over(Window.partitionBy("key"))
+    return buckets.select(F.col("id").alias("a"), F.coalesce("b", head).alias("b")).where("a <> b")
 
 
 def block_groups(members: DataFrame, block: int, volume: int = 1 << 62, pairs: bool = True) -> DataFrame:

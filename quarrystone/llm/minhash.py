@@ -7,8 +7,8 @@ under every chunk with every single symbol left out (60 keys), and all pairs und
 share a key. Pairs above the distance are found too unless all chunks have two errors or more: at
 similarity 0.85 three in ten million are missed, at 0.8 two in a hundred thousand.
 
-Documents that share keys are not paired up. They form clusters (components of the stars "bucket
-member - bucket's smallest id"), which are confirmed on full shingle sets in groups of bounded size:
+Documents that share keys are not paired up. They form clusters (components of the trees that tie the
+members of a bucket to its smallest id), which are confirmed on full shingle sets in groups of bounded size:
 
 1. Every document is compared once, with the at most BLOCK documents of its sub-block. A cluster
    that is no larger than a block is done.
@@ -90,11 +90,20 @@ def read_signs(signs: list[bytes]) -> np.ndarray:
 
 
 def _file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, sign) -> a row (key, id) for each key."""
+    """(id, sign) -> rows (key, id, b) for ``star_edges``: one for each key of a batch with its smallest id, and an edge (id, b) for each other id of a key."""
     for batch in batches:
         if batch.num_rows:
-            keys = deletion_keys(read_signs(batch.column(1).to_pylist())).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1)), pa.array(np.repeat(batch.column(0).to_numpy(), SYMBOLS))], ["key", "id"])
+            keys = deletion_keys(read_signs(batch.column(1).to_pylist())).reshape(-1)
+            ids = np.repeat(batch.column(0).to_numpy(), SYMBOLS)
+            order = np.lexsort((ids, keys))
+            first = np.concatenate(([True], np.diff(keys[order]) != 0))
+            heads = np.sort(order[first])  # as they came, for an id's rows in a row take less room
+            rest = order[~first]
+            ties = np.unique(np.stack([ids[rest], ids[order[first]][np.cumsum(first) - 1][~first]]), axis=1)
+            ties = ties[:, ties[0] != ties[1]]
+            key = np.concatenate([keys[heads], mix(ties[0].view(np.uint64) * np.uint64(SYMBOLS) ^ mix(ties[1].view(np.uint64)))]).view(np.int64)
+            b = pa.array(np.concatenate([np.zeros(len(heads), np.int64), ties[1]]), mask=np.arange(len(key)) < len(heads))
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.concatenate([ids[heads], ties[0]])), b], ["key", "id", "b"])
 
 
 def block_links(sets: list[np.ndarray], left: np.ndarray, num: int, den: int, known: np.ndarray | None = None) -> list[tuple[int, int]]:
@@ -238,7 +247,7 @@ def near_duplicates(docs: DataFrame, num: int = 80, den: int = 100, width: int =
     filed = signed.where("doc_id is not null and n_shingles > 0")
     # Equal sets are one class; its smallest doc_id stands for it.
     classes = cut(filed.groupBy("digest").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"), F.first("n_shingles").alias("n"), F.first("sign").alias("sign")))
-    clusters = components(star_edges(classes.select("id", "sign").mapInArrow(_file, "key long, id long")))
+    clusters = components(star_edges(classes.select("id", "sign").mapInArrow(_file, "key long, id long, b long")))
     band = F.floor(F.log(F.col("n").cast("double")) / math.log(den / num) + 1e-9).alias("band")
     # An id that stands for several classes weighs as its largest in each of their bands.
     sized = classes.groupBy("id", band).agg(F.max("n").alias("n"))

@@ -1,6 +1,9 @@
 import random
 
-from quarrystone.llm import minhash
+import numpy as np
+import pyarrow as pa
+
+from quarrystone.llm import _common as C, minhash
 
 
 def sets_of(text, width=5):
@@ -127,3 +130,22 @@ def test_words_that_collide_modulo_powers_of_two_are_unlike(spark):
     rows += [(10, thue(2048) + " one two three four"), (11, thue(2048, "b", "a") + " one two three four"), (12, thue(2048).upper() + " one two three four")]
     got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 85, 100).collect()}
     assert got == brute(rows, 85, 100) and got[12] == 10 and len(set(got.values())) == 8
+
+
+def test_a_key_of_many_documents_leaves_a_batch_once():
+    """Near copies that share all keys: a row for each key and an edge for each other document, not a row for each key of each."""
+    sign = np.arange(minhash.SYMBOLS, dtype=np.uint16).tobytes()
+    ids = [7 + 3 * i for i in range(500)][::-1]
+    (out,) = minhash._file([pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([sign] * 500, pa.binary())], ["id", "sign"])])
+    rows = out.to_pylist()
+    assert [r["id"] for r in rows if r["b"] is None] == [7] * minhash.SYMBOLS
+    ties = [r for r in rows if r["b"] is not None]
+    assert sorted(r["id"] for r in ties) == sorted(ids)[1:] and {r["b"] for r in ties} == {7} and len({r["key"] for r in rows}) == len(rows)
+
+
+def test_bucket_rows_are_shuffled_once(spark):
+    """No table of keys is joined back, which a larger one could be only by a second shuffle of all rows."""
+    rows = [(k, i, None) for k in range(40) for i in range(k, 200, 40)] + [(k + 1000, 41 * k, k) for k in range(1, 4)]
+    edges = C.star_edges(spark.createDataFrame(rows, "key long, id long, b long"))
+    assert edges._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    assert {(r.a, r.b) for r in edges.collect()} == {(i, k) for k, i, b in rows if b is None and i != k} | {(41 * k, k) for k in range(1, 4)}
