@@ -114,3 +114,15 @@ def test_stop_words_are_a_parameter(spark):
     q = spark.createDataFrame([(1, query)], "query_id long, query string")
     with_it, without = ({r.ix: (r.lsa_rank, r.tfidf_rank) for r in ranking.signals(rows, q, stop=s).collect()} for s in (T.STOP_WORDS, longer))
     assert with_it != without
+
+
+@pytest.mark.parametrize("terms", [1 << 17, 150])
+def test_a_pool_of_one_task_is_not_shuffled_word_by_word(spark, monkeypatch, terms):
+    """Its task counts and weighs the words; Spark counts only terms, where words alone do not tell that they are few."""
+    texts = [*corpus(300, 5, 20, 7), "", "unknownword", "the of"]
+    query = "t0w1 t0w2 t3w4 never"
+    want = dense(texts, query, 5)
+    monkeypatch.setattr(latent, "EXACT_HITS", 0)
+    monkeypatch.setattr(latent, "WHOLE_TERMS", terms)
+    monkeypatch.setattr(latent, "_weights", lambda found: pytest.fail("a row for each word"))
+    assert np.abs(scores(spark, texts, query, 5) - want).max() < 1e-6
