@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarrystone.operators import keyword, latent, pools, ranking, vector
+from quarrystone.plans import retrieval
 from tests.test_latent import corpus
 
 PAPER = "pool long, ix long, title string, abstract string, year int, citation_count long, influential_citation_count long, embedding array<float>"
@@ -51,3 +52,12 @@ def test_one_task_equals_blocks(spark, monkeypatch, limit):
     blocks = read(latent.lsa_of_hits(hits, asked, 4).select("query_id", "ix", "score"))
     for k, (x,) in exact.items():
         assert abs(x - whole[k][0]) < 1e-6 and abs(x - blocks[k][0]) < 1e-6
+
+
+def test_answers_of_a_pool_equal_those_of_each_query(spark):
+    hits, asked = shared(spark)
+    hits = hits.selectExpr("*", "concat('P', pool, '-', ix) as paper_id", "'u' as pdf_url").where("pool <> 2 or ix < 20")  # pool 2 fails the gate
+    asked = asked.where("pool <> 3").selectExpr("query_id", "pool", "query as final_rephrase")
+    own = hits.join(asked.select("query_id", "pool"), "pool").drop("pool")
+    got, want = ({r.query_id: r for r in retrieval.answer_queries(q, h, 3).collect()} for q, h in ((asked, hits), (asked.drop("pool"), own)))
+    assert got == want and len(got) == 5 and got[10].n_passages > 0 and got[20].reason.startswith("insufficient") and got[9].reason == "no hits"
