@@ -61,3 +61,31 @@ def test_answers_of_a_pool_equal_those_of_each_query(spark):
     own = hits.join(asked.select("query_id", "pool"), "pool").drop("pool")
     got, want = ({r.query_id: r for r in retrieval.answer_queries(q, h, 3).collect()} for q, h in ((asked, hits), (asked.drop("pool"), own)))
     assert got == want and len(got) == 5 and got[10].n_passages > 0 and got[20].reason.startswith("insufficient") and got[9].reason == "no hits"
+
+
+def searching(spark, asked):
+    """A search of two places by turns, which notes what it is asked; every third query's first searches find too little."""
+    texts = corpus(90, 3, 8, 5)
+    rows = [(p, i, f"P{i % 80}", f"{p} {i % 70} {t[:25]}", t if i % 9 else None, 1990 + i % 30, i * 13 % 50, i % 4, "u" if i % 10 else None, [float(i % 3), 1.0, float(p)] if i % 2 else None) for p in (0, 1) for i, t in enumerate(texts)]
+    papers = spark.createDataFrame(rows, "place int, hit_ix int, paper_id string, title string, abstract string, year int, citation_count long, influential_citation_count long, pdf_url string, embedding array<float>")
+
+    def search(variants):
+        asked.append(sorted((r.query_id, r.variant_ix) for r in variants.collect()))
+        few = (F.col("query_id") % 3 == 0) & F.lit(len(asked) % 2 == 1)
+        return variants.withColumn("place", F.pmod(F.col("query_id") + F.col("variant_ix"), F.lit(2)).cast("int")).drop("query").join(papers, "place").where(~few | (F.col("hit_ix") < 5)).drop("place")
+
+    return search
+
+
+def test_queries_of_the_same_searches_are_searched_once_and_share_hits(spark):
+    cols = "query_id long, query string, strategy string, intent_type string, final_rephrase string, primary string, broad string, alternative string, sub_queries array<string>"
+    q = spark.createDataFrame([(i, f"t0w{i}", "expansion", ("news", "general")[i % 2], f"t{i % 3}w1 t0w{i % 8}", "p", "b", "a", ["t0w1 t1w2", "t2w3", "t1w1"] if i % 4 == 2 else []) for i in range(12)], cols)
+    same = F.struct((F.col("query_id") % 3 == 0).alias("few"), F.pmod(F.col("query_id") + F.col("variant_ix"), F.lit(2)).alias("place"))
+    asked, alone = [], []
+    got = [x.collect() for x in retrieval.discover(q, searching(spark, asked), 3, 10, same=same)]
+    want = [x.collect() for x in retrieval.discover(q, searching(spark, alone), 3, 10)]
+    order = lambda rows: sorted((sorted(r.asDict().items()) for r in rows), key=str)
+    assert order(got[0]) == order(want[0]) and order(got[1]) == order(want[1]) and len(got[1]) == 12
+    assert {r.refined for r in got[1] if r.query_id % 3 == 0} == {True} and {r.query_id for r in got[0]} == set(range(12))
+    # Two places, few hits or many, three variants or as many sub-queries: four pools, and of refined ones two.
+    assert [len({i for i, _ in x}) for x in asked] == [4, 2] and [len({i for i, _ in x}) for x in alone] == [12, 4]
