@@ -3,7 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from quarrystone.operators import keyword, latent, pools, ranking, vector
+from quarrystone import lineage
+from quarrystone.operators import ingest, keyword, latent, pools, ranking, vector
 from quarrystone.plans import retrieval
 from tests.test_latent import corpus
 
@@ -89,3 +90,33 @@ def test_queries_of_the_same_searches_are_searched_once_and_share_hits(spark):
     assert {r.refined for r in got[1] if r.query_id % 3 == 0} == {True} and {r.query_id for r in got[0]} == set(range(12))
     # Two places, few hits or many, three variants or as many sub-queries: four pools, and of refined ones two.
     assert [len({i for i, _ in x}) for x in asked] == [4, 2] and [len({i for i, _ in x}) for x in alone] == [12, 4]
+
+
+def test_full_texts_are_not_shuffled_for_a_few_candidates(spark):
+    texts = spark.range(1000).selectExpr("concat('P', id) as paper_id", "repeat('x ', 400) as text")
+    ranked = spark.createDataFrame([(1, f"P{i}", i, "u") for i in range(20)], "query_id long, paper_id string, rank int, pdf_url string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        chosen = ingest.choose_full_text(ranked, texts)
+        plan = chosen._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and sorted(r.paper_id for r in chosen.collect()) == [f"P{i}" for i in range(5)]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_shuffles_of_a_tidy_plan_go_with_its_writes(spark):
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(setting)
+    seen = []
+
+    @lineage.tidy
+    def plan(rows, fail=False):
+        seen.append(spark.conf.get(setting))
+        if fail:
+            raise ValueError("failed")
+        return lineage.written(rows.repartition(3, "id"))[0]
+
+    assert plan(spark.range(50)).count() == 50 and spark.conf.get(setting) == before
+    with pytest.raises(ValueError):
+        plan(spark.range(1), fail=True)
+    assert seen == ["true", "true"] and spark.conf.get(setting) == before
