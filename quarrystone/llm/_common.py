@@ -1,7 +1,7 @@
 """Shared plumbing of the training-data operators.
 
 * ``text_batches``   -- keeps the Arrow batches of long texts small
-* ``components``     -- connected components by alternating large/small stars
+* ``components``     -- connected components, tied within tasks, then by alternating large/small stars
 * ``star_edges``     -- ties the members of every bucket together
 * ``block_groups``   -- splits clusters of any size into bounded groups
 * ``ShingleHasher``  -- word and word-shingle hashing over Arrow buffers
@@ -17,6 +17,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..lineage import cut, join_bounded, join_weighed, shared_dir, written  # noqa: F401
 
+#: Edges that one task ties together at a time (16 MB).
+TASK_EDGES = 1 << 20
+
 
 def text_batches(spark: SparkSession, rows: int = 1000, size: int = 8 << 20) -> None:
     """Sets the session's Arrow batches to ``rows`` rows and ``size`` bytes at most: texts are long, and a batch is held several times over."""
@@ -40,25 +43,49 @@ def sample_keys(df: DataFrame, h: Column, n: int) -> DataFrame:
     return df.select(h.alias("_h")).where(hash_share(F.col("_h"), 2 * n / max(count, 1))).distinct().orderBy("_h").limit(n)
 
 
+def _roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges (u, v: the smaller) -> one edge for each node but the smallest of its component among these edges, to that smallest one."""
+    held = [b for b in batches if b.num_rows]
+    if not held:
+        return
+    u, v = (np.concatenate([b.column(c).to_numpy() for b in held]) for c in ("u", "v"))
+    ids, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    x, y = at[: len(u)], at[len(u) :]
+    root = np.arange(len(ids))
+    while len(x):
+        x, y = root[x], root[y]
+        x, y = x[x != y], y[x != y]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while (root[root] != root).any():
+            root = root[root]
+    rest = np.flatnonzero(root != np.arange(len(ids)))
+    yield from pa.table({"u": ids[rest], "v": ids[root[rest]]}).to_batches(max_chunksize=1 << 16)
+
+
 def components(edges: DataFrame, rows: int | None = None) -> DataFrame:
     """Connected components of ``edges`` (a, b: long): one row (node, component) per node, component the smallest id.
 
-    Alternating large-star / small-star rounds. Each round aggregates a minimum per node (combined
-    before the shuffle) and joins it back; minima of nodes with many edges are broadcast, so no hub's
-    edges meet in one task and no neighbourhood is ever gathered. Null ids and loops are ignored;
-    empty in, empty out. ``rows`` is a bound of the edges where the caller knows one (see ``cut``).
+    Each task ties together the about TASK_EDGES edges that it holds. If there are several, alternating large-star /
+    small-star rounds follow: each aggregates a minimum per node (combined before the shuffle) and joins it back; minima
+    of nodes with many edges are broadcast, so no hub's edges meet in one task and no neighbourhood is ever gathered.
+    A round is a dozen stages, whose plans, task binaries and metrics the driver holds, however few the edges are.
+    Null ids and loops are ignored; empty in, empty out. ``rows`` is a bound of the edges where the caller knows one (see ``cut``).
     """
     a, b = F.col("a"), F.col("b")
     now = cut(edges.where(a.isNotNull() & b.isNotNull() & (a != b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), rows)
-    most = now.count()  # no round has more edges than the one before, nor more nodes than twice as many
+    most = now.count() if rows is None else rows  # no round has more edges than the one before, nor more nodes than twice as many
     while True:
+        tasks = max(1, -(-most // TASK_EDGES))
+        now = cut(now.coalesce(tasks).mapInArrow(_roots, "u long, v long"))
+        if tasks == 1:
+            break
         both = now.select("u", "v", F.lit(1).alias("_up")).unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v"), F.lit(0).alias("_up")))
         least = cut(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("degree"), F.sum("_up").alias("up")).select("u", F.least("u", "m").alias("m"), "degree", "up"), 2 * most)
         # Done when every node is a root, or has one edge, which leads to a root.
         nodes, ends, open_ = least.agg(F.count("*"), F.coalesce(F.sum("degree"), F.lit(0)), F.count_if((F.col("up") > 0) & (F.col("degree") > 1))).first()
         if not open_:
             break
-        least, size = least.drop("up"), (nodes, ends)
+        most, least, size = ends // 2, least.drop("up"), (nodes, ends)
         large = cut(join_weighed(both.where("v > u").drop("_up"), least, "u", "degree", size=size).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), most)
         lowest = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("degree"))
         moved = join_weighed(large, lowest, "u", "degree", size=size).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))

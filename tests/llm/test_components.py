@@ -26,6 +26,39 @@ def test_components(spark, shape):
     assert got == {x: min(s) for x, s in up.items()}
 
 
+@pytest.mark.parametrize("shape", ["chain", "hubs", "random"])
+def test_components_over_several_tasks(spark, shape, monkeypatch):
+    """Edges that exceed one task go through the rounds, with the same result as in one task."""
+    rng = random.Random(2)
+    ids = [x * 7 - 900 for x in range(400)]
+    rng.shuffle(ids)
+    edges = {"chain": list(zip(ids, ids[1:])), "hubs": [(ids[i % 3], x) for i, x in enumerate(ids)], "random": [(rng.choice(ids), rng.choice(ids)) for _ in range(300)]}[shape]
+    table = spark.createDataFrame(edges, "a long, b long")
+    one = {r.node: r.component for r in C.components(table).collect()}
+    monkeypatch.setattr(C, "TASK_EDGES", 16)
+    assert {r.node: r.component for r in C.components(table).collect()} == one
+    forest, at = C.Forest(len(ids)), {x: i for i, x in enumerate(sorted(ids))}
+    for a, b in edges:
+        forest.join(at[a], at[b])
+    ends = {x for e in edges if e[0] != e[1] for x in e}
+    assert one == {x: sorted(ids)[forest.find(at[x])] for x in ends}
+
+
+def test_few_edges_take_few_jobs(spark):
+    """The driver holds plans, task binaries and metrics of every stage: edges that one task can hold take no rounds of a dozen stages."""
+    ids = list(range(500))
+    random.Random(3).shuffle(ids)
+    edges = spark.createDataFrame(list(zip(ids, ids[1:])), "a long, b long")
+    spark.sparkContext.setJobGroup("few", "few edges")
+    try:
+        found = C.components(edges)
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("few"))
+    assert 0 < jobs <= 8
+    assert found.count() == 500 and found.where("component <> 0").isEmpty()
+
+
 def test_no_edges(spark):
     assert C.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
